@@ -17,3 +17,15 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from redactory.llm.substring_dedup import substring_dedup
 
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.token_files import read_files, write_files
+
+    return read_files(write_files(table(spark, sf_dir, "documents")))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
