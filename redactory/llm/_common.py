@@ -94,11 +94,11 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return np.where((buf >= 65) & (buf <= 90), buf | 32, buf)
 
 
-def spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words [^\\x20\\x09-\\x0D]+, and each row's offsets in them."""
+def spans(buf: np.ndarray, offs: np.ndarray, gaps: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words [^\\x20\\x09-\\x0D]+ (or of what lies between other gaps), and each row's offsets in them."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    word = ~_WHITE[buf]
+    word = ~gaps[buf]
     edge = np.zeros(len(buf) + 1, dtype=bool)
     edge[offs] = True
     before = np.empty_like(word)

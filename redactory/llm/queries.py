@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from redactory.llm._common import table
+from redactory.llm._common import crc_mod, table
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,3 +30,17 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from redactory.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
+
+
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages")).drop("uri")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
+    return score(docs, weights).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
