@@ -44,3 +44,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
     return score(docs, weights).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.media import read, store
+
+    return read(store(table(spark, sf_dir, "documents")))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.lm_score import crc_fold, score
+
+    return score(table(spark, sf_dir, "documents"), crc_fold(5, 1))
