@@ -56,3 +56,33 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from redactory.llm.lm_score import crc_fold, score
 
     return score(table(spark, sf_dir, "documents"), crc_fold(5, 1))
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.decontaminate import contained
+
+    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+def queries() -> dict:
+    made = [op1_line_dedup, op2_warc_revisits, op3_substring_dedup, op4_token_files, op5_toxicity, op6_benchmark_decontamination, op7_media_columns, op8_lm_scoring, op9_best_fit_packing, op10_ngram_jaccard_join, pipeline]
+    return {f.__name__: f for f in made}
+
+
+def oracle_sql() -> dict[str, str]:
+    """The queries that SQL expresses and answers on whole tables in reasonable time."""
+    from redactory.llm import decontaminate, line_dedup, sql
+
+    return {"op1_line_dedup": line_dedup.oracle_sql(), "op6_benchmark_decontamination": decontaminate.oracle_sql()} | sql.ORACLES

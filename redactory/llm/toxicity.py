@@ -124,3 +124,20 @@ def score(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits: in
     """(doc_id, score) of every row."""
     held = documents.sparkSession.sparkContext.broadcast(weights)
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(held, bits), "doc_id long, score double")
+
+
+def _keep(weights, bits: int, threshold: float, text: int):
+    def run(batches):
+        score = _score(weights, bits)
+        for batch in batches:
+            probe = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text)], names=["doc_id", "text"])
+            scores = np.concatenate([np.zeros(0), *(np.asarray(x.column(1)) for x in score([probe]))])
+            yield batch.filter(pa.array(scores < threshold))
+
+    return run
+
+
+def clean(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray], threshold: float = 0.3, bits: int = 20, text_col: str = "text") -> DataFrame:
+    """The rows, all columns, that score below the threshold."""
+    held = documents.sparkSession.sparkContext.broadcast(weights)
+    return documents.mapInArrow(_keep(held, bits, threshold, documents.columns.index(text_col)), documents.schema)
