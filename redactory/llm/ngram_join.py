@@ -9,9 +9,10 @@ search in the candidates' sorted sets. Spark's part:
    bucket, as arrays; a document of whose prefix too few hashes occur elsewhere has no partner and leaves. Hashes that
    repeat within a batch are combined before the shuffle, so that a very common one costs one entry a batch.
 2. Equal sets collapse to their smallest document.
-3. An order of the remaining shingles, rare before frequent, from a bounded table of the most frequent. Any order is
-   right; this one only keeps lists short.
-4. Documents that share a rare-prefix shingle form blocks (connected by stars, never by pairs).
+3. The documents of the remaining shingles are counted by bucket, but for a bounded table of the most frequent ones, whose
+   counts are told to all tasks. Each set is ordered by these counts, what no other has first: its prefix in this order
+   has no shared shingle unless three quarters of the set are shared.
+4. Documents that share a shingle of their prefixes form blocks (connected by stars, never by pairs).
 5. Blocks are joined in memory. A block above `block_shingles` is split: its chunks alone, then the representatives of the
    chunks' components, then what is not in the largest component against every chunk. Pairs that are connected already
    are not compared, so groups of near copies cost about one comparison a document.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redactory.llm._common import (
-    U64, Forest, buckets, by_bucket, components, flattened, groups, joined, shingle_sets, sized, stored,
+    U64, Forest, buckets, by_bucket, components, flattened, groups, joined, mix, shingle_sets, sized, stored,
 )
 
 #: At most so many of the most frequent shingles get a rank of their own (16 bytes each).
@@ -123,9 +124,11 @@ def _repeats(batches):
 
 
 def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of the most frequent shingles, at most RANKED, by key; counts within batches of one are left out."""
+    """Keys and counts of the most frequent shingles, at most RANKED, by key; counts within batches of one are left out.
+
+    These are told to the tasks rather than shuffled, so that none of the shuffled ones has very many documents."""
     counts = sets.select("shingles").mapInArrow(_repeats, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counts = stored(counts.where("n >= 8"), "ngram-counts")
+    counts = stored(counts.where("n >= 256"), "ngram-counts")
     steps = sorted(((r["k"], r["count"]) for r in counts.select(F.floor(F.log2("n")).alias("k")).groupBy("k").count().collect()), reverse=True)
     least, total = 64, 0
     for k, n in steps:
@@ -138,34 +141,119 @@ def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
-def _ranked(s: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The set, rare shingles first, ties by hash."""
+_OWN = "bucket int, kind int, keys binary, docs binary, df binary"
+
+
+def _blobs(kind: int, rows) -> pa.RecordBatch:
+    out = [(b, *(x.tobytes() for x in parts)) for b, *parts in rows]
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([kind] * len(out), pa.int32()), *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3))], names=["bucket", "kind", "keys", "docs", "df"])
+
+
+def _opened(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, sizes and all shingles of rows (rep, n, shingles)."""
+    return np.asarray(batch.column(0), np.int64), np.asarray(batch.column(1), np.int64), joined(pa.chunked_array([batch.column(2)]), U64)
+
+
+def _is_hot(order, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = order
     if not len(keys):
-        return s
+        return np.zeros(len(s), bool), np.zeros(len(s), np.int64)
     at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-    return s[np.argsort(np.where(keys[at] == s, counts[at], 0), kind="stable")]
+    return keys[at] == s, counts[at]
 
 
-def _heads(order, num: int, den: int, n_buckets: int):
+def _deal_rare(order, n_buckets: int):
     def run(batches):
-        keys, counts = order.value
         for batch in batches:
-            ids, all_, n = np.asarray(batch.column(0), np.int64), batch.column(2), np.asarray(batch.column(1), np.int64)
-            heads = []
-            for i, k in enumerate(n.tolist()):
-                s = np.frombuffer(all_[i].as_py(), U64)
-                heads.append(_ranked(s, keys, counts)[: k - (-(-num * k // den)) + 1])
-            lens = [len(h) for h in heads]
-            rows = by_bucket(np.concatenate([np.zeros(0, U64), *heads]), n_buckets, np.repeat(ids, lens), np.repeat(n, lens))
-            out = [(b, k.tobytes(), d.tobytes(), m.astype(np.int32).tobytes()) for b, k, d, m in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3))], names=["bucket", "keys", "docs", "n"])
+            ids, n, s = _opened(batch)
+            hot, _ = _is_hot(order.value, s)
+            docs = np.repeat(ids, n)
+            yield pa.RecordBatch.from_arrays(_pair(by_bucket(s[~hot], n_buckets, docs[~hot])), names=["bucket", "keys", "docs"])
+
+    return run
+
+
+def _pair(rows) -> list[pa.Array]:
+    out = [(b, k.tobytes(), d.tobytes()) for b, k, d in rows]
+    return [pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2))]
+
+
+def _owned(docs: np.ndarray, n_buckets: int, *columns: np.ndarray):
+    for b, _, d, *rest in by_bucket(mix(docs.view(U64)), n_buckets, docs, *columns):
+        yield b, d, *rest
+
+
+def _tell_rare(n_buckets: int):
+    """To the owners of the documents: the shingles that two documents have, and how many have them."""
+
+    def run(t: pa.Table) -> pa.Table:
+        keys, docs = joined(t["keys"], U64), joined(t["docs"], np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys, docs = keys[order], docs[order]
+        at = groups(keys)
+        df = np.repeat(np.diff(at), np.diff(at)).astype(np.int32)
+        live = df > 1
+        keys, docs, df = keys[live], docs[live], df[live]
+        order = np.argsort(docs, kind="stable")
+        return pa.Table.from_batches([_blobs(0, ((b, k, d, f) for b, d, k, f in _owned(docs[order], n_buckets, keys[order], df[order])))])
 
     return run
 
 
+def _tell_hot(order, n_buckets: int):
+    """To the owners: the documents' sizes, and which of the most frequent shingles they have."""
+
+    def run(batches):
+        for batch in batches:
+            ids, n, s = _opened(batch)
+            hot, df = _is_hot(order.value, s)
+            yield _blobs(1, ((b, np.zeros(0, U64), d, m) for b, d, m in _owned(ids, n_buckets, n.astype(np.int32))))
+            docs = np.repeat(ids, n)[hot]
+            yield _blobs(0, ((b, k, d, f) for b, d, k, f in _owned(docs, n_buckets, s[hot], df[hot].astype(np.int32))))
+
+    return run
+
+
+def _heads(num: int, den: int, n_buckets: int):
+    """Of each document of an owner the rarest shingles that another document has, as far as they are in its prefix."""
+
+    def run(t: pa.Table) -> pa.Table:
+        sizes = np.asarray(t["kind"]) == 1
+        info, t = t.filter(pa.array(sizes)), t.filter(pa.array(~sizes))
+        ids, n = joined(info["docs"], np.int64), joined(info["df"], np.int32).astype(np.int64)
+        order = np.argsort(ids)
+        ids, n = ids[order], n[order]
+        keys, docs, df = joined(t["keys"], U64), joined(t["docs"], np.int64), joined(t["df"], np.int32)
+        doc = np.searchsorted(ids, docs)
+        # what no other document has comes first in the order; the prefix has n - ceil(t * n) + 1
+        room = -(-num * n // den)
+        take = np.bincount(doc, minlength=len(ids)) - room + 1
+        near = take[doc] > 0
+        keys, doc, df = keys[near], doc[near], df[near]
+        order = np.lexsort((keys, df, doc))
+        keys, doc = keys[order], doc[order]
+        at = groups(doc)
+        rank = np.arange(len(doc)) - np.repeat(at[:-1], np.diff(at))
+        keep = rank < take[doc]
+        keys, doc = keys[keep], doc[keep]
+        return pa.Table.from_batches([_blobs(2, by_bucket(keys, n_buckets, ids[doc], n[doc].astype(np.int32)))])
+
+    return run
+
+
+def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(bucket, keys, docs, df): documents by the shared shingles in their prefixes, rarest first; df holds the documents' sizes."""
+    spark = sets.sparkSession
+    n = buckets(spark)
+    order = spark.sparkContext.broadcast(frequent(sets))
+    rare = sets.mapInArrow(_deal_rare(order, n), "bucket int, keys binary, docs binary").groupBy("bucket").applyInArrow(_tell_rare(n), _OWN)
+    told = rare.union(sets.mapInArrow(_tell_hot(order, n), _OWN))
+    return told.groupBy("bucket").applyInArrow(_heads(num, den, n), _OWN).drop("kind")
+
+
 def _stars(num: int, den: int):
     def run(t: pa.Table) -> pa.Table:
-        keys, docs, n = joined(t["keys"], U64), joined(t["docs"], np.int64), joined(t["n"], np.int32).astype(np.int64)
+        keys, docs, n = joined(t["keys"], U64), joined(t["docs"], np.int64), joined(t["df"], np.int32).astype(np.int64)
         order = np.lexsort((docs, n, keys))
         keys, docs, n = keys[order], docs[order], n[order]
         near = (keys[1:] == keys[:-1]) & (den * n[:-1] >= num * n[1:])  # sizes too far apart can't link, nor can those beyond
@@ -330,8 +418,7 @@ def ngram_join(documents: DataFrame, size: int = 5, percent: int = 75, id_col: s
     twins = stored(may.join(twins, "sig").select("doc_id", "n", "rep"), "ngram-twins")
     reps = stored(twins.where("doc_id = rep").select("doc_id").distinct(), "ngram-reps")
     sets = stored(docs.join(sized(reps, 16), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "rep long, n long, shingles binary").dropDuplicates(["rep"]), "ngram-sets")
-    order = documents.sparkSession.sparkContext.broadcast(frequent(sets))
-    heads = sets.mapInArrow(_heads(order, num, den, buckets(documents.sparkSession)), "bucket int, keys binary, docs binary, n binary")
+    heads = prefixes(sets, num, den)
     stars = heads.groupBy("bucket").applyInArrow(_stars(num, den), "a long, b long")
     blocks = components(stars, "ngram-blocks").toDF("rep", "block")
     links = block_links(sets.join(sized(stored(blocks, "ngram-blocks"), 24), "rep"), num, den, block_shingles)
