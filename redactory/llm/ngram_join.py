@@ -244,7 +244,7 @@ def _heads(num: int, den: int, n_buckets: int):
 def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(bucket, keys, docs, df): documents by the shared shingles in their prefixes, rarest first; df holds the documents' sizes."""
     spark = sets.sparkSession
-    n = buckets(spark)
+    n = buckets(spark, 1)  # both ways: buckets of shingles by buckets of documents
     order = spark.sparkContext.broadcast(frequent(sets))
     rare = sets.mapInArrow(_deal_rare(order, n), "bucket int, keys binary, docs binary").groupBy("bucket").applyInArrow(_tell_rare(n), _OWN)
     told = rare.union(sets.mapInArrow(_tell_hot(order, n), _OWN))
