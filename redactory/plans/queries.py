@@ -1,11 +1,194 @@
-"""Registered queries of the redaction engine."""
+"""Registered queries of the redaction engine, and SQL with the same results.
+
+The test tables hold few kinds of personal data, so most queries read `carrier`: a labelled line for each customer, made by
+SQL that Spark and DuckDB run alike."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from redactory.functions import text as T
+from redactory.functions.vocabulary import protected_pattern
+from redactory.operators import audit, detect, replace, resolve
+from redactory.operators.detect import Config
+from redactory.plans import engine
+from redactory.sources import readers, writers
+
+CARRIER = """SELECT c_custkey AS seg_ord, concat(CASE c_custkey % 9
+  WHEN 0 THEN concat('SSN: ', lpad(CAST(100 + c_custkey % 400 AS STRING),3,'0'), '-', lpad(CAST(1 + c_custkey % 98 AS STRING),2,'0'), '-', lpad(CAST(1 + c_custkey % 9998 AS STRING),4,'0'))
+  WHEN 1 THEN concat('Contact Person: ', split_part('Ada,Boris,Carla,Dmitri,Elena', ',', CAST(1 + c_custkey % 5 AS INT)), ' ', split_part('Quill,Rowan,Stone,Tarn,Usher,Vale,Wick', ',', CAST(1 + c_custkey % 7 AS INT)))
+  WHEN 2 THEN concat('Vendor: ', split_part('Amber,Birch,Cedar,Delta', ',', CAST(1 + c_custkey % 4 AS INT)), ' Freight Limited')
+  WHEN 3 THEN concat('Date of Birth: ', lpad(CAST(1 + c_custkey % 28 AS STRING),2,'0'), '/', lpad(CAST(1 + c_custkey % 12 AS STRING),2,'0'), '/', CAST(1950 + c_custkey % 50 AS STRING))
+  WHEN 4 THEN concat('Billing Address: Plot ', CAST(1 + c_custkey % 90 AS STRING), ', Harbour Row, Sector 7, ', CAST(100000 + c_custkey AS STRING), ', India')
+  WHEN 5 THEN concat('IBAN ZZ', lpad(CAST(c_custkey % 100 AS STRING),2,'0'), 'ABCD', lpad(CAST(c_custkey AS STRING),12,'0'))
+  WHEN 6 THEN concat('Pay to user', CAST(c_custkey AS STRING), '@upi or PAN ABCPX', lpad(CAST(c_custkey % 10000 AS STRING),4,'0'), 'K')
+  WHEN 7 THEN concat('Mobile: +91 ', CAST(70000 + c_custkey % 20000 AS STRING), ' ', lpad(CAST(c_custkey % 100000 AS STRING),5,'0'))
+  ELSE concat('Companies Act and Offer Price, order ', CAST(c_custkey AS STRING)) END, '.') AS text FROM {customer}"""
+
+#: In DuckDB: pattern and class of the carrier's values, and what their gates come to on it.
+_VALUES = {
+    "SSN": (0, r"\d{3}-\d{2}-\d{4}", 0.98), "PERSON": (1, r"[A-Z][a-z]+ [A-Z][a-z]+\.$", 0.96), "COMPANY": (2, r"[A-Z][a-z]+ Freight Limited", 0.95), "DOB": (3, r"\d{2}/\d{2}/\d{4}", 0.98),
+    "ADDRESS": (4, r"Plot .*India", 0.94), "IBAN": (5, r"ZZ[0-9A-Z]+", 0.94), "UPI_ID": (6, r"user[0-9]+@upi", 0.96), "PAN": (6, r"ABCPX[0-9]{4}K", 0.96), "PHONE": (7, r"\+91 [0-9]{5} [0-9]{5}", 0.98),
+}
+
+LINES = "SELECT doc_id, i - 1 AS seg_ord, lines[i] AS line FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))"
+
+
+def _table(spark, sf, name):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def carrier(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.sql(CARRIER.replace("{customer}", "{t}"), t=_table(spark, sf, "customer"))
+    return rows.select(F.lit("carrier").alias("doc_id"), F.concat(F.lit("line_"), F.col("seg_ord").cast("string")).alias("segment_id"), "seg_ord", "text")
+
+
+def _docs(spark, sf):
+    return readers.line_segments(_table(spark, sf, "documents"))
+
+
+def _found(spark, sf, config=Config()):
+    return engine.replaced(engine.detected(carrier(spark, sf), config), config)
+
+
+def _flat(rows, *more):
+    return rows.select("seg_ord", F.inline("matches")).select("seg_ord", "entity_type", "start", "end", "text", "confidence", *more)
+
+
+def _sql_matches(kinds=None) -> str:
+    parts = []
+    for kind, (k, pattern, confidence) in _VALUES.items():
+        if kinds is None or kind in kinds:
+            value = f"regexp_extract(text, '{pattern}')" if kind != "PERSON" else f"rtrim(regexp_extract(text, '{pattern}'), '.')"
+            parts.append(f"SELECT seg_ord, text AS line, '{kind}' AS entity_type, {value} AS value, CAST({confidence} AS DOUBLE) AS confidence FROM c WHERE seg_ord % 9 = {k}")
+    return f"WITH c AS ({CARRIER.format(customer='customer')}), m AS (SELECT *, strpos(line, value) - 1 AS s FROM ({' UNION ALL '.join(parts)}))"
+
+
+_SPAN = "seg_ord, entity_type, CAST(s AS INT) AS \"start\", CAST(s + length(value) AS INT) AS \"end\", value AS text, confidence"
+_SEED = "CAST('0x' || substr(sha256('42:' || lower(trim(value))), 1, 8) AS BIGINT)"
+
+Q: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        Q[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+for _kind in _VALUES:
+    query(f"det_{_kind.lower()}", f"{_sql_matches([_kind])} SELECT {_SPAN} FROM m")(lambda spark, sf, k=_kind: _flat(detect.scan(carrier(spark, sf), Config(categories=(k,)))))
+
+query("scan_segments", f"{_sql_matches()} SELECT {_SPAN} FROM m")(lambda spark, sf: _flat(detect.scan(carrier(spark, sf))))
+query("resolve_engine", f"{_sql_matches()} SELECT {_SPAN} FROM m")(lambda spark, sf: _flat(_found(spark, sf)))
+query("resolve_cli", f"{_sql_matches()} SELECT {_SPAN} FROM m")(lambda spark, sf: _flat(engine.detected(carrier(spark, sf), profile="cli")))
+query("approve", f"{_sql_matches()} SELECT seg_ord, confidence >= 0.95 AS approved FROM m")(lambda spark, sf: detect.scan(carrier(spark, sf), Config(threshold=0.95)).select("seg_ord", F.inline("matches")).select("seg_ord", "approved"))
+query("det_custom", f"WITH c AS ({CARRIER.format(customer='customer')}) SELECT seg_ord, regexp_extract(text, 'order [0-9]+') AS text FROM c WHERE seg_ord % 9 = 8")(lambda spark, sf: detect.scan(carrier(spark, sf), Config(categories=(), custom=(detect.Custom("ORDER", r"order \d+"),))).select("seg_ord", F.inline("matches")).select("seg_ord", "text"))
+query("category_filter", f"{_sql_matches(['SSN', 'DOB'])} SELECT entity_type, count(*) AS n FROM m GROUP BY entity_type")(lambda spark, sf: _flat(detect.scan(carrier(spark, sf), Config(categories=("SSN", "DOB")))).groupBy("entity_type").agg(F.count("*").alias("n")))
+query("agg_by_type", f"{_sql_matches()} SELECT entity_type, count(*) AS n FROM m GROUP BY entity_type")(lambda spark, sf: _flat(_found(spark, sf)).groupBy("entity_type").agg(F.count("*").alias("n")))
+query("agg_by_tier", f"{_sql_matches()} SELECT count(*) FILTER (WHERE confidence >= 0.85) AS high, count(*) FILTER (WHERE confidence < 0.85) AS medium FROM m")(lambda spark, sf: _flat(_found(spark, sf), "tier").agg(F.count_if("tier = 'HIGH'").alias("high"), F.count_if("tier = 'MEDIUM'").alias("medium")))
+query("ctx_snippet", f"{_sql_matches(['SSN'])} SELECT seg_ord, 'SSN: [' || value || '].' AS context FROM m")(lambda spark, sf: _flat(detect.scan(carrier(spark, sf), Config(categories=("SSN",))), "context").select("seg_ord", "context"))
+query("protect_spans", f"WITH c AS ({CARRIER.format(customer='customer')}) SELECT seg_ord, unnest(['Companies Act', 'Offer Price']) AS text FROM c WHERE seg_ord % 9 = 8")(lambda spark, sf: carrier(spark, sf).select("seg_ord", F.inline(T.spans_of(F.col("text"), protected_pattern()))).select("seg_ord", "text"))
+
+_IPS = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
+query("det_ip_address")(lambda spark, sf: detect.scan(_docs(spark, sf), Config(categories=("IP_ADDRESS",))).select("doc_id", "seg_ord", F.inline("matches")).select("doc_id", "seg_ord", "start", "end", "text"))
+query("det_email")(lambda spark, sf: detect.scan(_docs(spark, sf), Config(categories=("EMAIL",))).select("doc_id", "seg_ord", F.inline("matches")).select("doc_id", "seg_ord", "start", "end", "text"))
+query("det_credit_card")(lambda spark, sf: detect.scan(_docs(spark, sf), Config(categories=("CREDIT_CARD",))).select("doc_id", "seg_ord", F.inline("matches")).select("doc_id", "seg_ord", "start", "end", "text"))
+
+query("repl_seed", f"{_sql_matches()} SELECT seg_ord, entity_type, {_SEED} AS k FROM m")(lambda spark, sf: _flat(_found(spark, sf)).select("seg_ord", "entity_type", replace.seed_int(F.col("text")).alias("k")))
+_SYNTHETIC = {
+    "SSN": "'9' || (k % 89 + 10) || '-' || (k % 89 + 10) || '-' || (k % 8999 + 1000)", "DOB": "lpad(CAST(1 + k % 28 AS VARCHAR), 2, '0') || '/' || lpad(CAST(1 + k % 12 AS VARCHAR), 2, '0') || '/' || (1970 + k % 30)",
+    "PHONE": "'+91 ' || (90000 + k % 9999) || ' ' || (10000 + (k >> 4) % 89999)", "PAN": "'AAAP' || substr('ABCDE', CAST(k % 5 + 1 AS INT), 1) || (k % 8999 + 1000) || 'Z'", "UPI_ID": "'user' || (k % 999) || '@okaxis'", "IBAN": "'GB29NWBK601613' || (k % 89999999 + 10000000)",
+}
+for _kind, _value in _SYNTHETIC.items():
+    query(f"repl_{_kind.lower()}", f"{_sql_matches([_kind])} SELECT seg_ord, {_value} AS replacement FROM (SELECT *, {_SEED} AS k FROM m)")(lambda spark, sf, k=_kind: _flat(_found(spark, sf, Config(categories=(k,))), "replacement").select("seg_ord", "replacement"))
+for _kind in ("PERSON", "COMPANY", "ADDRESS"):
+    query(f"repl_{_kind.lower()}")(lambda spark, sf, k=_kind: _flat(_found(spark, sf, Config(categories=(k,))), "replacement").select("seg_ord", "replacement"))
+query("repl_label", f"{_sql_matches()} SELECT seg_ord, '[REDACTED ' || entity_type || ']' AS replacement FROM m")(lambda spark, sf: _flat(_found(spark, sf, Config(strategy="CATEGORY_LABEL")), "replacement").select("seg_ord", "replacement"))
+query("repl_mask", f"{_sql_matches(['PERSON', 'PHONE'])} SELECT seg_ord, CASE entity_type WHEN 'PHONE' THEN '+91 XXXXX XXXXX' ELSE array_to_string(list_transform(string_split(value, ' '), lambda w: substr(w, 1, 1) || repeat('*', length(w) - 1)), ' ') END AS replacement FROM m")(lambda spark, sf: _flat(_found(spark, sf, Config(categories=("PERSON", "PHONE"), strategy="MASK")), "replacement").select("seg_ord", "replacement"))
+query("repl_token", f"{_sql_matches()} SELECT seg_ord, printf('<%s_%03d>', entity_type, row_number() OVER (PARTITION BY entity_type ORDER BY seg_ord, s)) AS replacement FROM m")(lambda spark, sf: _flat(_found(spark, sf, Config(strategy="TOKEN")), "replacement").select("seg_ord", "replacement"))
+query("repl_map", f"{_sql_matches()} SELECT count(DISTINCT (entity_type, lower(value))) AS n FROM m")(lambda spark, sf: replace.replacement_map(_flat(_found(spark, sf))).agg(F.count("*").alias("n")))
+
+_LABELLED = f"""{_sql_matches()}, parts AS (SELECT seg_ord, s, s + length(value) AS e, '[REDACTED ' || entity_type || ']' AS r FROM m),
+two AS (SELECT seg_ord, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es, list(r ORDER BY s) AS rs FROM parts GROUP BY seg_ord),
+done AS (SELECT c.seg_ord, text, CASE WHEN ss IS NULL THEN text WHEN len(ss) = 1 THEN substr(text, 1, ss[1]) || rs[1] || substr(text, es[1] + 1)
+  ELSE substr(text, 1, ss[1]) || rs[1] || substr(text, es[1] + 1, ss[2] - es[1]) || rs[2] || substr(text, es[2] + 1) END AS redacted FROM c LEFT JOIN two USING (seg_ord))"""
+
+
+def _labelled(spark, sf):
+    return engine.redact(carrier(spark, sf), Config(strategy="CATEGORY_LABEL"))
+
+
+query("apply_spans", f"{_LABELLED} SELECT seg_ord, redacted FROM done")(lambda spark, sf: _labelled(spark, sf).select("seg_ord", "redacted"))
+query("join_seg_matches", f"{_LABELLED} SELECT c.seg_ord, count(parts.s) AS n FROM c LEFT JOIN parts USING (seg_ord) GROUP BY c.seg_ord")(lambda spark, sf: _labelled(spark, sf).select("seg_ord", F.size("matches").cast("long").alias("n")))
+query("sink_audit_log", f"{_sql_matches()} SELECT entity_type, s AS \"start\", substr(sha256(value), 1, 16) AS original_hash FROM m")(lambda spark, sf: audit.audit_log(audit.explode_matches(_found(spark, sf))).select("entity_type", F.col("start").cast("long").alias("start"), "original_hash"))
+
+
+def _verified(spark, sf, mutate: bool = False):
+    rows = _labelled(spark, sf)
+    out = rows.select("doc_id", "segment_id", F.when(F.lit(mutate) & (F.col("seg_ord") % 100 == 0), F.concat("redacted", F.lit("!"))).otherwise(F.col("redacted")).alias("text"))
+    return audit.integrity_report(audit.integrity_rows(rows, out))
+
+
+_REPORT = "status", "segments_checked", "segments_with_unexpected_changes", "unauthorized_changed_characters", "total_approved_spans"
+_BAD = "SELECT count(*) FILTER (WHERE seg_ord % 100 = 0) AS b FROM c"
+query("verify_integrity", f"{_LABELLED} SELECT 'PASS' AS status, count(*) AS segments_checked, 0::BIGINT AS segments_with_unexpected_changes, 0::BIGINT AS unauthorized_changed_characters, (SELECT count(*) FROM m) AS total_approved_spans FROM done")(lambda spark, sf: _verified(spark, sf).select(*_REPORT))
+query("verify_char_diff", f"{_LABELLED} SELECT 'FAIL' AS status, count(*) AS segments_checked, ({_BAD}) AS segments_with_unexpected_changes, ({_BAD}) AS unauthorized_changed_characters, (SELECT count(*) FROM m) AS total_approved_spans FROM done")(lambda spark, sf: _verified(spark, sf, True).select(*_REPORT))
+
+
+def _reviewed(spark, sf):
+    m = audit.match_id(audit.explode_matches(_found(spark, sf)))
+    act = lambda k, a: m.where(f"seg_ord % 10 = {k}").select("match_id", F.lit(a).alias("action"), F.lit("edited").alias("edited_text"), F.lit("OTHER").alias("edited_entity_type"), F.lit(None).cast("string").alias("replacement_override"), F.lit(k).alias("review_ord"))
+    return audit.apply_reviews(m, act(1, "REJECT").union(act(2, "EDIT")).union(act(3, "CHANGE_TYPE")))
+
+
+query("review_apply", f"{_sql_matches()} SELECT seg_ord, CASE WHEN seg_ord % 10 = 3 THEN 'OTHER' ELSE entity_type END AS entity_type, CASE WHEN seg_ord % 10 = 2 THEN 'edited' ELSE value END AS text, seg_ord % 10 <> 1 AS approved FROM m")(lambda spark, sf: _reviewed(spark, sf).select("seg_ord", "entity_type", "text", "approved"))
+query("agg_review", f"{_sql_matches()} SELECT count(*) FILTER (WHERE seg_ord % 10 <> 1) AS approved, count(*) FILTER (WHERE seg_ord % 10 = 1) AS rejected FROM m")(lambda spark, sf: _reviewed(spark, sf).agg(F.count_if("approved").alias("approved"), F.count_if("not approved").alias("rejected")))
+query("agg_audit", f"{_sql_matches()} SELECT count(*) AS total, count(*) AS approved, 0::BIGINT AS rejected, count(DISTINCT entity_type) AS n_types FROM m")(lambda spark, sf: audit.audit_summary(audit.explode_matches(_found(spark, sf))).select("total", "approved", "rejected", "n_types"))
+
+
+def _gold(spark, sf):
+    m = _flat(_found(spark, sf))
+    return m.where("seg_ord % 4 <> 0").select("entity_type", "text"), m.where("seg_ord % 5 <> 0").select("entity_type", "text")
+
+
+_TYPES = "', '".join(audit.SCORED_TYPES)
+_SCORES = f"""{_sql_matches()}, g AS (SELECT DISTINCT entity_type, lower(value) AS t FROM m WHERE seg_ord % 4 <> 0), p AS (SELECT DISTINCT entity_type, lower(value) AS t FROM m WHERE seg_ord % 5 <> 0),
+k AS (SELECT unnest(['{_TYPES}']) AS entity_type),
+n AS (SELECT entity_type, (SELECT count(*) FROM g WHERE g.entity_type = k.entity_type) AS gold, (SELECT count(*) FROM p WHERE p.entity_type = k.entity_type) AS predicted, (SELECT count(*) FROM g JOIN p USING (entity_type, t) WHERE g.entity_type = k.entity_type) AS tp FROM k)"""
+query("agg_metrics_type", f"{_SCORES} SELECT entity_type, gold, predicted, tp, predicted - tp AS fp, gold - tp AS fn FROM n")(lambda spark, sf: audit.metrics_by_type(*_gold(spark, sf)).select("entity_type", "gold", "predicted", "tp", "fp", "fn"))
+query("agg_metrics_micro", f"{_SCORES} SELECT sum(gold)::BIGINT AS gold, sum(predicted)::BIGINT AS predicted, sum(tp)::BIGINT AS tp FROM n")(lambda spark, sf: audit.metrics_micro(audit.metrics_by_type(*_gold(spark, sf))).select("gold", "predicted", "tp"))
+query("agg_metrics_macro")(lambda spark, sf: audit.metrics_macro(audit.metrics_by_type(*_gold(spark, sf))))
+query("agg_negative", f"WITH c AS ({CARRIER.format(customer='customer')}) SELECT count(*) AS total, count(*) AS preserved, 0::BIGINT AS violated, 1.0::DOUBLE AS pass_rate FROM c WHERE seg_ord % 9 = 8")(lambda spark, sf: audit.negatives_summary(audit.negatives(carrier(spark, sf).where("seg_ord % 9 = 8").select("text"), _flat(_found(spark, sf)))))
+query("residual_scan")(lambda spark, sf: audit.residual(_flat(engine.detected(engine.redact(carrier(spark, sf)).select("doc_id", "segment_id", "seg_ord", F.col("redacted").alias("text")))).select("seg_ord", "entity_type", "text"), replace.replacement_map(_flat(_found(spark, sf)))))
+query("hash_text", "SELECT c_custkey, substr(sha256(c_name), 1, 16) AS h FROM customer")(lambda spark, sf: _table(spark, sf, "customer").select("c_custkey", T.hash_text(F.col("c_name")).alias("h")))
+query("src_txt_lines", f"SELECT doc_id, 'line_' || seg_ord AS segment_id, CAST(seg_ord AS INT) AS seg_ord, length(line) AS n FROM ({LINES})")(lambda spark, sf: _docs(spark, sf).select("doc_id", "segment_id", "seg_ord", F.length(F.regexp_replace("text", "\n", "")).cast("long").alias("n")))
+query("sink_txt", "SELECT doc_id, sha256(text) AS h FROM documents")(lambda spark, sf: writers.text_documents(_docs(spark, sf)).select("doc_id", F.sha2("text", 256).alias("h")))
+query("src_csv_cells", "SELECT 'csv_r' || r_regionkey || '_c0' AS segment_id, r_name AS text FROM region")(lambda spark, sf: readers.cell_segments(_table(spark, sf, "region").select(F.lit("region").alias("doc"), "r_regionkey", "r_name"), "doc", "r_regionkey").select("segment_id", "text"))
+query("src_stats", f"SELECT doc_id, count(*) AS segments FROM ({LINES}) GROUP BY doc_id")(lambda spark, sf: readers.document_stats(_docs(spark, sf)).select("doc_id", "segments"))
+query("src_registry", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'docx' WHEN 1 THEN 'csv' END AS adapter FROM nation")(lambda spark, sf: _table(spark, sf, "nation").select("n_nationkey", readers.adapter_column(F.element_at(F.array(F.lit("a.DOCX"), F.lit("b.x.tsv"), F.lit("c.bin")), (F.col("n_nationkey") % 3 + 1).cast("int"))).alias("adapter")))
+query("luhn")(lambda spark, sf: _table(spark, sf, "orders").select("o_orderkey", T.luhn(F.lpad(F.col("o_orderkey").cast("string"), 16, "4")).alias("ok")))
+query("blank_filter", f"SELECT count(*) AS n FROM ({LINES}) WHERE trim(line) <> ''")(lambda spark, sf: _docs(spark, sf).where(~T.blank(F.col("text"))).agg(F.count("*").alias("n")))
+query("spot_check")(lambda spark, sf: audit.spot_check(_flat(_found(spark, sf)).select(F.lit("carrier").alias("doc_id"), "text"), writers.text_documents(_labelled(spark, sf).select("doc_id", "seg_ord", F.col("redacted").alias("text")))))
+query("redact_documents")(lambda spark, sf: engine.redact(_docs(spark, sf)).where(F.size("matches") > 0).select("doc_id", "seg_ord", "redacted"))
+
+
+def entry(spark: SparkSession, sf: str) -> DataFrame:
+    """How many spans of each type the documents' lines and the carrier lines hold."""
+    both = _docs(spark, sf).select("doc_id", "seg_ord", "text").withColumn("doc_id", F.col("doc_id").cast("string")).unionByName(carrier(spark, sf).select("doc_id", F.col("seg_ord").cast("int").alias("seg_ord"), "text"))
+    rows = detect.scan(both).withColumn("matches", resolve.by_start(F.col("matches")))
+    return rows.select(F.inline("matches")).groupBy("entity_type").agg(F.count("*").alias("n"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
