@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from redactory.functions.text import hash_text, splice, strip
 from redactory.operators.replace import synthetic
@@ -53,7 +54,7 @@ def integrity_rows(original: DataFrame, redacted: DataFrame) -> DataFrame:
     return both.withColumn("ok", F.col("expected").eqNullSafe(F.col("actual")))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def changed_characters(expected: pd.Series, actual: pd.Series) -> pd.Series:
     """Characters that a line diff of single characters adds or takes away; for failing rows only."""
     diff = lambda a, b: sum(1 for x in difflib.ndiff(a or "", b or "") if x[0] in "+-")
