@@ -24,13 +24,14 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm._common import U64, buckets, by_bucket, hashed, mix, stored, text_buffer
+from redactory.llm._common import U64, buckets, by_bucket, hashed, mix, release, stored, text_buffer
 
 END = U64(0x5851F42D4C957F2D)
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 _CHUNK = "chunk string, ids binary, lens binary, learn binary, words binary, tokens binary"
 #: Estimates are quantised to so many steps per factor of two for the weights.
 FINE, STEPS, CLASSES = 2, 80, 24
@@ -51,20 +52,26 @@ def _chunks(held_out: Callable[[int], bool]):
                 codes, words = pd.factorize(tokens)
                 ids = all_ids[row:to]
                 learn = np.array([not held_out(i) for i in ids.tolist()], np.uint8)
-                blobs = [ids, n.astype(np.int64), learn, words, codes.astype(np.uint32)]
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=[x.split()[0] for x in _CHUNK.split(", ")])
+                blobs = [x.tobytes() for x in (ids, n.astype(np.int64), learn, words)] + [zstandard.compress(codes.astype(np.uint32).tobytes(), 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(pa.array([x], pa.binary()) for x in blobs)], names=[x.split()[0] for x in _CHUNK.split(", ")])
                 row = to
 
     return run
 
 
+def _each(batch: pa.RecordBatch):
+    """Its rows, of which one at a time is in memory as Python values."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 class Chunk:
     """A chunk's rows, and its distinct words and bigrams."""
 
     def __init__(self, row: dict):
         get = lambda k, kind: np.frombuffer(row[k], kind)
         self.ids, self.lens, self.learn = get("ids", np.int64), get("lens", np.int64), get("learn", np.uint8)
-        self.words, self.tokens = get("words", U64), get("tokens", np.uint32).astype(np.int64)
+        self.words, self.tokens = get("words", U64), np.frombuffer(zstandard.decompress(row["tokens"]), np.uint32).astype(np.int64)
         self.rows = np.concatenate(([0], np.cumsum(self.lens)))
         self.learned = np.repeat(self.learn, self.lens).astype(bool)
         end = np.flatnonzero(self.words == END)
@@ -83,7 +90,7 @@ class Chunk:
 def _ask(n_buckets: int):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 c = Chunk(row)
                 out = []
                 for kind, keys, counts in zip((0, 1), (c.words, c.pairs), c.counts()):
@@ -136,7 +143,7 @@ def _step(p: np.ndarray) -> np.ndarray:
 def _histogram(n_buckets: int, n: int):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 c, words, pairs = _answered(row, n_buckets)
                 own = c.learned
                 # each token off its own counts
@@ -164,13 +171,19 @@ def learned_weights(keys: np.ndarray, m: np.ndarray, v: int, rounds: int = 60) -
     return w
 
 
+def _told(chunks: DataFrame, n_buckets: int) -> DataFrame:
+    asked = chunks.mapInArrow(_ask(n_buckets), "chunk string, kind int, bucket int, keys binary, counts binary")
+    told = asked.groupBy("kind", "bucket").applyInArrow(_add, "chunk string, kind int, bucket int, totals binary, distinct long, sum long")
+    return stored(told, "lm-told", compression="zstd")
+
+
 _SCORE = "doc_id long, learned boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _scores(n_buckets: int, n: int, v: int, weights: np.ndarray):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 c, words, pairs = _answered(row, n_buckets)
                 one, ctx, two = words[c.tokens], words[c.before], pairs[c.pair_codes]
                 base = np.log10((words + 0.5) / (n + 0.5 * (v + 1)))[c.tokens]
@@ -188,9 +201,8 @@ def score(documents: DataFrame, held_out: Callable[[int], bool], id_col: str = "
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     n_buckets = buckets(documents.sparkSession, 2)
     chunks = stored(docs.mapInArrow(_chunks(held_out), _CHUNK), "lm-chunks")
-    asked = chunks.mapInArrow(_ask(n_buckets), "chunk string, kind int, bucket int, keys binary, counts binary")
-    told = asked.groupBy("kind", "bucket").applyInArrow(_add, "chunk string, kind int, bucket int, totals binary, distinct long, sum long")
-    told = stored(told, "lm-told")
+    told = _told(chunks, n_buckets)
+    release(documents.sparkSession)
     facts = told.where("kind = 0").agg(F.sum("distinct"), F.sum("sum")).first()
     v, n = int(facts[0] or 0), int(facts[1] or 0)
     answers = told.groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "totals")).alias("answers"))
