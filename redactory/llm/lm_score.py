@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from redactory.llm._common import U64, buckets, by_bucket, hashed, mix, release, stored, text_buffer
 
 END = U64(0x5851F42D4C957F2D)
-PART_BYTES = 8 << 20
+PART_BYTES = 3 << 20
 _CHUNK = "chunk string, ids binary, lens binary, learn binary, words binary, tokens binary"
 #: Estimates are quantised to so many steps per factor of two for the weights.
 FINE, STEPS, CLASSES = 2, 80, 24
@@ -199,7 +199,7 @@ def _scores(n_buckets: int, n: int, v: int, weights: np.ndarray):
 def score(documents: DataFrame, held_out: Callable[[int], bool], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); held_out says by id which rows not to learn from."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    n_buckets = buckets(documents.sparkSession, 2)
+    n_buckets = buckets(documents.sparkSession)
     chunks = stored(docs.mapInArrow(_chunks(held_out), _CHUNK), "lm-chunks")
     told = _told(chunks, n_buckets)
     release(documents.sparkSession)
