@@ -64,7 +64,7 @@ def changed_characters(expected: pd.Series, actual: pd.Series) -> pd.Series:
 def integrity_report(rows: DataFrame) -> DataFrame:
     """One row for each document."""
     bad = rows.where("not ok").select("doc_id", changed_characters("expected", "actual").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"))
-    sums = rows.groupBy("doc_id").agg(F.count("*").alias("segments_checked"), F.count_if("n_spans > 0").alias("segments_with_expected_redactions"), F.count_if("not ok").alias("segments_with_unexpected_changes"), F.sum(F.coalesce(F.length("original"), F.lit(0))).alias("total_original_characters"), F.sum(F.coalesce("n_spans", F.lit(0))).alias("total_approved_spans"))
+    sums = rows.groupBy("doc_id").agg(F.count("*").alias("segments_checked"), F.count_if(F.expr("n_spans > 0")).alias("segments_with_expected_redactions"), F.count_if(F.expr("not ok")).alias("segments_with_unexpected_changes"), F.sum(F.coalesce(F.length("original"), F.lit(0))).alias("total_original_characters"), F.sum(F.coalesce("n_spans", F.lit(0))).alias("total_approved_spans"))
     out = sums.join(bad, "doc_id", "left").withColumn("unauthorized_changed_characters", F.coalesce("n", F.lit(0).cast("long"))).drop("n")
     rate = F.when(F.col("total_original_characters") > 0, F.col("unauthorized_changed_characters") / F.col("total_original_characters")).otherwise(0.0)
     out = out.withColumn("unauthorized_change_rate", rate).withColumn("non_pii_preservation_rate", F.greatest(F.lit(0.0), 1 - rate))
@@ -96,7 +96,7 @@ def metrics_by_type(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     kinds = F.array(*map(F.lit, SCORED_TYPES))
     types = gold.sparkSession.range(1).select(F.explode(kinds).alias("entity_type"))
     both = g.join(p, ["entity_type", "t"], "full").where(F.col("entity_type").isin(SCORED_TYPES))
-    n = both.groupBy("entity_type").agg(F.count("g").alias("gold"), F.count("p").alias("predicted"), F.count_if("g = 1 and p = 1").alias("tp"))
+    n = both.groupBy("entity_type").agg(F.count("g").alias("gold"), F.count("p").alias("predicted"), F.count_if(F.expr("g = 1 and p = 1")).alias("tp"))
     n = types.join(n, "entity_type", "left").fillna(0, ["gold", "predicted", "tp"]).withColumn("fp", F.col("predicted") - F.col("tp")).withColumn("fn", F.col("gold") - F.col("tp"))
     return _rates(n, F.col("gold") > 0)
 
@@ -125,7 +125,7 @@ def negatives(phrases: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def negatives_summary(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.count("*").alias("total"), F.count_if("preserved").alias("preserved"), F.count_if("not preserved").alias("violated"), F.coalesce(F.count_if("preserved") / F.nullif(F.count("*"), F.lit(0)), F.lit(1.0)).alias("pass_rate"))
+    return rows.agg(F.count("*").alias("total"), F.count_if(F.expr("preserved")).alias("preserved"), F.count_if(F.expr("not preserved")).alias("violated"), F.coalesce(F.count_if(F.expr("preserved")) / F.nullif(F.count("*"), F.lit(0)), F.lit(1.0)).alias("pass_rate"))
 
 
 def residual(findings: DataFrame, known: DataFrame) -> DataFrame:
@@ -149,4 +149,4 @@ def audit_log(matches: DataFrame, raw_text: bool = False) -> DataFrame:
 
 
 def audit_summary(matches: DataFrame) -> DataFrame:
-    return matches.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if("approved").alias("approved"), F.count_if("not approved").alias("rejected"), F.count_if("tier = 'HIGH'").alias("high"), F.count_if("tier = 'MEDIUM'").alias("medium"), F.count_distinct("entity_type").alias("n_types"))
+    return matches.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if(F.expr("approved")).alias("approved"), F.count_if(F.expr("not approved")).alias("rejected"), F.count_if(F.expr("tier = 'HIGH'")).alias("high"), F.count_if(F.expr("tier = 'MEDIUM'")).alias("medium"), F.count_distinct("entity_type").alias("n_types"))

@@ -92,7 +92,7 @@ query("approve", f"{_sql_matches()} SELECT seg_ord, confidence >= 0.95 AS approv
 query("det_custom", f"WITH c AS ({CARRIER.format(customer='customer')}) SELECT seg_ord, regexp_extract(text, 'order [0-9]+') AS text FROM c WHERE seg_ord % 9 = 8")(lambda spark, sf: detect.scan(carrier(spark, sf), Config(categories=(), custom=(detect.Custom("ORDER", r"order \d+"),))).select("seg_ord", F.inline("matches")).select("seg_ord", "text"))
 query("category_filter", f"{_sql_matches(['SSN', 'DOB'])} SELECT entity_type, count(*) AS n FROM m GROUP BY entity_type")(lambda spark, sf: _flat(detect.scan(carrier(spark, sf), Config(categories=("SSN", "DOB")))).groupBy("entity_type").agg(F.count("*").alias("n")))
 query("agg_by_type", f"{_sql_matches()} SELECT entity_type, count(*) AS n FROM m GROUP BY entity_type")(lambda spark, sf: _flat(_found(spark, sf)).groupBy("entity_type").agg(F.count("*").alias("n")))
-query("agg_by_tier", f"{_sql_matches()} SELECT count(*) FILTER (WHERE confidence >= 0.85) AS high, count(*) FILTER (WHERE confidence < 0.85) AS medium FROM m")(lambda spark, sf: _flat(_found(spark, sf), "tier").agg(F.count_if("tier = 'HIGH'").alias("high"), F.count_if("tier = 'MEDIUM'").alias("medium")))
+query("agg_by_tier", f"{_sql_matches()} SELECT count(*) FILTER (WHERE confidence >= 0.85) AS high, count(*) FILTER (WHERE confidence < 0.85) AS medium FROM m")(lambda spark, sf: _flat(_found(spark, sf), "tier").agg(F.count_if(F.expr("tier = 'HIGH'")).alias("high"), F.count_if(F.expr("tier = 'MEDIUM'")).alias("medium")))
 query("ctx_snippet", f"{_sql_matches(['SSN'])} SELECT seg_ord, 'SSN: [' || value || '].' AS context FROM m")(lambda spark, sf: _flat(detect.scan(carrier(spark, sf), Config(categories=("SSN",))), "context").select("seg_ord", "context"))
 query("protect_spans", f"WITH c AS ({CARRIER.format(customer='customer')}) SELECT seg_ord, unnest(['Companies Act', 'Offer Price']) AS text FROM c WHERE seg_ord % 9 = 8")(lambda spark, sf: carrier(spark, sf).select("seg_ord", F.inline(T.spans_of(F.col("text"), protected_pattern()))).select("seg_ord", "text"))
 
@@ -149,7 +149,7 @@ def _reviewed(spark, sf):
 
 
 query("review_apply", f"{_sql_matches()} SELECT seg_ord, CASE WHEN seg_ord % 10 = 3 THEN 'OTHER' ELSE entity_type END AS entity_type, CASE WHEN seg_ord % 10 = 2 THEN 'edited' ELSE value END AS text, seg_ord % 10 <> 1 AS approved FROM m")(lambda spark, sf: _reviewed(spark, sf).select("seg_ord", "entity_type", "text", "approved"))
-query("agg_review", f"{_sql_matches()} SELECT count(*) FILTER (WHERE seg_ord % 10 <> 1) AS approved, count(*) FILTER (WHERE seg_ord % 10 = 1) AS rejected FROM m")(lambda spark, sf: _reviewed(spark, sf).agg(F.count_if("approved").alias("approved"), F.count_if("not approved").alias("rejected")))
+query("agg_review", f"{_sql_matches()} SELECT count(*) FILTER (WHERE seg_ord % 10 <> 1) AS approved, count(*) FILTER (WHERE seg_ord % 10 = 1) AS rejected FROM m")(lambda spark, sf: _reviewed(spark, sf).agg(F.count_if(F.expr("approved")).alias("approved"), F.count_if(F.expr("not approved")).alias("rejected")))
 query("agg_audit", f"{_sql_matches()} SELECT count(*) AS total, count(*) AS approved, 0::BIGINT AS rejected, count(DISTINCT entity_type) AS n_types FROM m")(lambda spark, sf: audit.audit_summary(audit.explode_matches(_found(spark, sf))).select("total", "approved", "rejected", "n_types"))
 
 

@@ -176,7 +176,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def document_stats(segments: DataFrame) -> DataFrame:
     """Segments, characters and kinds of each document."""
-    return segments.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("characters"), F.count_if("length(trim(text)) = 0").alias("blank_segments"))
+    return segments.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("characters"), F.count_if(F.expr("length(trim(text)) = 0")).alias("blank_segments"))
 
 
 def read_gold(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
