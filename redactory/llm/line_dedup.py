@@ -36,9 +36,11 @@ def later_runs(documents: DataFrame, run: int = 3, id_col: str = "doc_id", text_
     """(doc_id, starts): where later repeats start, counted in lines that aren't blank."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     docs = _with_lines(docs).where(F.size("full") >= run).select("doc_id", F.expr("transform(full, i -> lines[i])").alias("lines"))
-    docs = docs.withColumn("hashes", F.expr("transform(lines, x -> xxhash64(x))"))
     pick = f"array_min(transform(sequence(p, p + {run - 1}), j -> named_struct('h', hashes[j], 'back', -j)))"
-    windows = docs.select("doc_id", F.expr(f"transform(sequence(0, size(lines) - {run}), p -> named_struct('p', p, 'least', {pick}, 'digest', unhex(md5(concat_ws('\\n', slice(lines, p + 1, {run}))))))").alias("w"))
+    each = f"transform(sequence(0, size(hashes) - {run}), p -> named_struct('p', p, 'least', {pick}, 'digest', unhex(md5(concat_ws('\\n', slice(kept, p + 1, {run}))))))"
+    # bound as arguments: a column of their own would be inlined into the inner functions and evaluated for each line
+    bound = f"transform(array(lines), kept -> transform(array(transform(kept, x -> xxhash64(x))), hashes -> {each})[0])[0]"
+    windows = docs.select("doc_id", F.expr(bound).alias("w"))
     rows = stored(windows.select("doc_id", F.explode("w").alias("w")).select("doc_id", "w.p", F.col("w.least.h").alias("print"), F.expr("-w.least.back").alias("at"), "w.digest"), "line-runs")
     # a fingerprint is where it was selected, however many windows selected it
     prints = rows.groupBy("print").agg(F.min(F.struct("doc_id", "at")).alias("a"), F.max(F.struct("doc_id", "at")).alias("z")).where("a < z").select("print")
