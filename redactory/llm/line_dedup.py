@@ -40,8 +40,9 @@ def later_runs(documents: DataFrame, run: int = 3, id_col: str = "doc_id", text_
     each = f"transform(sequence(0, size(hashes) - {run}), p -> named_struct('p', p, 'least', {pick}, 'digest', unhex(md5(concat_ws('\\n', slice(kept, p + 1, {run}))))))"
     # bound as arguments: a column of their own would be inlined into the inner functions and evaluated for each line
     bound = f"transform(array(lines), kept -> transform(array(transform(kept, x -> xxhash64(x))), hashes -> {each})[0])[0]"
-    windows = docs.select("doc_id", F.expr(bound).alias("w"))
-    rows = stored(windows.select("doc_id", F.explode("w").alias("w")).select("doc_id", "w.p", F.col("w.least.h").alias("print"), F.expr("-w.least.back").alias("at"), "w.digest"), "line-runs")
+    windows = docs.select("doc_id", F.expr(f"case when size(lines) >= {run} then {bound} end").alias("w"))
+    # the outer form, of which no filter is inferred that would make the windows twice; no text here is without a window
+    rows = stored(windows.select("doc_id", F.explode_outer("w").alias("w")).where("w is not null").select("doc_id", "w.p", F.col("w.least.h").alias("print"), F.expr("-w.least.back").alias("at"), "w.digest"), "line-runs")
     # a fingerprint is where it was selected, however many windows selected it
     prints = rows.groupBy("print").agg(F.min(F.struct("doc_id", "at")).alias("a"), F.max(F.struct("doc_id", "at")).alias("z")).where("a < z").select("print")
     some = rows.join(sized(stored(prints, "line-prints"), 16), "print", "left_semi").select("doc_id", "p", "digest")
