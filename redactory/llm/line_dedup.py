@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from redactory.llm._common import sized, stored
 
 _LINES = "coalesce(split(text, '\\n', -1), array())"
-_FULL = "filter(sequence(0, size(lines)), i -> i < size(lines) and lines[least(i, size(lines) - 1)] rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
+_NOT_BLANK = "[^\\\\x20\\\\x09-\\\\x0D]"
+_FULL = f"filter(sequence(0, size(lines)), i -> i < size(lines) and lines[least(i, size(lines) - 1)] rlike '{_NOT_BLANK}')"
 
 
 def _with_lines(docs: DataFrame) -> DataFrame:
@@ -35,13 +36,13 @@ def _with_lines(docs: DataFrame) -> DataFrame:
 def later_runs(documents: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, starts): where later repeats start, counted in lines that aren't blank."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    docs = _with_lines(docs).where(F.size("full") >= run).select("doc_id", F.expr("transform(full, i -> lines[i])").alias("lines"))
+    docs = docs.select("doc_id", F.expr(f"filter({_LINES}, x -> x rlike '{_NOT_BLANK}')").alias("lines"))
     pick = f"array_min(transform(sequence(p, p + {run - 1}), j -> named_struct('h', hashes[j], 'back', -j)))"
     each = f"transform(sequence(0, size(hashes) - {run}), p -> named_struct('p', p, 'least', {pick}, 'digest', unhex(md5(concat_ws('\\n', slice(kept, p + 1, {run}))))))"
     # bound as arguments: a column of their own would be inlined into the inner functions and evaluated for each line
     bound = f"transform(array(lines), kept -> transform(array(transform(kept, x -> xxhash64(x))), hashes -> {each})[0])[0]"
     windows = docs.select("doc_id", F.expr(f"case when size(lines) >= {run} then {bound} end").alias("w"))
-    # the outer form, of which no filter is inferred that would make the windows twice; no text here is without a window
+    # the outer form, of which no filter is inferred that would make the windows twice
     rows = stored(windows.select("doc_id", F.explode_outer("w").alias("w")).where("w is not null").select("doc_id", "w.p", F.col("w.least.h").alias("print"), F.expr("-w.least.back").alias("at"), "w.digest"), "line-runs")
     # a fingerprint is where it was selected, however many windows selected it
     prints = rows.groupBy("print").agg(F.min(F.struct("doc_id", "at")).alias("a"), F.max(F.struct("doc_id", "at")).alias("z")).where("a < z").select("print")
