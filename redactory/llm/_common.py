@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if its counted rows times its row width stay under this; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 U64 = np.uint64
 _BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
@@ -41,7 +42,15 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet into the shared folder and return the table read back: this cuts the lineage durably."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # once the table is there, nothing reads its shuffle files again
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -206,8 +206,9 @@ def score(documents: DataFrame, held_out: Callable[[int], bool], id_col: str = "
     facts = told.where("kind = 0").agg(F.sum("distinct"), F.sum("sum")).first()
     v, n = int(facts[0] or 0), int(facts[1] or 0)
     answers = told.groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "totals")).alias("answers"))
-    both = stored(chunks.join(answers, "chunk"), "lm-both")
-    found = both.mapInArrow(_histogram(n_buckets, n), "key long, m long").groupBy("key").agg(F.sum("m").alias("m")).toArrow()
+    both = chunks.join(answers, "chunk")  # made twice rather than stored: it is as large as both tables
+    found = stored(both.mapInArrow(_histogram(n_buckets, n), "key long, m long").groupBy("key").agg(F.sum("m").alias("m")), "lm-histogram").toArrow()
+    release(documents.sparkSession)
     weights = learned_weights(np.asarray(found["key"], np.int64), np.asarray(found["m"], np.float64), v)
     rows = both.mapInArrow(_scores(n_buckets, n, v, weights), _SCORE)
     return rows.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
