@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+from functools import lru_cache, wraps
+
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int,text:string>"
@@ -10,6 +14,10 @@ SPANS = f"array<{SPAN}>"
 MATCH = "struct<entity_type:string,start:int,end:int,text:string,confidence:double,tier:string,source:string,context:string,det_ord:int,approved:boolean>"
 MATCHES = f"array<{MATCH}>"
 
+def reused(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Columns are immutable: those for the same arguments are built once a JVM, as each call over its gateway takes time."""
+    kept = lru_cache(256)(lambda gateway, *args: build(*args))
+    return wraps(build)(lambda *args: kept(id(SparkContext._gateway), *args))
 
 
 def none(kind: str = SPANS) -> Column:
@@ -104,6 +112,13 @@ def blank(text: Column) -> Column:
     return ~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
 
 
+def match_rows(rows: DataFrame, *keep: str | Column) -> DataFrame:
+    """A row for each of `matches`, with the columns to keep.
+
+    Outer, so that Spark infers no filter on the array and pushes none below the detectors: that would detect twice."""
+    return rows.select(*keep, F.inline_outer("matches")).where("entity_type is not null")
+
+
 def valid_spans(text: Column, spans: Column) -> Column:
     """The spans within the text that hold what they say."""
     return F.filter(spans, lambda s: (s["start"] >= 0) & (s["end"] <= F.length(text)) & (s["start"] <= s["end"]) & (F.substring(text, s["start"] + 1, s["end"] - s["start"]) == s["text"]))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from redactory.functions.text import hash_text, splice, strip
+from redactory.functions.text import hash_text, match_rows, splice, strip
 from redactory.operators.replace import synthetic
 
 SCORED_TYPES = "PERSON EMAIL PHONE COMPANY ADDRESS SSN CREDIT_CARD DOB IP_ADDRESS".split()
@@ -21,7 +21,7 @@ def match_id(rows: DataFrame) -> DataFrame:
 
 
 def explode_matches(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", "segment_id", "seg_ord", F.inline("matches"))
+    return match_rows(rows, "doc_id", "segment_id", "seg_ord")
 
 
 def last_reviews(reviews: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactory.functions import vocabulary as V
-from redactory.functions.text import MATCHES, anchored, before, blank, contains_any, luhn, none, overlaps, snippet, span, spans_of, strip, tier
+from redactory.functions.text import MATCHES, anchored, before, blank, contains_any, luhn, none, overlaps, reused, snippet, span, spans_of, strip, tier
 
 #: What every text with such a match has.
 DIGIT = r"\p{Nd}"
@@ -181,6 +181,13 @@ def protected_spans(text: Column, config: Config = Config()) -> Column:
     return spans_of(text, V.protected_pattern(config.packs, config.protected_terms))
 
 
+@reused
+def _findings(rule: str | Custom, text: str, pat: str) -> Column:
+    t, held = F.col(text), F.col("_held")
+    found = custom(rule, t, held, pat) if isinstance(rule, Custom) else DETECTORS[rule](t, held, pat)
+    return F.when(blank(t), none(MATCHES)).otherwise(found)
+
+
 def scan(segments: DataFrame, config: Config = Config(), text: str = "text") -> DataFrame:
     """segments with `matches`: what all enabled detectors find, in their order; blank and null texts have none.
 
@@ -188,9 +195,9 @@ def scan(segments: DataFrame, config: Config = Config(), text: str = "text") ->
     pat = V.protected_pattern(config.packs, config.protected_terms)
     t = F.col(text)
     rows = segments.withColumn("_held", F.when(blank(t), none()).otherwise(protected_spans(t, config)))
-    rules = [DETECTORS[k] for k in ORDER if k in config.categories] + [lambda *a, r=r: custom(r, *a) for r in config.custom]
+    rules = [k for k in ORDER if k in config.categories] + list(config.custom)
     names = [f"_m{i}" for i in range(len(rules))]
-    rows = rows.withColumns({n: F.when(blank(t), none(MATCHES)).otherwise(rule(t, F.col("_held"), pat)) for n, rule in zip(names, rules)})
+    rows = rows.withColumns({n: _findings(rule, text, pat) for n, rule in zip(names, rules)})
     found = F.concat(*names) if names else none(MATCHES)
     found = F.transform(found, lambda m: m.withField("approved", m["confidence"] >= config.threshold))
     return rows.withColumn("matches", found).drop("_held", *names)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactory.functions import vocabulary as V
-from redactory.functions.text import strip
+from redactory.functions.text import reused, strip
 
 STRATEGIES = ("SYNTHETIC", "MASK", "TOKEN", "CATEGORY_LABEL")
 
@@ -82,9 +82,14 @@ def numbered(matches: DataFrame, doc: str = "doc_id") -> DataFrame:
     return matches.withColumn("replacement", token(F.col("entity_type"), F.row_number().over(w)))
 
 
+@reused
+def _replaced(strategy: str, seed: int) -> Column:
+    return F.transform("matches", lambda m: m.withField("replacement", replacement(m["entity_type"], m["text"], strategy, seed)))
+
+
 def with_replacements(rows: DataFrame, strategy: str = "SYNTHETIC", seed: int = 42) -> DataFrame:
     """rows with `matches` whose structs have a replacement (not for TOKEN)."""
-    return rows.withColumn("matches", F.transform("matches", lambda m: m.withField("replacement", replacement(m["entity_type"], m["text"], strategy, seed))))
+    return rows.withColumn("matches", _replaced(strategy, seed))
 
 
 def replacement_map(matches: DataFrame, seed: int = 42) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.functions.text import splice, valid_spans
+from redactory.functions.text import match_rows, splice, valid_spans
 from redactory.operators import resolve
 from redactory.operators.detect import Config, scan
 from redactory.operators.replace import numbered, with_replacements
@@ -24,7 +24,7 @@ def replaced(rows: DataFrame, config: Config = Config()) -> DataFrame:
     """Matches with replacements; TOKEN numbers them by document, which is the one strategy that shuffles."""
     if config.strategy != "TOKEN":
         return with_replacements(rows, config.strategy, config.seed)
-    flat = numbered(rows.select("doc_id", "segment_id", "seg_ord", F.inline("matches")))
+    flat = numbered(match_rows(rows, "doc_id", "segment_id", "seg_ord"))
     names = [c for c in flat.columns if c not in ("doc_id", "segment_id", "seg_ord")]
     back = flat.groupBy("doc_id", "segment_id").agg(F.array_sort(F.collect_list(F.struct("start", F.struct(*names).alias("m")))).alias("x"))
     kind = "array<" + back.select(F.transform("x", lambda x: x["m"]).alias("m")).schema["m"].dataType.elementType.simpleString() + ">"

@@ -53,7 +53,7 @@ def _found(spark, sf, config=Config()):
 
 
 def _flat(rows, *more):
-    return rows.select("seg_ord", F.inline("matches")).select("seg_ord", "entity_type", "start", "end", "text", "confidence", *more)
+    return rows.transform(T.match_rows, "seg_ord").select("seg_ord", "entity_type", "start", "end", "text", "confidence", *more)
 
 
 def _sql_matches(kinds=None) -> str:
@@ -88,8 +88,8 @@ for _kind in _VALUES:
 query("scan_segments", f"{_sql_matches()} SELECT {_SPAN} FROM m")(lambda spark, sf: _flat(detect.scan(carrier(spark, sf))))
 query("resolve_engine", f"{_sql_matches()} SELECT {_SPAN} FROM m")(lambda spark, sf: _flat(_found(spark, sf)))
 query("resolve_cli", f"{_sql_matches()} SELECT {_SPAN} FROM m")(lambda spark, sf: _flat(engine.detected(carrier(spark, sf), profile="cli")))
-query("approve", f"{_sql_matches()} SELECT seg_ord, confidence >= 0.95 AS approved FROM m")(lambda spark, sf: detect.scan(carrier(spark, sf), Config(threshold=0.95)).select("seg_ord", F.inline("matches")).select("seg_ord", "approved"))
-query("det_custom", f"WITH c AS ({CARRIER.format(customer='customer')}) SELECT seg_ord, regexp_extract(text, 'order [0-9]+') AS text FROM c WHERE seg_ord % 9 = 8")(lambda spark, sf: detect.scan(carrier(spark, sf), Config(categories=(), custom=(detect.Custom("ORDER", r"order \d+"),))).select("seg_ord", F.inline("matches")).select("seg_ord", "text"))
+query("approve", f"{_sql_matches()} SELECT seg_ord, confidence >= 0.95 AS approved FROM m")(lambda spark, sf: detect.scan(carrier(spark, sf), Config(threshold=0.95)).transform(T.match_rows, "seg_ord").select("seg_ord", "approved"))
+query("det_custom", f"WITH c AS ({CARRIER.format(customer='customer')}) SELECT seg_ord, regexp_extract(text, 'order [0-9]+') AS text FROM c WHERE seg_ord % 9 = 8")(lambda spark, sf: detect.scan(carrier(spark, sf), Config(categories=(), custom=(detect.Custom("ORDER", r"order \d+"),))).transform(T.match_rows, "seg_ord").select("seg_ord", "text"))
 query("category_filter", f"{_sql_matches(['SSN', 'DOB'])} SELECT entity_type, count(*) AS n FROM m GROUP BY entity_type")(lambda spark, sf: _flat(detect.scan(carrier(spark, sf), Config(categories=("SSN", "DOB")))).groupBy("entity_type").agg(F.count("*").alias("n")))
 query("agg_by_type", f"{_sql_matches()} SELECT entity_type, count(*) AS n FROM m GROUP BY entity_type")(lambda spark, sf: _flat(_found(spark, sf)).groupBy("entity_type").agg(F.count("*").alias("n")))
 query("agg_by_tier", f"{_sql_matches()} SELECT count(*) FILTER (WHERE confidence >= 0.85) AS high, count(*) FILTER (WHERE confidence < 0.85) AS medium FROM m")(lambda spark, sf: _flat(_found(spark, sf), "tier").agg(F.count_if(F.expr("tier = 'HIGH'")).alias("high"), F.count_if(F.expr("tier = 'MEDIUM'")).alias("medium")))
@@ -97,9 +97,9 @@ query("ctx_snippet", f"{_sql_matches(['SSN'])} SELECT seg_ord, 'SSN: [' || value
 query("protect_spans", f"WITH c AS ({CARRIER.format(customer='customer')}) SELECT seg_ord, unnest(['Companies Act', 'Offer Price']) AS text FROM c WHERE seg_ord % 9 = 8")(lambda spark, sf: carrier(spark, sf).select("seg_ord", F.inline(T.spans_of(F.col("text"), protected_pattern()))).select("seg_ord", "text"))
 
 _IPS = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
-query("det_ip_address")(lambda spark, sf: detect.scan(_docs(spark, sf), Config(categories=("IP_ADDRESS",))).select("doc_id", "seg_ord", F.inline("matches")).select("doc_id", "seg_ord", "start", "end", "text"))
-query("det_email")(lambda spark, sf: detect.scan(_docs(spark, sf), Config(categories=("EMAIL",))).select("doc_id", "seg_ord", F.inline("matches")).select("doc_id", "seg_ord", "start", "end", "text"))
-query("det_credit_card")(lambda spark, sf: detect.scan(_docs(spark, sf), Config(categories=("CREDIT_CARD",))).select("doc_id", "seg_ord", F.inline("matches")).select("doc_id", "seg_ord", "start", "end", "text"))
+query("det_ip_address")(lambda spark, sf: detect.scan(_docs(spark, sf), Config(categories=("IP_ADDRESS",))).transform(T.match_rows, "doc_id", "seg_ord").select("doc_id", "seg_ord", "start", "end", "text"))
+query("det_email")(lambda spark, sf: detect.scan(_docs(spark, sf), Config(categories=("EMAIL",))).transform(T.match_rows, "doc_id", "seg_ord").select("doc_id", "seg_ord", "start", "end", "text"))
+query("det_credit_card")(lambda spark, sf: detect.scan(_docs(spark, sf), Config(categories=("CREDIT_CARD",))).transform(T.match_rows, "doc_id", "seg_ord").select("doc_id", "seg_ord", "start", "end", "text"))
 
 query("repl_seed", f"{_sql_matches()} SELECT seg_ord, entity_type, {_SEED} AS k FROM m")(lambda spark, sf: _flat(_found(spark, sf)).select("seg_ord", "entity_type", replace.seed_int(F.col("text")).alias("k")))
 _SYNTHETIC = {
@@ -183,7 +183,7 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
     """How many spans of each type the documents' lines and the carrier lines hold."""
     both = _docs(spark, sf).select("doc_id", "seg_ord", "text").withColumn("doc_id", F.col("doc_id").cast("string")).unionByName(carrier(spark, sf).select("doc_id", F.col("seg_ord").cast("int").alias("seg_ord"), "text"))
     rows = detect.scan(both).withColumn("matches", resolve.by_start(F.col("matches")))
-    return rows.select(F.inline("matches")).groupBy("entity_type").agg(F.count("*").alias("n"))
+    return rows.transform(T.match_rows).groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
 def queries() -> dict:
