@@ -414,7 +414,8 @@ def ngram_join(documents: DataFrame, size: int = 5, percent: int = 75, id_col: s
     num, den = percent, 100
     known, may = screened(docs, size, num, den)
     may = stored(may, "ngram-may")
-    twins = may.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    # stored, so that both sides of the join are plain exchanges, of which Spark splits a hot signature's
+    twins = stored(may.groupBy("sig").agg(F.min("doc_id").alias("rep")), "ngram-sigs")
     twins = stored(may.join(twins, "sig").select("doc_id", "n", "rep"), "ngram-twins")
     reps = stored(twins.where("doc_id = rep").select("doc_id").distinct(), "ngram-reps")
     sets = stored(docs.join(sized(reps, 16), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "rep long, n long, shingles binary").dropDuplicates(["rep"]), "ngram-sets")
