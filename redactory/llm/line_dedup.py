@@ -25,7 +25,8 @@ from redactory.llm._common import sized, stored
 
 _LINES = "coalesce(split(text, '\\n', -1), array())"
 _NOT_BLANK = "[^\\\\x20\\\\x09-\\\\x0D]"
-_FULL = f"filter(sequence(0, size(lines)), i -> i < size(lines) and lines[least(i, size(lines) - 1)] rlike '{_NOT_BLANK}')"
+#: Lines are bound as an argument wherever an inner function reads them: a pushed-down filter would inline and split them for each line.
+_FULL = f"transform(array(lines), x -> filter(sequence(0, size(x)), i -> i < size(x) and x[least(i, size(x) - 1)] rlike '{_NOT_BLANK}'))[0]"
 
 
 def _with_lines(docs: DataFrame) -> DataFrame:
@@ -60,9 +61,9 @@ def deduplicated(documents: DataFrame, run: int = 3, id_col: str = "doc_id", tex
     names = documents.columns
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("text"))
     rows = _with_lines(rows.join(later, "_id", "left"))
-    gone = f"array_distinct(flatten(transform(_starts, p -> slice(full, p + 1, {run}))))"
+    gone = f"transform(array(full), x -> array_distinct(flatten(transform(_starts, p -> slice(x, p + 1, {run})))))[0]"
     rows = rows.withColumn("_gone", F.expr(f"case when _starts is null then cast(array() as array<int>) else {gone} end"))
-    kept = "array_join(transform(array_except(sequence(0, size(lines) - 1), _gone), i -> lines[i]), '\n')"
+    kept = "transform(array(lines), x -> array_join(transform(array_except(sequence(0, size(x) - 1), _gone), i -> x[i]), '\n'))[0]"
     left = F.expr(f"case when size(_gone) = 0 then text else {kept} end")
     return rows.select(*[left.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names], F.size("full").cast("long").alias("_n_lines"), F.size("_gone").cast("long").alias("_n_removed"))
 
