@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeats of runs of lines; a document of which no line is left goes."""
-    out = line_dedup.deduplicated(docs).where((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_lines")))
+    """Texts without later repeats of three lines, or of fewer with over 50 words; a document of which no line is left goes."""
+    out = line_dedup.deduplicated(docs, words=50).where((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_lines")))
     return out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

@@ -11,7 +11,7 @@ Fingerprints and digests are pre-aggregated before they are shuffled and joined
 a line that every document has is one row per task, and never a pair of documents.
 
 Null and empty texts have no lines (the kept text of a null is null, its digest that of an empty text). Documents with
-fewer lines lose nothing. Rows of a repeated id: the same lines at the same (doc_id, line) are no later repeat; a removal
+fewer lines than a run lose nothing. Rows of a repeated id: the same lines at the same (doc_id, line) are no later repeat; a removal
 holds for all rows of the id. Rows without an id lose nothing. Extra columns are kept by `deduplicated`. An empty table
 gives an empty table.
 """
@@ -34,43 +34,54 @@ def _with_lines(docs: DataFrame) -> DataFrame:
     return docs.withColumn("lines", F.expr(_LINES)).withColumn("full", F.expr(f"case when size(lines) > 0 then {_FULL} else cast(array() as array<int>) end"))
 
 
-def later_runs(documents: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, starts): where later repeats start, counted in lines that aren't blank."""
+def later_runs(documents: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
+    """(doc_id, runs): start and size of the later repeats, counted in lines that aren't blank."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     docs = docs.select("doc_id", F.expr(f"filter({_LINES}, x -> x rlike '{_NOT_BLANK}')").alias("lines"))
+    digest = lambda k: f"unhex(md5(concat_ws('\\n', slice(kept, p + 1, {k}))))"
     pick = f"array_min(transform(sequence(p, p + {run - 1}), j -> named_struct('h', hashes[j], 'back', -j)))"
-    each = f"transform(sequence(0, size(hashes) - {run}), p -> named_struct('p', p, 'least', {pick}, 'digest', unhex(md5(concat_ws('\\n', slice(kept, p + 1, {run}))))))"
+    each = f"transform(sequence(0, size(hashes) - {run}), p -> named_struct('p', p, 'size', {run}, 'least', {pick}, 'digest', {digest(run)}))"
     # bound as arguments: a column of their own would be inlined into the inner functions and evaluated for each line
     bound = f"transform(array(lines), kept -> transform(array(transform(kept, x -> xxhash64(x))), hashes -> {each})[0])[0]"
-    windows = docs.select("doc_id", F.expr(f"case when size(lines) >= {run} then {bound} end").alias("w"))
+    windows = [f"case when size(lines) >= {run} then {bound} end"]
+    for k in range(1, run) if words is not None else ():
+        # few, and without neighbours to select from: each is its own fingerprint
+        many = f"aggregate(slice(counts, p + 1, {k}), 0, (a, x) -> a + x) > {words}"
+        least = f"named_struct('h', xxhash64(concat_ws('\\n', slice(kept, p + 1, {k}))), 'back', -p)"
+        each = f"transform(filter(sequence(0, size(kept) - {k}), p -> {many}), p -> named_struct('p', p, 'size', {k}, 'least', {least}, 'digest', {digest(k)}))"
+        bound = f"transform(array(lines), kept -> transform(array(transform(kept, x -> regexp_count(x, '{_NOT_BLANK}+'))), counts -> {each})[0])[0]"
+        windows.append(f"case when size(lines) >= {k} then {bound} end")
+    if len(windows) > 1:
+        windows = ["flatten(array(" + ", ".join(f"coalesce({w}, array())" for w in windows) + "))"]
+    windows = docs.select("doc_id", F.expr(windows[0]).alias("w"))
     # the outer form, of which no filter is inferred that would make the windows twice
-    rows = stored(windows.select("doc_id", F.explode_outer("w").alias("w")).where("w is not null").select("doc_id", "w.p", F.col("w.least.h").alias("print"), F.expr("-w.least.back").alias("at"), "w.digest"), "line-runs")
+    rows = stored(windows.select("doc_id", F.explode_outer("w").alias("w")).where("w is not null").select("doc_id", "w.p", "w.size", F.col("w.least.h").alias("print"), F.expr("-w.least.back").alias("at"), "w.digest"), "line-runs")
     # a fingerprint is where it was selected, however many windows selected it
     prints = rows.groupBy("print").agg(F.min(F.struct("doc_id", "at")).alias("a"), F.max(F.struct("doc_id", "at")).alias("z")).where("a < z").select("print")
-    some = rows.join(sized(stored(prints, "line-prints"), 16), "print", "left_semi").select("doc_id", "p", "digest")
+    some = rows.join(sized(stored(prints, "line-prints"), 16), "print", "left_semi").select("doc_id", "p", "size", "digest")
     some = stored(some, "line-some")
     first = some.groupBy("digest").agg(F.min(F.struct("doc_id", "p")).alias("first"), F.max(F.struct("doc_id", "p")).alias("last")).where("first < last").select("digest", "first")
     later = some.join(sized(stored(first, "line-first"), 48), "digest").where(F.struct("doc_id", "p") > F.col("first"))
-    return stored(later.groupBy("doc_id").agg(F.array_sort(F.collect_set("p")).alias("starts")), "line-later")
+    return stored(later.groupBy("doc_id").agg(F.collect_set(F.struct("p", "size")).alias("runs")), "line-later")
 
 
-def deduplicated(documents: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(documents: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
     """documents with the text that is left, and n_lines, n_removed."""
-    later = later_runs(documents, run, id_col, text_col).toDF("_id", "_starts")
+    later = later_runs(documents, run, id_col, text_col, words).toDF("_id", "_runs")
     later = sized(later, 64)
     names = documents.columns
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("text"))
     rows = _with_lines(rows.join(later, "_id", "left"))
-    gone = f"transform(array(full), x -> array_distinct(flatten(transform(_starts, p -> slice(x, p + 1, {run})))))[0]"
-    rows = rows.withColumn("_gone", F.expr(f"case when _starts is null then cast(array() as array<int>) else {gone} end"))
+    gone = "transform(array(full), x -> array_distinct(flatten(transform(_runs, r -> slice(x, r.p + 1, r.size)))))[0]"
+    rows = rows.withColumn("_gone", F.expr(f"case when _runs is null then cast(array() as array<int>) else {gone} end"))
     kept = "transform(array(lines), x -> array_join(transform(array_except(sequence(0, size(x) - 1), _gone), i -> x[i]), '\n'))[0]"
     left = F.expr(f"case when size(_gone) = 0 then text else {kept} end")
     return rows.select(*[left.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names], F.size("full").cast("long").alias("_n_lines"), F.size("_gone").cast("long").alias("_n_removed"))
 
 
-def line_dedup(documents: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(documents: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256): lines that aren't blank, those deleted, and the digest of the text that is left."""
-    out = deduplicated(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run)
+    out = deduplicated(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, words=words)
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

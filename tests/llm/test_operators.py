@@ -113,6 +113,33 @@ def test_line_dedup(docs, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_of_few_long_lines(spark):
+    import corpus_pipeline
+
+    r = random.Random(7)
+    prose = lambda n: " ".join(r.choice("abcdefgh") + str(r.randrange(99)) for _ in range(n))
+    long, edge, one, two, short = prose(51), prose(50), prose(30), prose(21), prose(6)
+    texts = [long, edge, f"{one}\n \n{two}", f"{short}\n{long}\n{prose(3)}", edge, f"{prose(4)}\n{one}\n{two}\n{short}", f"{two}\n{one}", long, f"{long}\n\n{long}\n{short}", None, ""]
+    seen, expected = set(), {}
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        full, gone = [k for k, x in enumerate(lines) if x.strip()], set()
+        for p in range(len(full)):
+            for n in (1, 2, 3):
+                run = tuple(lines[k] for k in full[p : p + n])
+                if len(run) == n and (n == 3 or sum(len(x.split()) for x in run) > 50):
+                    if run in seen:
+                        gone.update(full[p : p + n])
+                    seen.add(run)
+        expected[i] = (len(full), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
+    assert [expected[i][1] for i in range(11)] == [0, 0, 0, 1, 0, 2, 0, 1, 2, 0, 0]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {x[0]: (x[1], x[2], x[3]) for x in line_dedup.line_dedup(docs, words=50).collect()}
+    assert got == {i: (n, m, hashlib.sha256(t.encode()).hexdigest()) for i, (n, m, t) in expected.items()}
+    kept = corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()
+    assert {x["doc_id"]: (x["text"] or "", x["n_chars"]) for x in kept} == {i: (t, len(t)) for i, (n, m, t) in expected.items() if not m or m < n}
+
+
 def test_decontaminate(spark, docs, empty):
     texts = [t for _, t in corpus()]
     items = [(1, " ".join(texts[5].split()[:30]) + " q"), (2, "one two three four five six"), (3, None), (4, "too short"), (5, texts[24])]
