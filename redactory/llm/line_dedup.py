@@ -5,8 +5,9 @@ consecutive lines is a later repeat if the same lines also start at a smaller (d
 repeat covers is deleted, so a longer repeated passage goes as a whole and its first occurrence stays.
 
 Of each `run` neighbouring line hashes the least is selected: a repeated run has the same one in both places, so it is a
-guaranteed fingerprint, and lines whose fingerprints occur once leave early. What is left meets by the 128-bit digest of
-the run that the fingerprint was selected from; overlapping matched runs extend one another to the passage's ends.
+guaranteed fingerprint, and lines whose fingerprints occur once leave early: fingerprints are a filter only. What is left
+meets by the 128-bit digest of its whole run, which alone decides. Matches aren't extended line by line from a fingerprint:
+every run of a longer passage is looked up by itself, and together they cover the passage.
 Fingerprints and digests are pre-aggregated before they are shuffled and joined back with the first occurrence alone, so
 a line that every document has is one row per task, and never a pair of documents.
 
