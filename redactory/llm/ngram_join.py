@@ -68,38 +68,38 @@ def _screen(size: int, num: int, den: int, n_buckets: int):
             at = groups(keys)
             long = np.repeat(np.diff(at), np.diff(at)) > 1
             live = np.bincount(docs[long], minlength=len(sets))
-            # a hash that repeats here goes on once, as document -1, which tells the others that it lives
+            # a hash that repeats here goes on once, marked, which tells the others that it lives
             first = np.zeros(len(keys), bool)
             first[at[:-1]] = True
             keep = ~long | first
-            keys, entry = keys[keep], np.where(long, -1, ids[docs])[keep]
+            keys, entry, many = keys[keep], ids[docs][keep], long[keep].astype(np.uint8)
             none = pa.array([None] * 1, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([-1], pa.int32()), none, none, pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([[len(s) for s in sets]], pa.list_(pa.int64())), pa.array([live.tolist()], pa.list_(pa.int64())), pa.array([[blake2b(s.tobytes(), digest_size=16).digest() for s in sets]], pa.list_(pa.binary()))],
-                names=["bucket", "keys", "docs", "ids", "n", "live", "sig"],
+                [pa.array([-1], pa.int32()), none, none, none, pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([[len(s) for s in sets]], pa.list_(pa.int64())), pa.array([live.tolist()], pa.list_(pa.int64())), pa.array([[blake2b(s.tobytes(), digest_size=16).digest() for s in sets]], pa.list_(pa.binary()))],
+                names=["bucket", "keys", "docs", "many", "ids", "n", "live", "sig"],
             )
-            for b, k, d in by_bucket(keys, n_buckets, entry):
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "keys": pa.array([k.tobytes()], pa.binary()), "docs": pa.array([d.tobytes()], pa.binary()), "ids": pa.array([None], pa.list_(pa.int64())), "n": pa.array([None], pa.list_(pa.int64())), "live": pa.array([None], pa.list_(pa.int64())), "sig": pa.array([None], pa.list_(pa.binary()))})
+            for b, k, d, m in by_bucket(keys, n_buckets, entry, many):
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "keys": pa.array([k.tobytes()], pa.binary()), "docs": pa.array([d.tobytes()], pa.binary()), "many": pa.array([m.tobytes()], pa.binary()), "ids": pa.array([None], pa.list_(pa.int64())), "n": pa.array([None], pa.list_(pa.int64())), "live": pa.array([None], pa.list_(pa.int64())), "sig": pa.array([None], pa.list_(pa.binary()))})
 
     return run
 
 
 def _alive(t: pa.Table) -> pa.Table:
-    keys, docs = joined(t["keys"], U64), joined(t["docs"], np.int64)
+    keys, docs, many = joined(t["keys"], U64), joined(t["docs"], np.int64), joined(t["many"], np.uint8)
     order = np.argsort(keys, kind="stable")
     at = groups(keys[order])
-    docs = docs[order]
-    weight = np.add.reduceat(np.where(docs < 0, 2, 1), at[:-1])
-    ids, n = np.unique(docs[np.repeat(weight > 1, np.diff(at)) & (docs >= 0)], return_counts=True)
+    docs, many = docs[order], many[order].astype(bool)
+    weight = np.add.reduceat(np.where(many, 2, 1), at[:-1])
+    ids, n = np.unique(docs[np.repeat(weight > 1, np.diff(at)) & ~many], return_counts=True)
     return pa.table({"doc_id": ids, "live": n.astype(np.int64)})
 
 
 def screened(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n) of all documents, and (doc_id, n, sig) of those that may have a partner."""
-    deal = docs.mapInArrow(_screen(size, num, den, buckets(docs.sparkSession)), "bucket int, keys binary, docs binary, ids array<long>, n array<long>, live array<long>, sig array<binary>")
+    deal = docs.mapInArrow(_screen(size, num, den, buckets(docs.sparkSession)), "bucket int, keys binary, docs binary, many binary, ids array<long>, n array<long>, live array<long>, sig array<binary>")
     deal = stored(deal, "ngram-deal", compression="lz4")
     info = deal.where("bucket < 0").select(F.explode(F.arrays_zip("ids", "n", "live", "sig")).alias("x")).select(F.col("x.ids").alias("doc_id"), "x.n", "x.live", "x.sig")
-    more = deal.where("bucket >= 0").select("bucket", "keys", "docs").groupBy("bucket").applyInArrow(_alive, "doc_id long, live long")
+    more = deal.where("bucket >= 0").select("bucket", "keys", "docs", "many").groupBy("bucket").applyInArrow(_alive, "doc_id long, live long")
     both = info.unionByName(more.select("doc_id", F.lit(None).cast("long").alias("n"), "live", F.lit(None).cast("binary").alias("sig")))
     known = stored(both.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("live").alias("live"), F.max("sig").alias("sig")), "ngram-known")
     # a partner of a set of n has at least ceil(t * n) shingles, and so a slack of at least this

@@ -92,31 +92,31 @@ def _level_one(window: int, n_buckets: int):
             first[cut[:-1]] = True
             info = {"ids": [ids.tolist()], "n": [np.diff(rows).tolist()], "sha": [_digests(data, at)]}
             none = {"ids": [None], "n": [None], "sha": [None]}
-            yield _row(-1, b"", b"", **info)
-            yield _row(-2, keys[many].tobytes(), docs[many].tobytes(), **none)
+            yield _row(-1, b"", b"", b"", **info)
+            yield _row(-2, keys[many].tobytes(), docs[many].tobytes(), b"", **none)
             keep = ~many | first
-            for b, k, d in by_bucket(keys[keep], n_buckets, np.where(many, -1, docs)[keep]):
-                yield _row(b, k.tobytes(), d.tobytes(), **none)
+            for b, k, d, m in by_bucket(keys[keep], n_buckets, docs[keep], many[keep].astype(np.uint8)):
+                yield _row(b, k.tobytes(), d.tobytes(), m.tobytes(), **none)
 
     return run
 
 
-_ONE = "bucket int, keys binary, docs binary, ids array<long>, n array<long>, sha array<string>"
+_ONE = "bucket int, keys binary, docs binary, many binary, ids array<long>, n array<long>, sha array<string>"
 
 
-def _row(bucket: int, keys: bytes, docs: bytes, ids, n, sha) -> pa.RecordBatch:
+def _row(bucket: int, keys: bytes, docs: bytes, many: bytes, ids, n, sha) -> pa.RecordBatch:
     long = pa.list_(pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([keys], pa.binary()), pa.array([docs], pa.binary()), pa.array(ids, long), pa.array(n, long), pa.array(sha, pa.list_(pa.string()))], names=["bucket", "keys", "docs", "ids", "n", "sha"])
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([keys], pa.binary()), pa.array([docs], pa.binary()), pa.array([many], pa.binary()), pa.array(ids, long), pa.array(n, long), pa.array(sha, pa.list_(pa.string()))], names=["bucket", "keys", "docs", "many", "ids", "n", "sha"])
 
 
 def _repeated(t: pa.Table) -> pa.Table:
-    """(doc_id, key) of the keys that two documents have."""
-    keys, docs = joined(t["keys"], U64), joined(t["docs"], np.int64)
+    """(doc_id, key) of the keys that two documents have; those that a batch combined (`many`) have been told already."""
+    keys, docs, many = joined(t["keys"], U64), joined(t["docs"], np.int64), joined(t["many"], np.uint8)
     order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
+    keys, docs, many = keys[order], docs[order], many[order].astype(bool)
     cut = groups(keys)
     low, high = docs[cut[:-1]], docs[cut[1:] - 1]
-    live = np.repeat((low < 0) | (low != high), np.diff(cut)) & (docs >= 0)
+    live = np.repeat((np.add.reduceat(many, cut[:-1]) > 0) | (low != high), np.diff(cut)) & ~many
     return pa.table({"doc_id": docs[live], "key": keys[live].view(np.int64)})
 
 
@@ -220,7 +220,7 @@ def substring_dedup(documents: DataFrame, window: int = 50, id_col: str = "doc_i
     n = buckets(documents.sparkSession)
     one = stored(docs.mapInArrow(_level_one(window, n), _ONE), "substring-one", compression="lz4")
     info = one.where("bucket = -1").select(F.explode(F.arrays_zip("ids", "n", "sha")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.n").alias("n_words"), F.col("x.sha").alias("sha"))
-    live = one.where("bucket >= 0").select("bucket", "keys", "docs").groupBy("bucket").applyInArrow(_repeated, "doc_id long, key long")
+    live = one.where("bucket >= 0").select("bucket", "keys", "docs", "many").groupBy("bucket").applyInArrow(_repeated, "doc_id long, key long")
     live = live.union(one.where("bucket = -2").select("keys", "docs").mapInArrow(_settled, "doc_id long, key long"))
     live = stored(live.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "substring-live", compression="lz4")
     ids = sized(live.select("doc_id"), 16)

@@ -95,6 +95,14 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_negative_ids(spark, docs):
+    low = docs.withColumn("doc_id", docs["doc_id"] - 100)
+    for op, ids in ((ngram_join.ngram_join, (0, 2)), (substring_dedup.substring_dedup, (0,))):
+        rows = [tuple(x) for x in op(docs).collect()]
+        expected = {tuple(v - 100 if k in ids else v for k, v in enumerate(x)) for x in rows}
+        assert {tuple(x) for x in op(low).collect()} == expected
+
+
 def test_line_dedup(docs, empty):
     seen, expected = set(), {}
     for i, t in corpus():
