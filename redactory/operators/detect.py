@@ -12,7 +12,7 @@ from redactory.functions.text import MATCHES, anchored, before, blank, contains_
 
 #: What every text with such a match has.
 DIGIT = r"\p{Nd}"
-FIRM = r"(?i)\b(?:limited|ltd|llp|inc|corp|corporation|llc|gmbh|s\.?a|a\.?g|holdings?)\b"
+FIRM = r"(?iU)\b(?:limited|(?:pvt\.?\s*)?ltd|llp|inc|corp|corporation|llc|gmbh|s\.?a|a\.?g|holdings?)\b"
 
 ORDER = ["EMAIL", "PHONE", "CREDIT_CARD", "SSN", "IP_ADDRESS", "PAN", "UPI_ID", "IBAN", "PERSON", "COMPANY", "ADDRESS", "DOB"]
 

@@ -53,6 +53,28 @@ def test_findings(rows):
             assert r["matches"] == []
 
 
+def test_prefilters_hold_for_all_that_patterns_match(spark):
+    from redactory.functions import vocabulary as V
+    from redactory.operators.detect import DIGIT, FIRM
+
+    forms = "Private Limited;Pvt Ltd;PvtLtd;Pvt.Ltd;Pvt. Ltd.;PVTLTD;Limited;Ltd;Ltd.;LLP;Inc;Inc.;Corporation;Corp;Corp.;LLC;GmbH;SA;S.A;S.A.;A.G.;AG;Holding;Holdings;Holding\u017f".split(";")
+    cases = [(V.COMPANY, FIRM, f"Acme Widgets {x}{end}") for x in forms for end in (" was paid", "", "x.", ".x")]
+    cases += [(V.EMAIL, "@", "a bob@x.org"), (V.PHONE, DIGIT, "call 555-890-1234"), (V.SSN, DIGIT, "987-65-4321"), (V.IPV4, DIGIT, "at 1.2.3.4")]
+    cases += [(V.UPI, "@", "user9@upi"), (V.CARD, r"(?:\p{Nd}[ \-]*){13}", "card 4111 1111 1111 1111"), (V.ADDRESS, DIGIT, "5 Harbour Row West Street, Block 7, 100123")]
+    found = 0
+    for pattern, needs, text in cases:
+        line = spark.range(1).select(F.lit(text).alias("text"))
+        full, some = line.select(T.spans_of(F.col("text"), pattern), T.spans_of(F.col("text"), pattern, needs=needs)).first()
+        assert full == some, text
+        found += bool(full)
+    assert found > 60
+
+
+def test_company_without_a_gap(spark):
+    segments = spark.createDataFrame([("d", "s", 0, "Acme Widgets PvtLtd was paid")], "doc_id string, segment_id string, seg_ord int, text string")
+    assert [(m["entity_type"], m["text"]) for m in engine.detected(segments).first()["matches"]] == [("COMPANY", "Acme Widgets PvtLtd")]
+
+
 def test_spans_are_disjoint_and_replaced(spark, rows):
     for r in rows:
         ends = [(m["start"], m["end"]) for m in r["matches"]]
