@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,9 +31,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and all is one process."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -52,7 +55,21 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
         else:
             spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._stored_at)
+        _written.remove((df.sparkSession, df._stored_at))
 
 
 def release(spark: SparkSession) -> None:
@@ -65,9 +82,7 @@ def release(spark: SparkSession) -> None:
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the gateway may already be gone at exit
             return
 
@@ -76,19 +91,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sized(df: DataFrame, bytes_a_row: int) -> DataFrame:
-    """df with a broadcast hint if its counted size allows it, else as it is (df must be cheap to count: a stored table)."""
-    return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df
+def sized(df: DataFrame, *measures: Column) -> DataFrame:
+    """df with a broadcast hint if its measured size allows it, else as it is (df must be cheap to read: a stored table).
+
+    measures: the lengths of what has no fixed width; other columns count 16 bytes a row, with 32 for the row itself."""
+    size = F.count("*") * (32 + 16 * len(df.columns))
+    for m in measures:
+        size = size + F.coalesce(F.sum(m), F.lit(0))
+    return F.broadcast(df) if df.agg(size).first()[0] <= BROADCAST_BYTES else df
 
 
 def buckets(spark: SparkSession, factor: int = 4) -> int:
     """Buckets for blob exchanges: a multiple of the shuffle partitions, so that they follow the cluster's sizing."""
-    return max(8, min(60_000, factor * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(8, factor * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 # ---------------------------------------------------------------- words
 
 
+def parts(batch: pa.RecordBatch, text: int = 1, size: int = 4 << 20):
+    """The batch in slices of about `size` bytes of text, which bounds the memory in use; a longer text is a slice of its own."""
+    _, offs = text_buffer(batch.column(text))
+    row = 0
+    while row < batch.num_rows:
+        to = max(row + 1, int(np.searchsorted(offs, offs[row] + size, side="right")) - 1)
+        yield batch.slice(row, to - row)
+        row = to
+
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and each row's offsets in them (nulls as empty), without a copy where possible."""
     if isinstance(col, pa.ChunkedArray):
@@ -219,7 +249,7 @@ def by_bucket(keys: np.ndarray, n: int, *columns: np.ndarray):
     """(bucket, keys, *columns) for each bucket of the keys that has any, in order."""
     if not len(keys):
         return
-    b = ((keys >> U64(17)) % U64(n)).astype(np.uint16)
+    b = ((keys >> U64(17)) % U64(n)).astype(np.uint16 if n <= 1 << 16 else np.uint32)
     order = np.argsort(b, kind="stable")
     b = b[order]
     cuts = np.flatnonzero(np.diff(b)) + 1
@@ -276,25 +306,33 @@ def flattened(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """(node, component) of every node of edges(a, b) with a != b; component is the smallest node reached.
 
-    Alternating large-star and small-star steps; each result is written to the shared folder, so the lineage stays short and
-    a lost executor costs one step. Minima are pre-aggregated before they are shuffled, so a node with very many
-    neighbours is no hot key. An empty table gives an empty table."""
+    Alternating large-star and small-star steps over edges from a larger to a smaller node, until every node has one
+    smaller neighbour and that has none. Steps join only the nodes that have to move: those minima are pre-aggregated,
+    stored and, if small, broadcast; else both sides of the join are plain exchanges, of which Spark splits a node with
+    very many neighbours. All is written to the shared folder, so a lost executor costs one step. An empty table gives an
+    empty table."""
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), name)
-    seen = None
     for _ in range(rounds):
-        both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
-        edges = stored(small, name)
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle within {rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+        moved = False
+        up = edges.groupBy("a").agg(F.min("b").alias("m")).join(edges.select(F.col("b").alias("a")).distinct(), "a").toDF("b", "m")
+        jump = stored(up, name)
+        if not jump.isEmpty():
+            moved = True
+            new = stored(edges.join(sized(jump), "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct(), name)
+            forget(edges)
+            edges = new
+        fork = stored(edges.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("x")).where("m < x").drop("x"), name)
+        if not fork.isEmpty():
+            moved = True
+            pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+            both = F.when(F.col("m").isNull(), F.array(pair("a", "b"))).otherwise(F.array(pair("a", "m"), pair("b", "m")))
+            new = stored(edges.join(sized(fork), "a", "left").select(F.inline(both)).where("a != b").distinct(), name)
+            forget(edges)
+            edges = new
+        forget(jump, fork)
+        if not moved:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+    raise RuntimeError(f"components did not settle within {rounds} rounds")
 
 
 def crc_mod(col: str | Column, mod: int) -> Column:

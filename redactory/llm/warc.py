@@ -127,10 +127,10 @@ def deduplicate(archives: DataFrame, least_bytes: int = 1000, archive_bytes: int
     heads = stored(heads, "warc-heads")
     best = heads.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     best = stored(best, "warc-best")
-    known = heads.join(sized(best, 64), "payload_digest").where("page_id != refers_to").select("page_id", "payload_digest", "refers_to").distinct()
+    known = heads.join(sized(best), "payload_digest").where("page_id != refers_to").select("page_id", "payload_digest", "refers_to").distinct()
     known = stored(known, "warc-revisits")
     rows = read_archives(archives, payloads=True).select("page_id", "uri", "payload", "payload_digest")
-    rows = rows.join(sized(known, 72), ["page_id", "payload_digest"], "left")
+    rows = rows.join(sized(known), ["page_id", "payload_digest"], "left")
     return write_archives(rows, archive_bytes)
 
 
@@ -140,7 +140,7 @@ def resolve(archives: DataFrame) -> DataFrame:
     asked = rows.where("refers_to is not null").select(F.col("refers_to").alias("page_id")).distinct()
     here = rows.where("record_type = 'response'").drop("refers_to").join(stored(asked, "warc-asked"), "page_id", "left_semi")
     here = stored(here.select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("n")).distinct(), "warc-here")
-    both = rows.join(sized(here, 72), ["refers_to", "payload_digest"], "left")
+    both = rows.join(sized(here), ["refers_to", "payload_digest"], "left")
     return both.select("page_id", F.coalesce("payload_bytes", "n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "uri")
 
 
