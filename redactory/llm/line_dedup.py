@@ -4,12 +4,14 @@ Lines are what newlines separate; blank ones (nothing but \\x20 and \\x09-\\x0D)
 consecutive lines is a later repeat if the same lines also start at a smaller (doc_id, line). Every line that a later
 repeat covers is deleted, so a longer repeated passage goes as a whole and its first occurrence stays.
 
-Of each `run` neighbouring line hashes the least is selected: a repeated run has the same one in both places, so it is a
-guaranteed fingerprint, and lines whose fingerprints occur once leave early: fingerprints are a filter only. What is left
-meets by the 128-bit digest of its whole run, which alone decides. Matches aren't extended line by line from a fingerprint:
-every run of a longer passage is looked up by itself, and together they cover the passage.
-Fingerprints and digests are pre-aggregated before they are shuffled and joined back with the first occurrence alone, so
-a line that every document has is one row per task, and never a pair of documents.
+Of each `run` neighbouring line hashes the least is selected (winnowing): a repeated run has the same one in both places, so
+selected lines are guaranteed fingerprints, and only they are stored, with their positions and the hashes of the `run` - 1
+lines on either side. Fingerprints that occur once leave. The positions of the others are joined with the first one of
+their fingerprint, and the match is extended line by line both ways; what it reaches is deleted if it is a run or longer.
+Runs that their fingerprint's first position doesn't match (a common line among other neighbours) meet by the hashes of
+all their lines, joined with the first of them, so nothing is missed and no pairs are formed.
+Fingerprints are pre-aggregated before they are shuffled and joined with one row each, and stored before that, so a line
+that every document has is one row per task, or a plain exchange that Spark can split.
 
 Null and empty texts have no lines (the kept text of a null is null, its digest that of an empty text). Documents with
 fewer lines than a run lose nothing. Rows of a repeated id: the same lines at the same (doc_id, line) are no later repeat; a removal
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm._common import sized, stored
+from redactory.llm._common import forget, sized, stored
 
 _LINES = "coalesce(split(text, '\\n', -1), array())"
 _NOT_BLANK = "[^\\\\x20\\\\x09-\\\\x0D]"
@@ -35,41 +37,71 @@ def _with_lines(docs: DataFrame) -> DataFrame:
     return docs.withColumn("lines", F.expr(_LINES)).withColumn("full", F.expr(f"case when size(lines) > 0 then {_FULL} else cast(array() as array<int>) end"))
 
 
+def _fingerprints(run: int) -> str:
+    """Of the array `lines`: the selected positions, the runs that selected each (from lo to hi), and the hashes around it, nearest first."""
+    pick = f"-array_min(transform(sequence(p, p + {run - 1}), j -> named_struct('h', h[j], 'back', -j))).back"
+    own = f"filter(sequence(greatest(0, q - {run - 1}), least(q, size(picks) - 1)), p -> picks[p] = q)"
+    left = f"reverse(slice(h, greatest(0, q - {run - 1}) + 1, least(q, {run - 1})))"
+    row = f"named_struct('at', q, 'print', h[q], 'lo', array_min({own}), 'hi', array_max({own}), 'left', {left}, 'right', slice(h, q + 2, {run - 1}))"
+    # bound as arguments: a column of their own would be inlined into the inner functions and evaluated for each line
+    picked = f"transform(array(transform(sequence(0, size(h) - {run}), p -> {pick})), picks -> transform(array_distinct(picks), q -> {row}))[0]"
+    return f"case when size(lines) >= {run} then transform(array(transform(lines, x -> xxhash64(x))), h -> {picked})[0] end"
+
+
+def _long_runs(run: int, words: int) -> str:
+    """Of the array `lines`: the runs shorter than `run` with more than `words` words, each its own fingerprint of at least 128 bits."""
+    out = []
+    for k in range(1, run):
+        many = f"aggregate(slice(counts, p + 1, {k}), 0, (a, x) -> a + x) > {words}"
+        key = "array(xxhash64(kept[p]), xxhash64(7L, kept[p]))" if k == 1 else f"transform(slice(kept, p + 1, {k}), x -> xxhash64(x))"
+        each = f"transform(filter(sequence(0, size(kept) - {k}), p -> {many}), p -> named_struct('p', p, 'size', {k}, 'key', {key}))"
+        bound = f"transform(array(lines), kept -> transform(array(transform(kept, x -> regexp_count(x, '{_NOT_BLANK}+'))), counts -> {each})[0])[0]"
+        out.append(f"coalesce(case when size(lines) >= {k} then {bound} end, array())")
+    return f"flatten(array({', '.join(out)}))"
+
+
+def _same(a: str, b: str) -> str:
+    """How many values two arrays have in common from their start on."""
+    where = f"array_position(zip_with({a}, {b}, (x, y) -> coalesce(x = y, false)), false)"
+    return f"cast(case when {where} = 0 then size({a}) else {where} - 1 end as int)"
+
+
 def later_runs(documents: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
     """(doc_id, runs): start and size of the later repeats, counted in lines that aren't blank."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     docs = docs.select("doc_id", F.expr(f"filter({_LINES}, x -> x rlike '{_NOT_BLANK}')").alias("lines"))
-    digest = lambda k: f"unhex(md5(concat_ws('\\n', slice(kept, p + 1, {k}))))"
-    pick = f"array_min(transform(sequence(p, p + {run - 1}), j -> named_struct('h', hashes[j], 'back', -j)))"
-    each = f"transform(sequence(0, size(hashes) - {run}), p -> named_struct('p', p, 'size', {run}, 'least', {pick}, 'digest', {digest(run)}))"
-    # bound as arguments: a column of their own would be inlined into the inner functions and evaluated for each line
-    bound = f"transform(array(lines), kept -> transform(array(transform(kept, x -> xxhash64(x))), hashes -> {each})[0])[0]"
-    windows = [f"case when size(lines) >= {run} then {bound} end"]
-    for k in range(1, run) if words is not None else ():
-        # few, and without neighbours to select from: each is its own fingerprint
-        many = f"aggregate(slice(counts, p + 1, {k}), 0, (a, x) -> a + x) > {words}"
-        least = f"named_struct('h', xxhash64(concat_ws('\\n', slice(kept, p + 1, {k}))), 'back', -p)"
-        each = f"transform(filter(sequence(0, size(kept) - {k}), p -> {many}), p -> named_struct('p', p, 'size', {k}, 'least', {least}, 'digest', {digest(k)}))"
-        bound = f"transform(array(lines), kept -> transform(array(transform(kept, x -> regexp_count(x, '{_NOT_BLANK}+'))), counts -> {each})[0])[0]"
-        windows.append(f"case when size(lines) >= {k} then {bound} end")
-    if len(windows) > 1:
-        windows = ["flatten(array(" + ", ".join(f"coalesce({w}, array())" for w in windows) + "))"]
-    windows = docs.select("doc_id", F.expr(windows[0]).alias("w"))
-    # the outer form, of which no filter is inferred that would make the windows twice
-    rows = stored(windows.select("doc_id", F.explode_outer("w").alias("w")).where("w is not null").select("doc_id", "w.p", "w.size", F.col("w.least.h").alias("print"), F.expr("-w.least.back").alias("at"), "w.digest"), "line-runs")
-    # a fingerprint is where it was selected, however many windows selected it
-    prints = rows.groupBy("print").agg(F.min(F.struct("doc_id", "at")).alias("a"), F.max(F.struct("doc_id", "at")).alias("z")).where("a < z").select("print")
-    some = rows.join(sized(stored(prints, "line-prints"), 16), "print", "left_semi").select("doc_id", "p", "size", "digest")
-    some = stored(some, "line-some")
-    first = some.groupBy("digest").agg(F.min(F.struct("doc_id", "p")).alias("first"), F.max(F.struct("doc_id", "p")).alias("last")).where("first < last").select("digest", "first")
-    later = some.join(sized(stored(first, "line-first"), 48), "digest").where(F.struct("doc_id", "p") > F.col("first"))
-    return stored(later.groupBy("doc_id").agg(F.collect_set(F.struct("p", "size")).alias("runs")), "line-later")
+    # the outer form, of which no filter is inferred that would make the fingerprints twice
+    rows = docs.select("doc_id", F.explode_outer(F.expr(_fingerprints(run))).alias("w")).where("w is not null").select("doc_id", "w.*")
+    rows = stored(rows, "line-prints")
+    first = rows.groupBy("print").agg(F.min(F.struct("doc_id", "at", "left", "right")).alias("first"), F.max(F.struct("doc_id", "at")).alias("last"))
+    first = first.where(F.struct("first.doc_id", "first.at") < F.col("last")).select("print", "first")
+    first = stored(first, "line-first")
+    both = rows.join(sized(first, F.lit(32 * run)), "print").where(F.struct("doc_id", "at") > F.struct("first.doc_id", "first.at"))
+    both = both.withColumn("l", F.expr(_same("left", "first.left"))).withColumn("r", F.expr(_same("right", "first.right")))
+    # what the extended match covers, then the runs of this fingerprint that it doesn't
+    found = f"array(case when l + r + 1 >= {run} then named_struct('p', at - l, 'size', l + r + 1, 'key', cast(null as array<bigint>)) end)"
+    out = f"filter(sequence(lo, hi), p -> p < at - l or p > at + r - {run - 1})"
+    key = f"slice(concat(reverse(left), array(print), right), size(left) - (at - p) + 1, {run})"
+    rest = f"transform({out}, p -> named_struct('p', p, 'size', {run}, 'key', {key}))"
+    told = both.select("doc_id", F.explode(F.expr(f"concat({found}, {rest})")).alias("w")).where("w is not null").select("doc_id", "w.*")
+    if words is not None:
+        short = docs.select("doc_id", F.explode_outer(F.expr(_long_runs(run, words))).alias("w")).where("w is not null").select("doc_id", "w.*")
+        told = told.unionByName(short)
+    told = stored(told, "line-told")
+    rest = told.where("key is not null")
+    least = rest.groupBy("key").agg(F.min(F.struct("doc_id", "p")).alias("first"), F.max(F.struct("doc_id", "p")).alias("last")).where("first < last").select("key", "first")
+    least = stored(least, "line-least")
+    later = rest.join(sized(least, F.lit(32 * run)), "key").where(F.struct("doc_id", "p") > F.col("first")).select("doc_id", "p", "size")
+    later = later.union(told.where("key is null").select("doc_id", "p", "size"))
+    later = stored(later.groupBy("doc_id").agg(F.collect_set(F.struct("p", "size")).alias("runs")), "line-later")
+    forget(rows, first, told, least)
+    return later
 
 
 def deduplicated(documents: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
     """documents with the text that is left, and n_lines, n_removed."""
-    later = later_runs(documents, run, id_col, text_col, words).toDF("_id", "_runs")
-    later = sized(later, 64)
+    later = later_runs(documents, run, id_col, text_col, words)
+    later = sized(later, F.size("runs") * 32).toDF("_id", "_runs")
     names = documents.columns
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("text"))
     rows = _with_lines(rows.join(later, "_id", "left"))
