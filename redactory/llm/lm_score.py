@@ -1,14 +1,17 @@
-"""Language-model scoring by deleted interpolation of bigram, unigram and uniform estimates.
+"""Language-model scoring by deleted interpolation of trigram, bigram, unigram and uniform estimates.
 
-The probability of a token w after u is l2 * c(u, w) / c(u) + l1 * c(w) / N + l0 / (V + 1), with weights of their own for each
-bucket of c(u) (powers of two). The weights come from expectation-maximisation on held-out counts: each training
-token is held out in turn by taking itself off its counts. What enters is a histogram over (bucket, quantised bigram
-estimate, quantised unigram estimate), of a bounded size whatever the corpus is.
+The probability of a token w after (t, u) is l3 * c(t, u, w) / c(t, u) + l2 * c(u, w) / c(u) + l1 * c(w) / N + l0 / (V + 1), with
+weights of their own for each bucket of context frequency (powers of two of c(t, u), or of c(u) where (t, u) is new). The weights
+come from expectation-maximisation on held-out counts: each training token is held out in turn by taking itself off its
+counts. What enters is a histogram over (bucket, quantised estimates), of a bounded size whatever the corpus is. The first
+token of a text has no trigram.
 
 Counts are exact and of the whole training set. Texts become chunks of word numbers, stored once. Each chunk asks for the
 counts of its distinct words and bigrams by 64-bit hash: the requests, with the chunk's own counts added up, meet by
-bucket, and each gets the totals back in its own order. So what moves is one entry per chunk and distinct n-gram, a
-very common one costs no more than that, and no task or driver holds a table of all.
+bucket, and each gets the totals back in its own order. Then it asks for its trigrams, but for those of which one of the two
+bigrams occurs in no other chunk: their counts are its own. So what moves is one entry per chunk and distinct n-gram, a
+very common one costs no more than that, and no task or driver holds a table of all. Counts travel as bytes, with what
+doesn't fit in one behind; totals have 64 bits.
 
 Tokens: words [^\\x20\\x09-\\x0D]+ with ASCII letters in lower case, then one end. Before the first word stands an end, too.
 Null and empty texts are an end alone. Repeated rows are documents of their own; rows without an id are dropped; extra
@@ -28,33 +31,42 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm._common import U64, buckets, by_bucket, hashed, mix, release, stored, text_buffer
+from redactory.llm._common import U64, buckets, by_bucket, forget, hashed, mix, parts, release, stored, text_buffer
 
 END = U64(0x5851F42D4C957F2D)
 PART_BYTES = 3 << 20
+_REQUEST = "chunk string, kind int, bucket int, keys binary, counts binary"
 _CHUNK = "chunk string, ids binary, lens binary, learn binary, words binary, tokens binary"
 #: Estimates are quantised to so many steps per factor of two for the weights.
-FINE, STEPS, CLASSES = 2, 80, 24
+FINE, STEPS, CLASSES = 2, 64, 24
+#: Bytes of requests that may meet in a bucket before there are more of them.
+GROUP_BYTES = 128 << 20
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """A byte for each count; those from 255 on follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(U64).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, np.int64, offset=n)
+    return out
 
 
 def _chunks(held_out: Callable[[int], bool]):
     def run(batches):
-        for batch in batches:
-            all_ids = np.asarray(batch.column(0), np.int64)
-            _, offs = text_buffer(batch.column(1))
-            row = 0
-            while row < len(all_ids):
-                to = max(row + 1, int(np.searchsorted(offs, offs[row] + PART_BYTES, side="right")) - 1)
-                h, rows = hashed(batch.column(1).slice(row, to - row), lower=True)
+        for whole in batches:
+            for batch in parts(whole, size=PART_BYTES):
+                ids = np.asarray(batch.column(0), np.int64)
+                h, rows = hashed(batch.column(1), lower=True)
                 n = np.diff(rows) + 1
-                tokens = np.full(len(h) + to - row, END, U64)
-                tokens[np.arange(len(h)) + np.repeat(np.arange(to - row), n - 1)] = h
+                tokens = np.full(len(h) + len(ids), END, U64)
+                tokens[np.arange(len(h)) + np.repeat(np.arange(len(ids)), n - 1)] = h
                 codes, words = pd.factorize(tokens)
-                ids = all_ids[row:to]
                 learn = np.array([not held_out(i) for i in ids.tolist()], np.uint8)
                 blobs = [x.tobytes() for x in (ids, n.astype(np.int64), learn, words)] + [zstandard.compress(codes.astype(np.uint32).tobytes(), 1)]
                 yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(pa.array([x], pa.binary()) for x in blobs)], names=[x.split()[0] for x in _CHUNK.split(", ")])
-                row = to
 
     return run
 
@@ -66,7 +78,7 @@ def _each(batch: pa.RecordBatch):
 
 
 class Chunk:
-    """A chunk's rows, and its distinct words and bigrams."""
+    """A chunk's rows, and its distinct words and bigrams, and trigrams once they are asked for."""
 
     def __init__(self, row: dict):
         get = lambda k, kind: np.frombuffer(row[k], kind)
@@ -82,20 +94,51 @@ class Chunk:
         self.pair_codes, pairs = pd.factorize(before * len(self.words) + self.tokens)
         self.pairs = mix(self.words[pairs // len(self.words)] * U64(0x9FB21C651E98DF25) + self.words[pairs % len(self.words)])
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of its words and bigrams, in its training rows."""
-        return np.bincount(self.tokens[self.learned], minlength=len(self.words)), np.bincount(self.pair_codes[self.learned], minlength=len(self.pairs))
+    def own(self, codes: np.ndarray, n: int, learned: np.ndarray | None = None) -> np.ndarray:
+        """Counts of n-grams in its training rows."""
+        return np.bincount(codes[self.learned if learned is None else learned], minlength=n)
+
+    def triples(self, pairs: np.ndarray) -> np.ndarray:
+        """Trigrams of the tokens that aren't first in their row; `pairs` has the bigrams' totals. Sets third (the positions), triple_codes
+        and triple_own, and `ask`: which of the trigrams another chunk may have. Returns their hashes."""
+        third = np.ones(len(self.tokens), bool)
+        third[self.rows[:-1]] = False
+        self.third = np.flatnonzero(third)
+        first, last = self.pair_codes[self.third - 1], self.pair_codes[self.third]
+        self.triple_codes, found = pd.factorize(first * len(self.words) + self.tokens[self.third])
+        where = np.empty(len(found), np.int64)
+        where[self.triple_codes] = np.arange(len(self.third))
+        self.triple_own = self.own(self.triple_codes, len(found), self.learned[self.third])
+        shared = pairs > self.own(self.pair_codes, len(self.pairs))
+        self.ask = shared[first[where]] & shared[last[where]]
+        return mix(self.pairs[first[where]] * U64(0xD1B54A32D192ED03) + self.words[self.tokens[self.third[where]]])
+
+
+def _requests(chunk: str, asked, n_buckets: int) -> pa.RecordBatch:
+    """asked: kind, keys and the chunk's own counts."""
+    out = [(kind, b, k.tobytes(), packed(n)) for kind, keys, counts in asked for b, k, n in by_bucket(keys, n_buckets, counts)]
+    return pa.RecordBatch.from_arrays([pa.array([chunk] * len(out), pa.string()), *(pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary())))], names=["chunk", "kind", "bucket", "keys", "counts"])
 
 
 def _ask(n_buckets: int):
+    """For words and bigrams."""
+
     def run(batches):
         for batch in batches:
             for row in _each(batch):
                 c = Chunk(row)
-                out = []
-                for kind, keys, counts in zip((0, 1), (c.words, c.pairs), c.counts()):
-                    out += [(row["chunk"], kind, b, k.tobytes(), n.astype(np.uint32).tobytes()) for b, k, n in by_bucket(keys, n_buckets, counts)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.binary()), pa.array([x[4] for x in out], pa.binary())], names=["chunk", "kind", "bucket", "keys", "counts"])
+                yield _requests(row["chunk"], ((0, c.words, c.own(c.tokens, len(c.words))), (1, c.pairs, c.own(c.pair_codes, len(c.pairs)))), n_buckets)
+
+    return run
+
+
+def _ask_triples(n_buckets: int):
+    def run(batches):
+        for batch in batches:
+            for row in _each(batch):
+                c = Chunk(row)
+                keys = c.triples(_totals(row, 1, c.pairs, n_buckets))
+                yield _requests(row["chunk"], ((2, keys[c.ask], c.triple_own[c.ask]),), n_buckets)
 
     return run
 
@@ -104,29 +147,46 @@ def _add(t: pa.Table) -> pa.Table:
     """Totals for each request of a bucket, in its order, with how many distinct learned keys and tokens the bucket has."""
     kb, ko = text_buffer(t["keys"])
     keys = np.frombuffer(kb.tobytes(), U64)
-    counts = np.frombuffer(text_buffer(t["counts"])[0].tobytes(), np.uint32)
+    cut = (ko // 8).tolist()
     codes, unique = pd.factorize(keys)
-    total = np.bincount(codes, counts, minlength=len(unique))
-    answer = total[codes].astype(np.uint32)
-    cut = ko // 8
-    n = len(cut) - 1
-    first = [0] * n
-    seen, sums = first.copy(), first.copy()
+    total = np.zeros(len(unique), np.int64)
+    for x, a, b in zip(t["counts"], cut[:-1], cut[1:]):
+        np.add.at(total, codes[a:b], unpacked(x.as_py(), b - a))
+    seen, sums = [0] * t.num_rows, [0] * t.num_rows
     seen[0], sums[0] = int((total > 0).sum()), int(total.sum())
-    blobs = [answer[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+    blobs = [packed(total[codes[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
     return pa.table({"chunk": t["chunk"], "kind": t["kind"], "bucket": t["bucket"], "totals": pa.array(blobs, pa.binary()), "distinct": pa.array(seen, pa.int64()), "sum": pa.array(sums, pa.int64())})
 
 
-def _answered(row: dict, n_buckets: int) -> tuple[Chunk, np.ndarray, np.ndarray]:
-    c = Chunk(row)
-    out = []
-    for kind, keys in ((0, c.words), (1, c.pairs)):
-        total = np.zeros(len(keys), np.int64)
-        got = {x["bucket"]: x["totals"] for x in row["answers"] if x["kind"] == kind}
-        for b, _, at in by_bucket(keys, n_buckets, np.arange(len(keys))):
-            total[at] = np.frombuffer(got[b], np.uint32)
-        out.append(total)
-    return c, *out
+def _totals(row: dict, kind: int, keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The answers to a chunk's requests of a kind, for its keys."""
+    total = np.zeros(len(keys), np.int64)
+    got = {x["bucket"]: x["totals"] for x in row["answers"] if x["kind"] == kind}
+    for b, _, at in by_bucket(keys, n_buckets, np.arange(len(keys))):
+        total[at] = unpacked(got[b], len(at))
+    return total
+
+
+class Counted(Chunk):
+    """A chunk with, of each token: its context's count, the bigram's, that of the bigram before it and the trigram's."""
+
+    def __init__(self, row: dict, n_buckets: int):
+        super().__init__(row)
+        self.total = _totals(row, 0, self.words, n_buckets)
+        pairs = _totals(row, 1, self.pairs, n_buckets)
+        keys = self.triples(pairs)
+        triples = self.triple_own.copy()
+        triples[self.ask] = _totals(row, 2, keys[self.ask], n_buckets)
+        self.one, self.context, self.two = self.total[self.tokens], self.total[self.before], pairs[self.pair_codes]
+        self.context2, self.three = np.zeros_like(self.tokens), np.zeros_like(self.tokens)
+        self.context2[self.third], self.three[self.third] = self.two[self.third - 1], triples[self.triple_codes]
+
+    def estimates(self, at, off: int, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The bucket of the context, and the trigram, bigram and unigram estimates, with `off` taken off all counts."""
+        one, context, two = self.one[at] - off, self.context[at] - off, self.two[at] - off
+        context2, three = np.maximum(self.context2[at] - off, 0), np.maximum(self.three[at] - off, 0)
+        bucket = np.where(context2 > 0, CLASSES + _class(context2), _class(context))
+        return bucket, [three / np.maximum(context2, 1), two / np.maximum(context, 1), one / max(n - off, 1)]
 
 
 def _class(c: np.ndarray) -> np.ndarray:
@@ -144,37 +204,41 @@ def _histogram(n_buckets: int, n: int):
     def run(batches):
         for batch in batches:
             for row in _each(batch):
-                c, words, pairs = _answered(row, n_buckets)
-                own = c.learned
-                # each token off its own counts
-                ctx, one, two = words[c.before[own]] - 1, words[c.tokens[own]] - 1, pairs[c.pair_codes[own]] - 1
-                p2 = two / np.maximum(ctx, 1)
-                p1 = one / max(n - 1, 1)
-                key, m = np.unique((_class(ctx) * STEPS + _step(p2)) * STEPS + _step(p1), return_counts=True)
+                c = Counted(row, n_buckets)
+                key, estimates = c.estimates(c.learned, 1, n)  # each token off its own counts
+                for p in estimates:
+                    key = key * STEPS + _step(p)
+                key, m = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(m.astype(np.int64))], names=["key", "m"])
 
     return run
 
 
 def learned_weights(keys: np.ndarray, m: np.ndarray, v: int, rounds: int = 60) -> np.ndarray:
-    """Rows of (bigram, unigram, uniform) weights by class, by expectation-maximisation over the histogram."""
+    """Rows of (trigram, bigram, unigram, uniform) weights by bucket, by expectation-maximisation over the histogram."""
     value = lambda s: np.where(s == STEPS - 1, 0.0, 2.0 ** (-s / FINE))
-    cls, p2, p1 = keys // (STEPS * STEPS), value(keys // STEPS % STEPS), value(keys % STEPS)
-    p = np.stack((p2, p1, np.full(len(keys), 1 / (v + 1))), axis=1)
-    w = np.tile(np.array([0.4, 0.4, 0.2]), (CLASSES, 1))
+    cls, steps = keys // STEPS**3, [value(keys // STEPS**k % STEPS) for k in (2, 1, 0)]
+    p = np.stack((*steps, np.full(len(keys), 1 / (v + 1))), axis=1)
+    w = np.tile(np.array([0.3, 0.3, 0.3, 0.1]), (2 * CLASSES, 1))
+    w[:CLASSES, 0] = w[0, 1] = 0  # no context, no estimate
+    w /= w.sum(axis=1, keepdims=True)
+    least = 1e-3 * (w > 0)
     for _ in range(rounds):
         post = p * w[cls]
         post *= (m / np.maximum(post.sum(axis=1), 1e-300))[:, None]
-        sums = np.stack([np.bincount(cls, post[:, k], minlength=CLASSES) for k in range(3)], axis=1) + np.array([1e-3, 1e-3, 1e-3])
-        w = sums / sums.sum(axis=1, keepdims=True)
-    w[0] = [0.0, *(w[0, 1:] / w[0, 1:].sum())]
+        w = np.stack([np.bincount(cls, post[:, k], minlength=2 * CLASSES) for k in range(4)], axis=1) + least
+        w /= w.sum(axis=1, keepdims=True)
     return w
 
 
-def _told(chunks: DataFrame, n_buckets: int) -> DataFrame:
-    asked = chunks.mapInArrow(_ask(n_buckets), "chunk string, kind int, bucket int, keys binary, counts binary")
+def _told(asked: DataFrame, name: str) -> DataFrame:
     told = asked.groupBy("kind", "bucket").applyInArrow(_add, "chunk string, kind int, bucket int, totals binary, distinct long, sum long")
-    return stored(told, "lm-told", compression="zstd")
+    return stored(told, name, compression="zstd")
+
+
+def _with_answers(chunks: DataFrame, told: DataFrame) -> DataFrame:
+    """Made anew for each use rather than stored: it is as large as both tables."""
+    return chunks.join(told.groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "totals")).alias("answers")), "chunk")
 
 
 _SCORE = "doc_id long, learned boolean, n_tokens long, n_known long, base_score double, score double"
@@ -184,13 +248,15 @@ def _scores(n_buckets: int, n: int, v: int, weights: np.ndarray):
     def run(batches):
         for batch in batches:
             for row in _each(batch):
-                c, words, pairs = _answered(row, n_buckets)
-                one, ctx, two = words[c.tokens], words[c.before], pairs[c.pair_codes]
-                base = np.log10((words + 0.5) / (n + 0.5 * (v + 1)))[c.tokens]
-                w = weights[_class(ctx)]
-                p = w[:, 0] * two / np.maximum(ctx, 1) + w[:, 1] * one / max(n, 1) + w[:, 2] / (v + 1)
+                c = Counted(row, n_buckets)
+                base = np.log10((c.total + 0.5) / (n + 0.5 * (v + 1)))[c.tokens]
+                bucket, estimates = c.estimates(slice(None), 0, n)
+                w = weights[bucket]
+                p = w[:, 3] / (v + 1)
+                for k, x in enumerate(estimates):
+                    p += w[:, k] * x
                 cut = c.rows[:-1]
-                out = [c.ids, c.learn.astype(bool), c.lens, np.add.reduceat((one > 0).astype(np.int64), cut), np.add.reduceat(base, cut), np.add.reduceat(np.log10(p), cut)]
+                out = [c.ids, c.learn.astype(bool), c.lens, np.add.reduceat((c.one > 0).astype(np.int64), cut), np.add.reduceat(base, cut), np.add.reduceat(np.log10(p), cut)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=[x.split()[0] for x in _SCORE.split(", ")])
 
     return run
@@ -198,20 +264,25 @@ def _scores(n_buckets: int, n: int, v: int, weights: np.ndarray):
 
 def score(documents: DataFrame, held_out: Callable[[int], bool], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); held_out says by id which rows not to learn from."""
+    spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    n_buckets = buckets(documents.sparkSession)
     chunks = stored(docs.mapInArrow(_chunks(held_out), _CHUNK), "lm-chunks")
-    told = _told(chunks, n_buckets)
-    release(documents.sparkSession)
+    requests = chunks.agg(F.sum(F.octet_length("words") + F.octet_length("tokens") * 4)).first()[0] or 0
+    n_buckets = max(buckets(spark), -(-requests // GROUP_BYTES))
+    told = _told(chunks.mapInArrow(_ask(n_buckets), _REQUEST), "lm-told")
+    release(spark)
     facts = told.where("kind = 0").agg(F.sum("distinct"), F.sum("sum")).first()
     v, n = int(facts[0] or 0), int(facts[1] or 0)
-    answers = told.groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "totals")).alias("answers"))
-    both = chunks.join(answers, "chunk")  # made twice rather than stored: it is as large as both tables
-    found = stored(both.mapInArrow(_histogram(n_buckets, n), "key long, m long").groupBy("key").agg(F.sum("m").alias("m")), "lm-histogram").toArrow()
-    release(documents.sparkSession)
-    weights = learned_weights(np.asarray(found["key"], np.int64), np.asarray(found["m"], np.float64), v)
-    rows = both.mapInArrow(_scores(n_buckets, n, v, weights), _SCORE)
-    return rows.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    more = _told(_with_answers(chunks, told.where("kind = 1")).mapInArrow(_ask_triples(n_buckets), _REQUEST), "lm-told")
+    release(spark)
+    both = _with_answers(chunks, told.union(more))
+    found = stored(both.mapInArrow(_histogram(n_buckets, n), "key long, m long").groupBy("key").agg(F.sum("m").alias("m")), "lm-histogram")
+    rows = found.toArrow()
+    forget(found)
+    release(spark)
+    weights = learned_weights(np.asarray(rows["key"], np.int64), np.asarray(rows["m"], np.float64), v)
+    out = both.mapInArrow(_scores(n_buckets, n, v, weights), _SCORE)
+    return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def crc_fold(mod: int, held: int) -> Callable[[int], bool]:
