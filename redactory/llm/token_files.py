@@ -9,7 +9,8 @@ block uint16, exceptions' positions uint8 (padded to 8), exceptions' high parts
 
 Files are rows of a Parquet table in the cluster's shared folder, cut at `file_ids` ids: the texts are range-partitioned by
 id, so each task writes whole files of its own range and holds one file in memory. Nulls and empty texts have the end id
-alone. Rows of a repeated id stand side by side in any order. Rows without an id are dropped, extra columns ignored. An
+alone. Rows of a repeated id stand side by side, in an order
+that their texts give. Rows without an id are dropped, extra columns ignored. An
 empty table gives no file and an empty table.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.llm._common import stored
+from redactory.llm._common import sized, stored
 from redactory.llm.tokens import encoded, vocabulary
 
 MAGIC = b"PFOR-01\n"
@@ -68,7 +69,7 @@ def write_file(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> byte
     rest = blocks - low[:, None]
     fit = np.partition(rest, int(BLOCK * SHARE), axis=1)[:, int(BLOCK * SHARE)] if n else low
     widths = np.ceil(np.log2(fit.astype(np.float64) + 1)).astype(np.uint8)
-    high = (rest.astype(np.uint64) >> widths[:, None].astype(np.uint64)).astype(np.uint32)
+    high = np.where(widths[:, None] < 32, rest >> np.minimum(widths, 31)[:, None].astype(np.uint32), np.uint32(0))
     where, pos = np.nonzero(high)
     starts = np.zeros(n + 1, np.int64)
     np.cumsum(widths.astype(np.int64) * (BLOCK // 64), out=starts[1:])
@@ -158,10 +159,19 @@ def write_files(documents: DataFrame, path: str | None = None, end_id: int = 1,
     """The files, as rows of a stored table: (first_id, last_id, n_ids, content), each with `before`: the ids of all files before it."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     files = stored(ordered.mapInArrow(_write(path or vocabulary(), end_id, file_ids), _FILE).withColumn("part", F.monotonically_increasing_id()), "token-files", compression="none")
-    order = files.select("part", "first_id", "n_ids").withColumn("before", F.sum("n_ids").over(Window.orderBy("first_id", "part").rowsBetween(Window.unboundedPreceding, -1)))
-    return files.join(F.broadcast(order.select("part", F.coalesce("before", F.lit(0).cast("long")).alias("before"))), "part")
+    # the upper bits of `part` are the range's number; there are as many ranges as shuffle partitions
+    files = files.withColumn("range", F.shiftright("part", 33))
+    before, known = 0, []
+    for r in files.groupBy("range").agg(F.sum("n_ids").alias("n")).orderBy("range").collect():
+        known.append((r["range"], before))
+        before += r["n"]
+    ranges = files.sparkSession.createDataFrame(known, "range long, above long")
+    inner = F.sum("n_ids").over(Window.partitionBy("range").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    order = files.select("range", "part", "n_ids").withColumn("inner", F.coalesce(inner, F.lit(0).cast("long")))
+    order = order.join(F.broadcast(ranges), "range").select("part", (F.col("above") + F.col("inner")).alias("before"))
+    return files.drop("range").join(sized(stored(order, "token-files-order")), "part")
 
 
 def _read(batches):

@@ -19,7 +19,7 @@ from redactory.llm._common import _WHITE, U64, lower_ascii, text_buffer, word_ha
 #: A worker forgets its words beyond so many.
 CACHED_WORDS = 3_000_000
 #: Texts are taken in parts of about so many bytes, which bounds the memory in use; a longer text is a part of its own.
-PART_BYTES = 6 << 20
+PART_BYTES = 2 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -88,7 +88,7 @@ class WordEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         low = lower_ascii(buf)
         keys = word_hashes(low, starts, ends)
-        other = np.zeros(len(buf) + 1, np.int64)
+        other = np.zeros(len(buf) + 1, np.int32)
         np.cumsum(_OTHER[buf], out=other[1:])
         odd = np.flatnonzero(other[ends] != other[starts])
         keys[odd] = word_hashes(buf, starts[odd], ends[odd])
