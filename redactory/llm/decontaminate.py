@@ -3,9 +3,10 @@
 An item is contained in a document if at least `percent` hundredths of its distinct five-word shingles occur there. Items are
 partitioned by size (powers of two of their shingle counts). Of each item the least min-hashes are kept, so many that a
 document which contains the item must hold `hits` of them: with n shingles of which need = ceil(percent * n / 100) must
-occur, k minima leave at least k - (n - need). k is set by the upper end of the item's size class. Documents' shingle hashes
-probe these sketches, which finds short items in long documents at one look-up a shingle; pairs with enough hits are then
-verified by exact containment of the shingles themselves.
+occur, k minima leave at least k - (n - need). k is set by the upper end of the item's size class, and so is the number of hits that a document must have in a class before
+its items are looked at. Documents' distinct shingle hashes probe the sketches of all classes at one look-up a shingle, which
+finds short items in long documents; hits are counted by document and class, then, where they reach the class's
+threshold, by item; pairs with enough hits are verified by exact containment of the shingles themselves.
 
 Words are [^\\x20\\x09-\\x0D]+ with ASCII letters in lower case. Items with fewer than five words (or null) have no shingles
 and are contained nowhere; neither do short or null documents contain any. Rows of a repeated id count as one document or
@@ -20,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm._common import sized, stored
+from redactory.llm._common import forget, sized, stored
 
 SIZE = 5
 
@@ -60,16 +61,23 @@ def contained(documents: DataFrame, benchmark: DataFrame, percent: int = 75, id_
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null")
     known = stored(sketches(items, percent), "bench-items")
-    minima = stored(known.select("item_id", "hits", F.explode("least").alias("s")).groupBy("s").agg(F.collect_set(F.struct("item_id", "hits")).alias("items")), "bench-minima")
+    # a row for each minimum and class; within a class the threshold is that of its item with the fewest hits to reach
+    minima = known.select("size_class", "item_id", "hits", F.explode("least").alias("s")).groupBy("s", "size_class").agg(F.collect_set(F.struct("item_id", "hits")).alias("items"))
+    minima = stored(minima, "bench-minima")
+    least = known.groupBy("size_class").agg(F.min("hits").alias("class_hits"))  # a row for each power of two
     hashed = docs.withColumn("words", words(F.col("text"))).withColumn("w", F.expr("transform(words, x -> xxhash64(x))"))
-    probes = hashed.select("doc_id", F.explode(_hashes()).alias("s")).join(sized(minima, 64), "s")
-    pairs = probes.select("doc_id", "s", F.explode("items").alias("i")).select("doc_id", "s", "i.*")
-    pairs = pairs.groupBy("doc_id", "item_id").agg(F.size(F.collect_set("s")).alias("found"), F.min("hits").alias("hits")).where("found >= hits")
+    probes = hashed.select("doc_id", F.explode(F.array_distinct(_hashes())).alias("s"))
+    found = stored(probes.join(sized(minima, F.size("items") * 24), "s").select("doc_id", "s", "size_class", "items"), "bench-found")
+    classes = found.groupBy("doc_id", "size_class").agg(F.count_distinct("s").alias("n")).join(F.broadcast(least), "size_class").where("n >= class_hits")
+    classes = stored(classes.select("doc_id", "size_class"), "bench-classes")
+    pairs = found.join(sized(classes), ["doc_id", "size_class"], "left_semi").select("doc_id", "s", F.inline("items"))
+    pairs = pairs.groupBy("doc_id", "item_id").agg(F.count("s").alias("found"), F.min("hits").alias("hits")).where("found >= hits")
     asked = stored(pairs.groupBy("doc_id").agg(F.collect_set("item_id").alias("item_ids")), "bench-asked")
-    some = docs.join(sized(asked, 256), "doc_id").withColumn("words", words(F.col("text"))).withColumn("shingles", F.array_distinct(_texts()))
-    both = some.select("doc_id", "shingles", F.explode("item_ids").alias("item_id")).join(sized(known.select("item_id", "n", "texts"), 4096), "item_id")
+    some = docs.join(sized(asked, F.size("item_ids") * 8), "doc_id").withColumn("words", words(F.col("text"))).withColumn("shingles", F.array_distinct(_texts()))
+    both = some.select("doc_id", "shingles", F.explode("item_ids").alias("item_id")).join(sized(known.select("item_id", "n", "texts"), F.expr("aggregate(texts, 0L, (a, x) -> a + 24 + octet_length(x))")), "item_id")
     both = both.select("doc_id", "item_id", F.col("n").cast("long").alias("n_shingles"), F.size(F.array_intersect("texts", "shingles")).cast("long").alias("n_shared"))
     both = both.where(F.col("n_shared") * 100 >= F.col("n_shingles") * percent).groupBy("doc_id", "item_id").agg(F.max_by("n_shingles", "n_shared").alias("n_shingles"), F.max("n_shared").alias("n_shared"))
+    forget(found, minima, classes)
     return both.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
