@@ -29,7 +29,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(sized(stored(ids.select("doc_id").distinct(), "pipeline-ids"), 16), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(sized(stored(ids.select("doc_id").distinct(), "pipeline-ids")), "doc_id", "left_anti").select(docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
