@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import re
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if its counted rows times its row width stay under this; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: nothing reads its shuffle files again once it is there, and workers get small batches.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 U64 = np.uint64
 _BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
@@ -45,15 +47,14 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet into the shared folder and return the table read back: this cuts the lineage durably."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")  # once the table is there, nothing reads its shuffle files again
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.options(**options).parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -106,6 +107,41 @@ def buckets(spark: SparkSession, factor: int = 4) -> int:
     return max(8, factor * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+# ---------------------------------------------------------------- workers
+
+
+def _give_back() -> None:
+    """Free memory that the allocators keep goes back to the system: an idle worker would hold it while others work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        return
+
+
+def lean(f):
+    """f, for mapInArrow or applyInArrow, giving memory back at the end of a task or of a large group."""
+
+    def table(t: pa.Table) -> pa.Table:
+        out = f(t)
+        if t.nbytes > 4 << 20:
+            _give_back()
+        return out
+
+    def run(batches):
+        if isinstance(batches, pa.Table):
+            return table(batches)
+        return stream(batches)
+
+    def stream(batches):
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
 # ---------------------------------------------------------------- words
 
 

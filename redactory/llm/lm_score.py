@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm._common import U64, buckets, by_bucket, forget, hashed, mix, parts, release, stored, text_buffer
+from redactory.llm._common import U64, buckets, by_bucket, forget, hashed, lean, mix, parts, release, stored, text_buffer
 
 END = U64(0x5851F42D4C957F2D)
 PART_BYTES = 3 << 20
@@ -232,7 +232,7 @@ def learned_weights(keys: np.ndarray, m: np.ndarray, v: int, rounds: int = 60) -
 
 
 def _told(asked: DataFrame, name: str) -> DataFrame:
-    told = asked.groupBy("kind", "bucket").applyInArrow(_add, "chunk string, kind int, bucket int, totals binary, distinct long, sum long")
+    told = asked.groupBy("kind", "bucket").applyInArrow(lean(_add), "chunk string, kind int, bucket int, totals binary, distinct long, sum long")
     return stored(told, name, compression="zstd")
 
 
@@ -266,22 +266,22 @@ def score(documents: DataFrame, held_out: Callable[[int], bool], id_col: str = "
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); held_out says by id which rows not to learn from."""
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    chunks = stored(docs.mapInArrow(_chunks(held_out), _CHUNK), "lm-chunks")
+    chunks = stored(docs.mapInArrow(lean(_chunks(held_out)), _CHUNK), "lm-chunks")
     requests = chunks.agg(F.sum(F.octet_length("words") + F.octet_length("tokens") * 4)).first()[0] or 0
     n_buckets = max(buckets(spark), -(-requests // GROUP_BYTES))
-    told = _told(chunks.mapInArrow(_ask(n_buckets), _REQUEST), "lm-told")
+    told = _told(chunks.mapInArrow(lean(_ask(n_buckets)), _REQUEST), "lm-told")
     release(spark)
     facts = told.where("kind = 0").agg(F.sum("distinct"), F.sum("sum")).first()
     v, n = int(facts[0] or 0), int(facts[1] or 0)
-    more = _told(_with_answers(chunks, told.where("kind = 1")).mapInArrow(_ask_triples(n_buckets), _REQUEST), "lm-told")
+    more = _told(_with_answers(chunks, told.where("kind = 1")).mapInArrow(lean(_ask_triples(n_buckets)), _REQUEST), "lm-told")
     release(spark)
     both = _with_answers(chunks, told.union(more))
-    found = stored(both.mapInArrow(_histogram(n_buckets, n), "key long, m long").groupBy("key").agg(F.sum("m").alias("m")), "lm-histogram")
+    found = stored(both.mapInArrow(lean(_histogram(n_buckets, n)), "key long, m long").groupBy("key").agg(F.sum("m").alias("m")), "lm-histogram")
     rows = found.toArrow()
     forget(found)
     release(spark)
     weights = learned_weights(np.asarray(rows["key"], np.int64), np.asarray(rows["m"], np.float64), v)
-    out = both.mapInArrow(_scores(n_buckets, n, v, weights), _SCORE)
+    out = both.mapInArrow(lean(_scores(n_buckets, n, v, weights)), _SCORE)
     return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

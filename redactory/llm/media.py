@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm._common import stored
+from redactory.llm._common import lean, stored
 
 # Fixed values of the format and of our streams.
 SYNC, PACKET, STREAM_PRIVATE_DATA, PRIVATE_STREAM_1 = 0x47, 188, 0x06, 0xBD
@@ -177,7 +177,7 @@ def _stored_rows(ids, n, media) -> pa.RecordBatch:
 def store(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media), written to the cluster's shared folder."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    return stored(docs.mapInArrow(lambda batches: (x for b in batches for x in _parts(b)), "doc_id long, n_bytes long, media binary"), "media", compression="zstd")
+    return stored(docs.mapInArrow(lean(lambda batches: (x for b in batches for x in _parts(b))), "doc_id long, n_bytes long, media binary"), "media", compression="zstd")
 
 
 _READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>"
@@ -197,4 +197,4 @@ def _read(batches):
 
 def read(media: DataFrame) -> DataFrame:
     """What the stored streams hold: digests, features, times and random-access points."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, _READ)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(_read), _READ)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm._common import U64, Forest, buckets, by_bucket, components, flattened, forget, groups, joined, mix, parts, shingle_sets, sized, stored
+from redactory.llm._common import U64, Forest, buckets, by_bucket, components, flattened, forget, groups, joined, lean, mix, parts, shingle_sets, sized, stored
 
 #: At most so many of the most frequent shingles get a rank of their own (16 bytes each).
 RANKED = 1 << 20
@@ -100,9 +100,9 @@ def _alive(t: pa.Table) -> pa.Table:
 
 def screened(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n) of all documents, and (doc_id, n, sig) of the texts that may have a partner; both are stored."""
-    deal = stored(docs.mapInArrow(_screen(size, num, den, buckets(docs.sparkSession)), _SCREENED), "ngram-deal", compression="lz4")
+    deal = stored(docs.mapInArrow(lean(_screen(size, num, den, buckets(docs.sparkSession))), _SCREENED), "ngram-deal", compression="lz4")
     info = deal.where("bucket < 0").select(F.explode(F.arrays_zip("ids", "n", "live", "sig")).alias("x")).select(F.col("x.ids").alias("doc_id"), "x.n", "x.live", "x.sig")
-    more = deal.where("bucket >= 0").select("bucket", "keys", "docs", "many").groupBy("bucket").applyInArrow(_alive, "doc_id long, live long")
+    more = deal.where("bucket >= 0").select("bucket", "keys", "docs", "many").groupBy("bucket").applyInArrow(lean(_alive), "doc_id long, live long")
     more = more.groupBy("doc_id").agg(F.sum("live").alias("more"))
     both = info.groupBy("doc_id", "sig").agg(F.max("n").alias("n"), F.max("live").alias("live")).join(more, "doc_id", "left")
     texts = stored(both.select("doc_id", "n", "sig", (F.col("live") + F.coalesce("more", F.lit(0))).alias("live")), "ngram-known")
@@ -134,7 +134,7 @@ def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Keys and counts of the most frequent shingles, at most RANKED, by key; counts within batches of one are left out.
 
     These are told to the tasks rather than shuffled, so that none of the shuffled ones has very many documents."""
-    counts = sets.select("shingles").mapInArrow(_repeats, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = sets.select("shingles").mapInArrow(lean(_repeats), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts = stored(counts.where("n >= 256"), "ngram-counts")
     steps = sorted(((r["k"], r["count"]) for r in counts.select(F.floor(F.log2("n")).alias("k")).groupBy("k").count().collect()), reverse=True)
     least, total = 64, 0
@@ -255,9 +255,9 @@ def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     n = max(buckets(spark, 1), -(-16 * total // GROUP_BYTES))  # both ways: buckets of shingles by buckets of documents
     sets = sets.select("node", "n", "shingles")
     order = spark.sparkContext.broadcast(frequent(sets))
-    rare = sets.mapInArrow(_deal_rare(order, n), "bucket int, keys binary, docs binary").groupBy("bucket").applyInArrow(_tell_rare(n), _OWN)
-    told = rare.union(sets.mapInArrow(_tell_hot(order, n), _OWN))
-    return told.groupBy("bucket").applyInArrow(_heads(num, den, n), _OWN).drop("kind")
+    rare = sets.mapInArrow(lean(_deal_rare(order, n)), "bucket int, keys binary, docs binary").groupBy("bucket").applyInArrow(lean(_tell_rare(n)), _OWN)
+    told = rare.union(sets.mapInArrow(lean(_tell_hot(order, n)), _OWN))
+    return told.groupBy("bucket").applyInArrow(lean(_heads(num, den, n)), _OWN).drop("kind")
 
 
 def _stars(num: int, den: int):
@@ -386,7 +386,7 @@ def _join_groups(num: int, den: int):
 
 def _run(rows: DataFrame, num: int, den: int) -> DataFrame:
     """rows: grp, part, node, rep, shingles, label, query."""
-    return rows.groupBy("grp").applyInArrow(_join_groups(num, den), "a long, b long")
+    return rows.groupBy("grp").applyInArrow(lean(_join_groups(num, den)), "a long, b long")
 
 
 def block_links(sets: DataFrame, num: int, den: int, block_shingles: int) -> DataFrame:
@@ -433,10 +433,10 @@ def ngram_join(documents: DataFrame, size: int = 5, percent: int = 75, id_col: s
     nodes = stored(may.groupBy("sig").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "ngram-nodes")
     twins = stored(may.join(sized(nodes), "sig").where("doc_id != rep").select("doc_id", "rep"), "ngram-twins")
     reps = stored(nodes.select(F.col("rep").alias("doc_id")).distinct(), "ngram-reps")
-    sets = docs.join(sized(reps), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(size), "rep long, sig binary, n long, shingles binary")
+    sets = docs.join(sized(reps), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lean(_sets(size)), "rep long, sig binary, n long, shingles binary")
     sets = stored(sets.join(sized(nodes), ["sig", "rep"]).dropDuplicates(["sig", "rep"]).select("node", "rep", "n", "shingles"), "ngram-sets")
     forget(reps)
-    stars = prefixes(sets, num, den).groupBy("bucket").applyInArrow(_stars(num, den), "a long, b long")
+    stars = prefixes(sets, num, den).groupBy("bucket").applyInArrow(lean(_stars(num, den)), "a long, b long")
     blocks = stored(components(stars, "ngram-blocks").toDF("node", "block"), "ngram-blocks")
     links = block_links(sets.join(sized(blocks), "node"), num, den, block_shingles)
     found = components(links.union(twins), "ngram-found").toDF("doc_id", "component")

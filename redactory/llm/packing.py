@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm._common import stored, text_buffer
+from redactory.llm._common import lean, stored, text_buffer
 from redactory.llm.tokens import encoded, vocabulary
 
 FAN_IN = 8
@@ -132,20 +132,20 @@ def _opened(batches):
 def pack(documents: DataFrame, length: int = 4096, path: str | None = None, end_id: int = 1, slack: int = 16, node_items: int = 20_000, gain: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): see the module's text."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    pieces = stored(docs.mapInArrow(_pieces(path or vocabulary(), end_id, length), _PIECE), "packing-pieces")
-    bins, n = pieces.mapInArrow(_single, "bin binary"), pieces.count()
+    pieces = stored(docs.mapInArrow(lean(_pieces(path or vocabulary(), end_id, length)), _PIECE), "packing-pieces")
+    bins, n = pieces.mapInArrow(lean(_single), "bin binary"), pieces.count()
     out, level, nodes = None, 0, max(1, -(-n // node_items))
     while True:
         # dealt by content and place in the table, so that repeated rows spread as well
         dealt = bins.withColumn("node", F.pmod(F.xxhash64("bin", F.monotonically_increasing_id()), F.lit(nodes)))
-        got = stored(dealt.groupBy("node").applyInArrow(_level(level, length, slack), _LEVEL), "packing-level")
+        got = stored(dealt.groupBy("node").applyInArrow(lean(_level(level, length, slack)), _LEVEL), "packing-level")
         done = got.where("bin is null").drop("bin")
         out = done if out is None else out.unionByName(done)
         bins, before, n = got.where("bin is not null").select("bin"), n, got.where("bin is not null").count()
         level += 1
         if nodes == 1 or (before - n) * gain < before:
             rest = bins.withColumn("sequence_id", F.lit(level << 57) + F.monotonically_increasing_id())
-            return out.unionByName(rest.mapInArrow(_opened, f"{_PIECE}, sequence_id long, `offset` long"))
+            return out.unionByName(rest.mapInArrow(lean(_opened), f"{_PIECE}, sequence_id long, `offset` long"))
         nodes = max(-(-n // node_items), -(-nodes // FAN_IN), 1)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm._common import U64, buckets, by_bucket, forget, groups, hashed, joined, mix, parts, sized, spans, stored, text_buffer, window_hashes
+from redactory.llm._common import U64, buckets, by_bucket, forget, groups, hashed, joined, lean, mix, parts, sized, spans, stored, text_buffer, window_hashes
 
 _TOLD = "doc_id long, key long"
 _DEAL = "bucket int, kind int, keys binary, more binary, docs binary, pos binary"
@@ -272,22 +272,22 @@ def substring_dedup(documents: DataFrame, window: int = 50, id_col: str = "doc_i
         lengths.insert(0, -(-window // 2))
     some, before, info, live = docs, None, None, None
     for length in lengths[:-1]:
-        dealt = stored(some.mapInArrow(_level(window, length, before, n), _LEVEL), f"substring-{length}", compression="lz4")
+        dealt = stored(some.mapInArrow(lean(_level(window, length, before, n)), _LEVEL), f"substring-{length}", compression="lz4")
         info = dealt if info is None else info
-        found = dealt.where("bucket >= 0").select("bucket", "keys", "docs", "many").groupBy("bucket").applyInArrow(_repeated, _TOLD)
-        found = found.union(dealt.where("bucket = -2").select("keys", "docs").mapInArrow(_settled, _TOLD))
+        found = dealt.where("bucket >= 0").select("bucket", "keys", "docs", "many").groupBy("bucket").applyInArrow(lean(_repeated), _TOLD)
+        found = found.union(dealt.where("bucket = -2").select("keys", "docs").mapInArrow(lean(_settled), _TOLD))
         old, live = live, stored(found.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "substring-live", compression="lz4")
         forget(*[x for x in (old, None if dealt is info else dealt) if x is not None])
         some = docs.join(sized(live, F.size("keys") * 8), "doc_id").select("doc_id", "text", "keys")
         before = length
-    last = stored(some.mapInArrow(_last_level(window, before, n), _DEAL), "substring-last", compression="lz4")
-    runs = last.where("kind = 0").select("bucket", "keys", "more", "docs", "pos").groupBy("bucket").applyInArrow(_later, "doc_id long, start long, length long")
-    runs = runs.union(last.where("kind = 1").select("docs", "pos").mapInArrow(_told, "doc_id long, start long, length long"))
+    last = stored(some.mapInArrow(lean(_last_level(window, before, n)), _DEAL), "substring-last", compression="lz4")
+    runs = last.where("kind = 0").select("bucket", "keys", "more", "docs", "pos").groupBy("bucket").applyInArrow(lean(_later), "doc_id long, start long, length long")
+    runs = runs.union(last.where("kind = 1").select("docs", "pos").mapInArrow(lean(_told), "doc_id long, start long, length long"))
     runs = stored(runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("runs")), "substring-runs", compression="lz4")
     forget(last, live)
     rows = info.where("bucket = -1").select(F.explode(F.arrays_zip("ids", "n", "sha")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.n").alias("n_words"), F.col("x.sha").alias("sha"))
     out = "doc_id long, sha string, n_removed long, kept_sha256 string" + ", kept string" * texts
     some = docs.join(sized(runs, F.size("runs") * 16), "doc_id")
-    removed = some.select("doc_id", "text", "runs").mapInArrow(_removed(window, texts), out).dropDuplicates(["doc_id", "sha"])
+    removed = some.select("doc_id", "text", "runs").mapInArrow(lean(_removed(window, texts)), out).dropDuplicates(["doc_id", "sha"])
     both = rows.dropDuplicates(["doc_id", "sha"]).join(removed, ["doc_id", "sha"], "left")
     return both.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *["kept"] * texts)

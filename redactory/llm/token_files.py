@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.llm._common import sized, stored
+from redactory.llm._common import lean, sized, stored
 from redactory.llm.tokens import encoded, vocabulary
 
 MAGIC = b"PFOR-01\n"
@@ -160,7 +160,7 @@ def write_files(documents: DataFrame, path: str | None = None, end_id: int = 1,
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    files = stored(ordered.mapInArrow(_write(path or vocabulary(), end_id, file_ids), _FILE).withColumn("part", F.monotonically_increasing_id()), "token-files", compression="none")
+    files = stored(ordered.mapInArrow(lean(_write(path or vocabulary(), end_id, file_ids)), _FILE).withColumn("part", F.monotonically_increasing_id()), "token-files", compression="none")
     # the upper bits of `part` are the range's number; there are as many ranges as shuffle partitions
     files = files.withColumn("range", F.shiftright("part", 33))
     before, known = 0, []
@@ -190,4 +190,4 @@ def _read(batches):
 
 def read_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files' bytes."""
-    return files.select("content", "before").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("content", "before").mapInArrow(lean(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm._common import U64, lower_ascii, mix, spans, text_buffer, word_hashes
+from redactory.llm._common import U64, lean, lower_ascii, mix, spans, text_buffer, word_hashes
 
 _GAPS = np.ones(256, bool)
 _GAPS[48:58] = _GAPS[65:91] = _GAPS[97:123] = _GAPS[128:] = False
@@ -99,7 +99,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, sample: int = 16
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")  # at most `sample` rows of 12 bytes
-    out = rows.repartition(1).mapInArrow(_fit(bits, epochs, alpha, beta, l1, l2), "feature long, weight double").toArrow()
+    out = rows.repartition(1).mapInArrow(lean(_fit(bits, epochs, alpha, beta, l1, l2)), "feature long, weight double").toArrow()
     at, w = np.asarray(out["feature"], np.int64), np.asarray(out["weight"], np.float64)
     return (at, w) if len(at) else (np.array([1 << bits]), np.zeros(1))
 
@@ -123,7 +123,7 @@ def _score(weights, bits: int):
 def score(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray], bits: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row."""
     held = documents.sparkSession.sparkContext.broadcast(weights)
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(held, bits), "doc_id long, score double")
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(_score(held, bits)), "doc_id long, score double")
 
 
 def _keep(weights, bits: int, threshold: float, text: int):
@@ -140,4 +140,4 @@ def _keep(weights, bits: int, threshold: float, text: int):
 def clean(documents: DataFrame, weights: tuple[np.ndarray, np.ndarray], threshold: float = 0.3, bits: int = 20, text_col: str = "text") -> DataFrame:
     """The rows, all columns, that score below the threshold."""
     held = documents.sparkSession.sparkContext.broadcast(weights)
-    return documents.mapInArrow(_keep(held, bits, threshold, documents.columns.index(text_col)), documents.schema)
+    return documents.mapInArrow(lean(_keep(held, bits, threshold, documents.columns.index(text_col))), documents.schema)

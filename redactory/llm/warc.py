@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactory.llm._common import sized, stored
+from redactory.llm._common import lean, sized, stored
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -93,7 +93,7 @@ def _write(archive_bytes: int):
 
 def write_archives(pages: DataFrame, archive_bytes: int = 4 << 20) -> DataFrame:
     """pages: page_id, uri, payload, refers_to (null: a response)."""
-    return stored(pages.select("page_id", "uri", "payload", "refers_to").mapInArrow(_write(archive_bytes), _ARCHIVE), "warc", compression="zstd")
+    return stored(pages.select("page_id", "uri", "payload", "refers_to").mapInArrow(lean(_write(archive_bytes)), _ARCHIVE), "warc", compression="zstd")
 
 
 def _read(payloads: bool):
@@ -118,7 +118,7 @@ def _read(payloads: bool):
 
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
     """A row for each record; payload_bytes is null for revisits until they are resolved."""
-    return archives.select("content").mapInArrow(_read(payloads), _HEADER)
+    return archives.select("content").mapInArrow(lean(_read(payloads)), _HEADER)
 
 
 def deduplicate(archives: DataFrame, least_bytes: int = 1000, archive_bytes: int = 4 << 20) -> DataFrame:
