@@ -81,10 +81,6 @@ def snippet(text: Column, start: Column, end: Column, window: int = 40) -> Colum
     return strip(F.concat(left, F.lit("["), F.substring(text, start + 1, end - start), F.lit("]"), right))
 
 
-def plain_snippet(text: Column, start: Column, end: Column, window: int = 40) -> Column:
-    return strip(F.regexp_replace(F.concat(before(text, start, window), F.substring(text, start + 1, end - start + window)), "\n", " "))
-
-
 def luhn(digits: Column, least: int = 13, most: int | None = None) -> Column:
     """Whether the last digit is right by the mod-10 rule."""
     d = F.transform(F.split(F.reverse(digits), ""), lambda x: F.try_to_number(x, F.lit("9")).cast("int"))

@@ -90,8 +90,8 @@ def _texts(df: DataFrame) -> DataFrame:
 
 def metrics_by_type(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Over distinct texts: gold, predicted, tp, fp, fn, and the rates, null where there is nothing to divide."""
-    if "verified" in gold.columns:
-        gold = gold.where("coalesce(verified, true) and not coalesce(exclude_from_metrics, false)")
+    for flag, keep in (("verified", "coalesce(verified, true)"), ("exclude_from_metrics", "not coalesce(exclude_from_metrics, false)")):
+        gold = gold.where(keep) if flag in gold.columns else gold
     g, p = _texts(gold.where("text <> 'ABSENT'")).withColumn("g", F.lit(1)), _texts(predicted).withColumn("p", F.lit(1))
     kinds = F.array(*map(F.lit, SCORED_TYPES))
     types = gold.sparkSession.range(1).select(F.explode(kinds).alias("entity_type"))
@@ -128,14 +128,22 @@ def negatives_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.count_if(F.expr("preserved")).alias("preserved"), F.count_if(F.expr("not preserved")).alias("violated"), F.coalesce(F.count_if(F.expr("preserved")) / F.nullif(F.count("*"), F.lit(0)), F.lit(1.0)).alias("pass_rate"))
 
 
-def residual(findings: DataFrame, known: DataFrame) -> DataFrame:
-    """Findings but those that equal a known synthetic value or, where it is longer than four characters, contain it or lie in it.
-
-    Equal ones go by a hashed join first; what is left is compared only with values of the same type."""
-    values = known.select("entity_type", F.lower("replacement").alias("v")).distinct()
-    rows = findings.withColumn("v", F.lower("text")).join(values, ["entity_type", "v"], "left_anti").withColumn("f", F.lower("text"))
-    near = (rows["entity_type"] == values["entity_type"]) & (F.length(values["v"]) > 4) & (rows["f"].contains(values["v"]) | values["v"].contains(rows["f"]))
-    return rows.join(values.hint("merge"), near, "left_anti").drop("v", "f")
+def residual(findings: DataFrame, known: DataFrame, size: int = 5) -> DataFrame:
+    """Findings but those that equal a known synthetic value, of whatever type, or, where it is longer than four characters, contain it
+    or lie in it.
+
+    Distinct texts meet by pieces of `size` characters: a text holds a value only if it holds the value's first piece, and
+    lies in one only if its own first piece (all of a shorter text) does. Hashed joins on pieces, then the exact test."""
+    text = lambda c: F.lower(strip(F.col(c)))
+    pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n))))
+    f = findings.select(text("text").alias("f")).distinct()
+    v = known.select(text("replacement").alias("v")).distinct()
+    long = v.where(F.length("v") > size - 1)
+    held = f.select("f", F.explode(pieces("f", size)).alias("g")).join(long.withColumn("g", F.substring("v", 1, size)), "g").where(F.col("f").contains(F.col("v")))
+    of_all = F.flatten(F.array(*[pieces("v", n) for n in range(1, size + 1)]))
+    lies = f.where("f <> ''").withColumn("g", F.substring("f", 1, size)).join(long.select("v", F.explode(F.array_distinct(of_all)).alias("g")), "g").where(F.col("v").contains(F.col("f")))
+    out = v.select(F.col("v").alias("f")).union(held.select("f")).union(lies.select("f")).distinct()
+    return findings.withColumn("f", text("text")).join(out, "f", "left_anti").drop("f")
 
 
 def spot_check(originals: DataFrame, output: DataFrame) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from re import _parser as parser
 
+import pandas as pd
+import regex
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactory.functions import vocabulary as V
-from redactory.functions.text import MATCHES, anchored, before, blank, contains_any, luhn, none, overlaps, reused, snippet, span, spans_of, strip, tier
+from redactory.functions.text import MATCHES, SPANS, anchored, before, blank, contains_any, luhn, none, overlaps, reused, snippet, span, spans_of, strip, tier
 
 #: What every text with such a match has.
 DIGIT = r"\p{Nd}"
@@ -26,7 +31,7 @@ class Custom:
 
 @dataclass(frozen=True)
 class Config:
-    """What to look for; read when the plan is built."""
+    """What to look for; read when the plan is built. person_ner: a function from a text to the (start, end) of names."""
 
     categories: tuple[str, ...] = tuple(ORDER)
     packs: tuple[str, ...] = ("generic", "legal", "finance")
@@ -169,23 +174,83 @@ def dob(text, held, pat):
     return scored(kept(good, text, held, pat), text, "DOB", 0.98, "context_gated_dob")
 
 
+def runs_in_java(pattern: str) -> bool:
+    """Whether Java reads the pattern and it matches no empty text, so that it can run as an expression."""
+    try:
+        if parser.parse(pattern).getwidth()[0] == 0:
+            return False
+        SparkContext._jvm.java.util.regex.Pattern.compile("(?U)" + pattern)
+        return True
+    except Exception:  # either may refuse what Python's own matcher takes
+        return False
+
+
+def _python_spans(find, needs: str | None = None):
+    """An Arrow function from texts to spans; find gives the start and end of each."""
+
+    @F.pandas_udf(SPANS)
+    def run(texts: pd.Series) -> pd.Series:
+        gate = re.compile(needs).search if needs else lambda t: True
+        return pd.Series([[{"start": a, "end": b, "text": t[a:b]} for a, b in find(t)] if t and gate(t) else [] for t in texts])
+
+    return run
+
+
+def _finder(pattern: str):
+    def find(text: str):
+        return [m.span() for m in regex.compile(pattern).finditer(text)]
+
+    return find
+
+
 def custom(rule: Custom, text, held, pat):
-    """A pattern of the user's; one that Java can't read raises when the plan runs."""
-    return scored(kept(spans_of(text, rule.pattern, False), text, held, pat), text, rule.name, rule.confidence, "custom_user_regex")
+    """A pattern of the user's. What Java can't run as an expression runs in Arrow batches, empty matches included; a pattern that
+    can't be read at all finds nothing."""
+    if runs_in_java(rule.pattern):
+        found = spans_of(text, rule.pattern, False)
+    else:
+        try:
+            regex.compile(rule.pattern)
+        except regex.error:
+            return none(MATCHES)
+        found = _python_spans(_finder(rule.pattern))(text)
+    return scored(kept(found, text, held, pat), text, rule.name, rule.confidence, "custom_user_regex")
+
+
+def person_ner(find, text, held, pat):
+    """Names that a recogniser of the user's finds, for review: find(text) gives the start and end of each."""
+    found = _python_spans(find, r"[A-Z][a-z]+\s+[A-Z][a-z]+")(text)
+    return scored(kept(F.filter(found, lambda n: valid_name(n["text"])), text, held, pat), text, "PERSON", 0.75, "ner_candidate")
 
 
 DETECTORS = dict(zip(ORDER, (email, phone, credit_card, ssn, ip_address, pan, upi_id, iban, person, company, address, dob)))
 
 
+def register_detector(kind: str, detect) -> None:
+    """A detector of the user's for a kind of its own, or in place of one here: detect(text, held, pat), all Columns but the pattern,
+    gives matches (see `scored`). It runs where the kind is among a Config's categories."""
+    if kind not in DETECTORS:
+        ORDER.append(kind)
+    DETECTORS[kind] = detect
+
+
 def protected_spans(text: Column, config: Config = Config()) -> Column:
     return spans_of(text, V.protected_pattern(config.packs, config.protected_terms))
 
 
 @reused
-def _findings(rule: str | Custom, text: str, pat: str) -> Column:
+def _findings(rule: str, text: str, pat: str, detect) -> Column:
+    t, held = F.col(text), F.col("_held")
+    return F.when(blank(t), none(MATCHES)).otherwise(detect(t, held, pat))
+
+
+def _column(rule: str | Custom, text: str, pat: str, config: Config) -> Column:
     t, held = F.col(text), F.col("_held")
-    found = custom(rule, t, held, pat) if isinstance(rule, Custom) else DETECTORS[rule](t, held, pat)
-    return F.when(blank(t), none(MATCHES)).otherwise(found)
+    if isinstance(rule, Custom):
+        return F.when(blank(t), none(MATCHES)).otherwise(custom(rule, t, held, pat))
+    if rule == "PERSON" and config.person_ner:
+        return F.when(blank(t), none(MATCHES)).otherwise(uncovered(_findings(rule, text, pat, DETECTORS[rule]), person_ner(config.person_ner, t, held, pat)))
+    return _findings(rule, text, pat, DETECTORS[rule])
 
 
 def scan(segments: DataFrame, config: Config = Config(), text: str = "text") -> DataFrame:
@@ -197,7 +262,7 @@ def scan(segments: DataFrame, config: Config = Config(), text: str = "text") ->
     rows = segments.withColumn("_held", F.when(blank(t), none()).otherwise(protected_spans(t, config)))
     rules = [k for k in ORDER if k in config.categories] + list(config.custom)
     names = [f"_m{i}" for i in range(len(rules))]
-    rows = rows.withColumns({n: _findings(rule, text, pat) for n, rule in zip(names, rules)})
+    rows = rows.withColumns({n: _column(rule, text, pat, config) for n, rule in zip(names, rules)})
     found = F.concat(*names) if names else none(MATCHES)
     found = F.transform(found, lambda m: m.withField("approved", m["confidence"] >= config.threshold))
     return rows.withColumn("matches", found).drop("_held", *names)

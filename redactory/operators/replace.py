@@ -30,13 +30,13 @@ def synthetic(kind: Column, text: Column, seed: int = 42) -> Column:
     shifted = F.shiftright(k, 4)
     name = F.concat_ws(" ", _pick(V.FIRST_NAMES, k), _pick(V.LAST_NAMES, shifted))
     local = F.concat(_n(90000 + k % 9999), F.lit(" "), _n(10000 + shifted % 89999))
-    form = F.when(F.lower(text).contains("llp"), " LLP").when(F.lower(text).contains("private") | F.lower(text).contains("pvt"), " Private Limited").otherwise(" Limited")
+    form = F.when(text.contains("Private Limited") | text.contains("Pvt. Ltd."), " Private Limited").when(text.contains("LLP"), " LLP").otherwise(" Limited")
     made = {
         "PERSON": F.when((F.upper(text) == text) & (F.lower(text) != text), F.upper(name)).otherwise(name),
         "EMAIL": F.concat(F.lower(_pick(V.FIRST_NAMES, k)), _n(k % 1000), F.lit("@example.com")),
-        "PHONE": F.when(text.contains("+91"), F.concat(F.lit("+91 "), local)).when(text.contains("+1"), F.concat(F.lit("+1-555-"), _n(100 + k % 899), F.lit("-"), _n(1000 + k % 8999))).otherwise(local),
+        "PHONE": F.when(text.startswith("+91"), F.concat(F.lit("+91 "), local)).when(text.startswith("+"), F.concat(F.lit("+1-555-"), _n(100 + k % 899), F.lit("-"), _n(1000 + k % 8999))).otherwise(local),
         "COMPANY": F.concat(_pick(V.FIRMS, k), F.lit(" "), _pick(V.LAST_NAMES, shifted), form),
-        "ADDRESS": F.concat(F.lit("Plot "), _n(10 + k % 890), F.lit(", "), _pick(V.STREETS, k), F.lit(" Industrial Area, Sector "), _n(k % 20 + 1), F.lit(", Pune 411001, Maharashtra, India")),
+        "ADDRESS": F.concat(F.lit("Plot "), _n(10 + k % 890), F.lit(", "), _pick(V.STREETS, k), F.lit(" Industrial Area, Sector "), _n((10 + k % 890) % 20 + 1), F.lit(", Pune 411001, Maharashtra, India")),
         "DOB": F.format_string("%02d/%02d/%d", 1 + k % 28, 1 + k % 12, 1970 + k % 30),
         "SSN": F.concat(F.lit("9"), _n(k % 89 + 10), F.lit("-"), _n(k % 89 + 10), F.lit("-"), _n(k % 8999 + 1000)),
         "CREDIT_CARD": F.lit("4111 1111 1111 1111"),
@@ -52,13 +52,14 @@ def synthetic(kind: Column, text: Column, seed: int = 42) -> Column:
 
 
 def mask(kind: Column, text: Column) -> Column:
-    local, domain = F.split_part(text, F.lit("@"), F.lit(1)), F.split_part(text, F.lit("@"), F.lit(-1))
-    digits = F.regexp_replace(text, r"\D", "")
+    local = F.split_part(text, F.lit("@"), F.lit(1))
+    domain = F.substring(text, F.length(local) + 2, F.length(text))
+    digits = F.regexp_replace(text, r"(?U)\D", "")
     words = F.transform(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), lambda w: F.when(F.length(w) > 1, F.concat(F.substring(w, 1, 1), F.repeat(F.lit("*"), F.length(w) - 1))).otherwise("*"))
     return (
         F.when((kind == "EMAIL") & text.contains("@"), F.concat(F.when(F.length(local) > 1, F.concat(F.substring(local, 1, 1), F.lit("***"))).otherwise("*"), F.lit("@"), domain))
-        .when(kind == "PHONE", F.when(text.contains("+91"), "+91 XXXXX XXXXX").otherwise("XXX-XXX-XXXX"))
-        .when(kind == "CREDIT_CARD", F.concat(F.lit("**** **** **** "), F.substring(digits, -4, 4)))
+        .when(kind == "PHONE", F.when(text.startswith("+91"), "+91 XXXXX XXXXX").otherwise("XXX-XXX-XXXX"))
+        .when(kind == "CREDIT_CARD", F.concat(F.lit("**** **** **** "), F.when(F.length(digits) >= 4, F.substring(digits, -4, 4)).otherwise("XXXX")))
         .otherwise(F.array_join(words, " "))
     )
 
