@@ -5,15 +5,17 @@ SQL that Spark and DuckDB run alike."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redactory.functions import text as T
+from redactory.functions import vocabulary as V
 from redactory.functions.vocabulary import protected_pattern
 from redactory.operators import audit, detect, replace, resolve
 from redactory.operators.detect import Config
 from redactory.plans import engine
-from redactory.sources import readers, writers
+from redactory.sources import readers, sample, writers
 
 CARRIER = """SELECT c_custkey AS seg_ord, concat(CASE c_custkey % 9
   WHEN 0 THEN concat('SSN: ', lpad(CAST(100 + c_custkey % 400 AS STRING),3,'0'), '-', lpad(CAST(1 + c_custkey % 98 AS STRING),2,'0'), '-', lpad(CAST(1 + c_custkey % 9998 AS STRING),4,'0'))
@@ -32,6 +34,15 @@ _VALUES = {
     "ADDRESS": (4, r"Plot .*India", 0.94), "IBAN": (5, r"ZZ[0-9A-Z]+", 0.94), "UPI_ID": (6, r"user[0-9]+@upi", 0.96), "PAN": (6, r"ABCPX[0-9]{4}K", 0.96), "PHONE": (7, r"\+91 [0-9]{5} [0-9]{5}", 0.98),
 }
 
+#: A line for each supplier: spans that overlap, near misses, several matches, other scripts, all shapes of dates.
+MIXED = """SELECT s_suppkey AS seg_ord, CASE s_suppkey % 6
+  WHEN 0 THEN concat('Billing Address: Plot 7, Harbour Row, 98765 ', lpad(CAST(s_suppkey AS STRING),5,'0'), ', India')
+  WHEN 1 THEN concat('Pay user', CAST(s_suppkey AS STRING), '@upi.com or pat', CAST(s_suppkey AS STRING), '@paytm, not logo.png', '@x.com')
+  WHEN 2 THEN concat('card 4111 1111 1111 11', lpad(CAST(s_suppkey % 100 AS STRING),2,'0'))
+  WHEN 3 THEN concat('Code 123-45-6789, version 1.2.3.', CAST(s_suppkey % 200 AS STRING), ', 999.1.1.', CAST(s_suppkey % 200 AS STRING), ' in the Companies Act')
+  WHEN 4 THEN concat('Host 10.0.', CAST(s_suppkey % 300 AS STRING), '.7, Größe, SSN: 987-65-', lpad(CAST(1 + s_suppkey % 9998 AS STRING),4,'0'), ' and then some more words to make the line as long as a snippet')
+  ELSE concat('DOB: ', CASE s_suppkey % 4 WHEN 1 THEN concat('December ', CAST(1 + s_suppkey % 28 AS STRING), ', 1970') ELSE concat(CAST(1 + s_suppkey % 28 AS STRING), 'th March 1971') END) END AS text FROM {supplier}"""
+
 LINES = "SELECT doc_id, i - 1 AS seg_ord, lines[i] AS line FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))"
 
 
@@ -44,6 +55,11 @@ def carrier(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.lit("carrier").alias("doc_id"), F.concat(F.lit("line_"), F.col("seg_ord").cast("string")).alias("segment_id"), "seg_ord", "text")
 
 
+def mixed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.sql(MIXED.replace("{supplier}", "{t}"), t=_table(spark, sf, "supplier"))
+    return rows.select(F.lit("mixed").alias("doc_id"), F.concat(F.lit("line_"), F.col("seg_ord").cast("string")).alias("segment_id"), "seg_ord", "text")
+
+
 def _docs(spark, sf):
     return readers.line_segments(_table(spark, sf, "documents"))
 
@@ -68,6 +84,41 @@ def _sql_matches(kinds=None) -> str:
 _SPAN = "seg_ord, entity_type, CAST(s AS INT) AS \"start\", CAST(s + length(value) AS INT) AS \"end\", value AS text, confidence"
 _SEED = "CAST('0x' || substr(sha256('42:' || lower(trim(value))), 1, 8) AS BIGINT)"
 
+_LUHN = "list_sum(list_transform(list_transform(string_split(reverse({d}), ''), lambda x, i: CAST(x AS INT) * (2 - i % 2)), lambda y: y - 9 * CAST(y > 9 AS INT))) % 10 = 0"
+#: Class of the mixed line, pattern, confidence, and what else must hold; the overlaps are settled by the queries' SQL.
+_MIXED = [
+    ("ADDRESS", 0, r"Plot .*India", 0.94, "true"), ("PHONE", 0, r"[0-9]{5} [0-9]{5}", 0.88, "true"), ("EMAIL", 1, r"user[0-9]+@upi\.com", 0.99, "true"), ("UPI_ID", 1, r"user[0-9]+@upi", 0.96, "true"),
+    ("UPI_ID", 1, r"pat[0-9]+@paytm", 0.96, "true"), ("CREDIT_CARD", 2, r"4[0-9 ]{18}", 0.99, _LUHN.format(d="regexp_replace(text, '[^0-9]', '', 'g')")), ("PHONE", 2, r"[0-9]{4} [0-9]{4} [0-9]{4}", 0.88, "true"),
+    ("IP_ADDRESS", 4, r"10\.0\.[0-9]+\.7", 0.95, "seg_ord % 300 < 256"), ("SSN", 4, r"987-65-[0-9]{4}", 0.98, "true"), ("DOB", 5, r"December [0-9]+, 1970|[0-9]+th March 1971", 0.98, "true"),
+]
+_RANK = "list_position(['CREDIT_CARD', 'EMAIL', 'PHONE', 'SSN', 'IP_ADDRESS', 'DOB', 'PAN', 'UPI_ID', 'ADDRESS', 'PERSON', 'COMPANY'], {m}.entity_type)"
+
+
+def _sql_mixed() -> str:
+    parts = [f"SELECT seg_ord, text AS line, '{kind}' AS entity_type, regexp_extract(text, '{p}') AS value, CAST({c} AS DOUBLE) AS confidence FROM x WHERE seg_ord % 6 = {k} AND {ok}" for kind, k, p, c, ok in _MIXED]
+    return f"WITH x AS ({MIXED.format(supplier='supplier')}), m AS (SELECT *, strpos(line, value) - 1 AS s, strpos(line, value) - 1 + length(value) AS e FROM ({' UNION ALL '.join(parts)}))"
+
+
+def _sql_resolved(better: str) -> str:
+    """Of overlapping spans (no more than two at a place here) the one for which no other is better."""
+    return f"{_sql_mixed()} SELECT {_SPAN} FROM m AS a WHERE NOT EXISTS (SELECT 1 FROM m AS b WHERE b.seg_ord = a.seg_ord AND b.s < a.e AND a.s < b.e AND {better})"
+
+
+def _sql_spans(pattern: str, keep: str) -> str:
+    """Spans of a pattern in the documents' lines; `keep` is over t (the match) and b (the 20 characters before it)."""
+    return f"""WITH l AS (SELECT doc_id, seg_ord, line, regexp_extract_all(line, '{pattern}') AS f, string_split_regex(line, '{pattern}') AS g FROM ({LINES})),
+r AS (SELECT *, unnest(generate_series(1, len(f))) AS i FROM l WHERE len(f) > 0),
+m AS (SELECT doc_id, CAST(seg_ord AS INT) AS seg_ord, line, f[i] AS t, CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(f[1:i-1], lambda x: length(x))), 0) AS INT) AS a FROM r),
+n AS (SELECT *, lower(substr(line, greatest(a - 20, 0) + 1, least(a, 20))) AS b FROM m)
+SELECT doc_id, seg_ord, a AS "start", CAST(a + length(t) AS INT) AS "end", t AS text FROM n WHERE {keep}"""
+
+
+def _any(text: str, words) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+_DIGITS = "regexp_replace(t, '[^0-9]', '', 'g')"
+
 Q: dict = {}
 SQL: dict[str, str] = {}
 
@@ -86,20 +137,28 @@ for _kind in _VALUES:
     query(f"det_{_kind.lower()}", f"{_sql_matches([_kind])} SELECT {_SPAN} FROM m")(lambda spark, sf, k=_kind: _flat(detect.scan(carrier(spark, sf), Config(categories=(k,)))))
 
 query("scan_segments", f"{_sql_matches()} SELECT {_SPAN} FROM m")(lambda spark, sf: _flat(detect.scan(carrier(spark, sf))))
-query("resolve_engine", f"{_sql_matches()} SELECT {_SPAN} FROM m")(lambda spark, sf: _flat(_found(spark, sf)))
-query("resolve_cli", f"{_sql_matches()} SELECT {_SPAN} FROM m")(lambda spark, sf: _flat(engine.detected(carrier(spark, sf), profile="cli")))
+query("scan_mixed", f"{_sql_mixed()} SELECT {_SPAN} FROM m")(lambda spark, sf: _flat(detect.scan(mixed(spark, sf))))
+query("resolve_engine", _sql_resolved("(b.s < a.s OR b.s = a.s AND b.e > a.e)"))(lambda spark, sf: _flat(engine.detected(mixed(spark, sf))))
+query("resolve_cli", _sql_resolved(f"{_RANK.format(m='b')} < {_RANK.format(m='a')}"))(lambda spark, sf: _flat(engine.detected(mixed(spark, sf), profile="cli")))
 query("approve", f"{_sql_matches()} SELECT seg_ord, confidence >= 0.95 AS approved FROM m")(lambda spark, sf: detect.scan(carrier(spark, sf), Config(threshold=0.95)).transform(T.match_rows, "seg_ord").select("seg_ord", "approved"))
 query("det_custom", f"WITH c AS ({CARRIER.format(customer='customer')}) SELECT seg_ord, regexp_extract(text, 'order [0-9]+') AS text FROM c WHERE seg_ord % 9 = 8")(lambda spark, sf: detect.scan(carrier(spark, sf), Config(categories=(), custom=(detect.Custom("ORDER", r"order \d+"),))).transform(T.match_rows, "seg_ord").select("seg_ord", "text"))
 query("category_filter", f"{_sql_matches(['SSN', 'DOB'])} SELECT entity_type, count(*) AS n FROM m GROUP BY entity_type")(lambda spark, sf: _flat(detect.scan(carrier(spark, sf), Config(categories=("SSN", "DOB")))).groupBy("entity_type").agg(F.count("*").alias("n")))
 query("agg_by_type", f"{_sql_matches()} SELECT entity_type, count(*) AS n FROM m GROUP BY entity_type")(lambda spark, sf: _flat(_found(spark, sf)).groupBy("entity_type").agg(F.count("*").alias("n")))
-query("agg_by_tier", f"{_sql_matches()} SELECT count(*) FILTER (WHERE confidence >= 0.85) AS high, count(*) FILTER (WHERE confidence < 0.85) AS medium FROM m")(lambda spark, sf: _flat(_found(spark, sf), "tier").agg(F.count_if(F.expr("tier = 'HIGH'")).alias("high"), F.count_if(F.expr("tier = 'MEDIUM'")).alias("medium")))
+query("agg_by_tier", f"{_sql_mixed()} SELECT (SELECT count(*) FROM m) AS high, (SELECT count(*) FROM x WHERE seg_ord % 6 = 3) AS medium, (SELECT count(*) FROM x WHERE seg_ord % 6 = 5) AS low")(lambda spark, sf: _flat(detect.scan(mixed(spark, sf), Config(custom=(detect.Custom("CODE", "^Code", 0.84), detect.Custom("BORN", "^DOB", 0.49)))), "tier").agg(*[F.count_if(F.col("tier") == t).alias(t.lower()) for t in ("HIGH", "MEDIUM", "LOW")]))
+query("snippet_clipped", f"{_sql_mixed()} SELECT seg_ord, trim(substr(line, 1, CAST(s AS INT)) || '[' || value || ']' || substr(line, CAST(e AS INT) + 1, 40) || '...') AS context FROM m WHERE entity_type = 'SSN'")(lambda spark, sf: _flat(detect.scan(mixed(spark, sf), Config(categories=("SSN",))), "context").select("seg_ord", "context"))
+query("det_custom_empty", f"WITH x AS ({MIXED.format(supplier='supplier')}) SELECT seg_ord, CAST(0 AS INT) AS \"start\", CAST(length(regexp_extract(text, '^[A-Z]*')) AS INT) AS \"end\" FROM x")(lambda spark, sf: _flat(detect.scan(mixed(spark, sf), Config(categories=(), packs=(), custom=(detect.Custom("CAPITALS", "^[A-Z]*"),)))).select("seg_ord", "start", "end"))
 query("ctx_snippet", f"{_sql_matches(['SSN'])} SELECT seg_ord, 'SSN: [' || value || '].' AS context FROM m")(lambda spark, sf: _flat(detect.scan(carrier(spark, sf), Config(categories=("SSN",))), "context").select("seg_ord", "context"))
 query("protect_spans", f"WITH c AS ({CARRIER.format(customer='customer')}) SELECT seg_ord, unnest(['Companies Act', 'Offer Price']) AS text FROM c WHERE seg_ord % 9 = 8")(lambda spark, sf: carrier(spark, sf).select("seg_ord", F.inline(T.spans_of(F.col("text"), protected_pattern()))).select("seg_ord", "text"))
 
-_IPS = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
-query("det_ip_address")(lambda spark, sf: detect.scan(_docs(spark, sf), Config(categories=("IP_ADDRESS",))).transform(T.match_rows, "doc_id", "seg_ord").select("doc_id", "seg_ord", "start", "end", "text"))
-query("det_email")(lambda spark, sf: detect.scan(_docs(spark, sf), Config(categories=("EMAIL",))).transform(T.match_rows, "doc_id", "seg_ord").select("doc_id", "seg_ord", "start", "end", "text"))
-query("det_credit_card")(lambda spark, sf: detect.scan(_docs(spark, sf), Config(categories=("CREDIT_CARD",))).transform(T.match_rows, "doc_id", "seg_ord").select("doc_id", "seg_ord", "start", "end", "text"))
+
+
+def _in_docs(kind: str):
+    return lambda spark, sf: detect.scan(_docs(spark, sf), Config(categories=(kind,))).transform(T.match_rows, "doc_id", "seg_ord").select("doc_id", "seg_ord", "start", "end", "text")
+
+
+query("det_ip_address", _sql_spans(r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", f"len(list_filter(string_split(t, '.'), lambda x: CAST(x AS INT) > 255)) = 0 AND t NOT SIMILAR TO '[0.]+' AND NOT {_any('b', V.VERSION_LABELS.split())}"))(_in_docs("IP_ADDRESS"))
+query("det_email", _sql_spans(V.EMAIL, f"NOT {_any('lower(t)', V.FILE_ENDINGS.split())}"))(_in_docs("EMAIL"))
+query("det_credit_card", _sql_spans(V.CARD, f"regexp_matches({_DIGITS}, '{V.CARD_ISSUER}') AND length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN.format(d=_DIGITS)}"))(_in_docs("CREDIT_CARD"))
 
 query("repl_seed", f"{_sql_matches()} SELECT seg_ord, entity_type, {_SEED} AS k FROM m")(lambda spark, sf: _flat(_found(spark, sf)).select("seg_ord", "entity_type", replace.seed_int(F.col("text")).alias("k")))
 _SYNTHETIC = {
@@ -108,8 +167,41 @@ _SYNTHETIC = {
 }
 for _kind, _value in _SYNTHETIC.items():
     query(f"repl_{_kind.lower()}", f"{_sql_matches([_kind])} SELECT seg_ord, {_value} AS replacement FROM (SELECT *, {_SEED} AS k FROM m)")(lambda spark, sf, k=_kind: _flat(_found(spark, sf, Config(categories=(k,))), "replacement").select("seg_ord", "replacement"))
-for _kind in ("PERSON", "COMPANY", "ADDRESS"):
-    query(f"repl_{_kind.lower()}")(lambda spark, sf, k=_kind: _flat(_found(spark, sf, Config(categories=(k,))), "replacement").select("seg_ord", "replacement"))
+
+
+def _list(words: str) -> str:
+    return "['" + "', '".join(words.split()) + "']"
+
+
+def _picked(words: str, k: str) -> str:
+    return f"{_list(words)}[CAST({k} % {len(words.split())} + 1 AS INT)]"
+
+
+_NAME = f"{_picked(V.FIRST_NAMES, 'k')} || ' ' || {_picked(V.LAST_NAMES, '(k >> 4)')}"
+#: Kind, the text that is replaced (Spark's and DuckDB's SQL alike, over customer), and what replaces it.
+_MORE = {
+    "PERSON": ("CASE c_custkey % 2 WHEN 0 THEN upper(c_name) ELSE lower(c_name) END", f"CASE c_custkey % 2 WHEN 0 THEN upper({_NAME}) ELSE {_NAME} END"),
+    "COMPANY": ("concat(c_name, CASE c_custkey % 5 WHEN 0 THEN ' Private Limited' WHEN 1 THEN ' Pvt. Ltd.' WHEN 2 THEN ' LLP' WHEN 3 THEN ' Pvt Ltd' ELSE ' hillpark Limited' END)", f"{_picked(V.FIRMS, 'k')} || ' ' || {_picked(V.LAST_NAMES, '(k >> 4)')} || CASE c_custkey % 5 WHEN 0 THEN ' Private Limited' WHEN 1 THEN ' Private Limited' WHEN 2 THEN ' LLP' ELSE ' Limited' END"),
+    "ADDRESS": ("c_name", f"'Plot ' || (10 + k % 890) || ', ' || {_picked(V.STREETS, 'k')} || ' Industrial Area, Sector ' || ((10 + k % 890) % 20 + 1) || ', Pune 411001, Maharashtra, India'"),
+    "EMAIL": ("concat(c_name, '@x.org')", f"lower({_picked(V.FIRST_NAMES, 'k')}) || (k % 1000) || '@example.com'"),
+    "CREDIT_CARD": ("c_name", "'4111 1111 1111 1111'"),
+    "IP_ADDRESS": ("c_name", "'192.168.' || (k % 250 + 1) || '.' || (k % 250 + 1)"),
+    "OTHER": ("c_name", "'SYNTHETIC_OTHER_' || (k % 9999)"),
+    "PHONE_FORMS": ("concat(CASE c_custkey % 4 WHEN 0 THEN '+91 ' WHEN 1 THEN '+ 91 ' WHEN 2 THEN '+44 ' ELSE '' END, CAST(c_custkey AS STRING))", "CASE c_custkey % 4 WHEN 0 THEN '+91 ' || (90000 + k % 9999) || ' ' || (10000 + (k >> 4) % 89999) WHEN 3 THEN (90000 + k % 9999) || ' ' || (10000 + (k >> 4) % 89999) ELSE '+1-555-' || (100 + k % 899) || '-' || (1000 + k % 8999) END"),
+}
+
+
+def _replaced_names(kind: str, text: str):
+    return lambda spark, sf: _table(spark, sf, "customer").select("c_custkey", F.expr(text).alias("value")).select("c_custkey", replace.synthetic(F.lit(kind.removesuffix("_FORMS")), F.col("value")).alias("replacement"))
+
+
+for _kind, (_text, _value) in _MORE.items():
+    query(f"repl_{_kind.lower()}", f"SELECT c_custkey, {_value} AS replacement FROM (SELECT *, {_SEED} AS k FROM (SELECT c_custkey, {_text} AS value FROM customer))")(_replaced_names(_kind, _text))
+
+_MASKED = """SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'EMAIL' WHEN 2 THEN 'PHONE' WHEN 3 THEN 'PHONE' WHEN 4 THEN 'CREDIT_CARD' WHEN 5 THEN 'CREDIT_CARD' ELSE 'PERSON' END AS kind,
+  CASE c_custkey % 7 WHEN 0 THEN concat(CAST(c_custkey AS STRING), 'b@x@y.org') WHEN 1 THEN 'q@x.org' WHEN 2 THEN '+91 98765 43210' WHEN 3 THEN '98765 +91' WHEN 4 THEN concat('4111 1111 1111 ', lpad(CAST(c_custkey % 10000 AS STRING),4,'0')) WHEN 5 THEN '4-1 1' ELSE concat('A Bcd ', c_name) END AS value FROM {customer}"""
+query("mask_forms", f"""SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN substr(value, 1, 1) || '***@x@y.org' WHEN 1 THEN '*@x.org' WHEN 2 THEN '+91 XXXXX XXXXX' WHEN 3 THEN 'XXX-XXX-XXXX' WHEN 4 THEN '**** **** **** ' || right(value, 4) WHEN 5 THEN '**** **** **** XXXX'
+  ELSE '* B** ' || 'C' || repeat('*', length(value) - 7) END AS replacement FROM ({_MASKED.format(customer='customer')})""")(lambda spark, sf: spark.sql(_MASKED.replace("{customer}", "{t}"), t=_table(spark, sf, "customer")).select("c_custkey", replace.mask(F.col("kind"), F.col("value")).alias("replacement")))
 query("repl_label", f"{_sql_matches()} SELECT seg_ord, '[REDACTED ' || entity_type || ']' AS replacement FROM m")(lambda spark, sf: _flat(_found(spark, sf, Config(strategy="CATEGORY_LABEL")), "replacement").select("seg_ord", "replacement"))
 query("repl_mask", f"{_sql_matches(['PERSON', 'PHONE'])} SELECT seg_ord, CASE entity_type WHEN 'PHONE' THEN '+91 XXXXX XXXXX' ELSE array_to_string(list_transform(string_split(value, ' '), lambda w: substr(w, 1, 1) || repeat('*', length(w) - 1)), ' ') END AS replacement FROM m")(lambda spark, sf: _flat(_found(spark, sf, Config(categories=("PERSON", "PHONE"), strategy="MASK")), "replacement").select("seg_ord", "replacement"))
 query("repl_token", f"{_sql_matches()} SELECT seg_ord, printf('<%s_%03d>', entity_type, row_number() OVER (PARTITION BY entity_type ORDER BY seg_ord, s)) AS replacement FROM m")(lambda spark, sf: _flat(_found(spark, sf, Config(strategy="TOKEN")), "replacement").select("seg_ord", "replacement"))
@@ -162,21 +254,78 @@ _TYPES = "', '".join(audit.SCORED_TYPES)
 _SCORES = f"""{_sql_matches()}, g AS (SELECT DISTINCT entity_type, lower(value) AS t FROM m WHERE seg_ord % 4 <> 0), p AS (SELECT DISTINCT entity_type, lower(value) AS t FROM m WHERE seg_ord % 5 <> 0),
 k AS (SELECT unnest(['{_TYPES}']) AS entity_type),
 n AS (SELECT entity_type, (SELECT count(*) FROM g WHERE g.entity_type = k.entity_type) AS gold, (SELECT count(*) FROM p WHERE p.entity_type = k.entity_type) AS predicted, (SELECT count(*) FROM g JOIN p USING (entity_type, t) WHERE g.entity_type = k.entity_type) AS tp FROM k)"""
-query("agg_metrics_type", f"{_SCORES} SELECT entity_type, gold, predicted, tp, predicted - tp AS fp, gold - tp AS fn FROM n")(lambda spark, sf: audit.metrics_by_type(*_gold(spark, sf)).select("entity_type", "gold", "predicted", "tp", "fp", "fn"))
-query("agg_metrics_micro", f"{_SCORES} SELECT sum(gold)::BIGINT AS gold, sum(predicted)::BIGINT AS predicted, sum(tp)::BIGINT AS tp FROM n")(lambda spark, sf: audit.metrics_micro(audit.metrics_by_type(*_gold(spark, sf))).select("gold", "predicted", "tp"))
-query("agg_metrics_macro")(lambda spark, sf: audit.metrics_macro(audit.metrics_by_type(*_gold(spark, sf))))
+_DIV = "CASE WHEN {b} > 0 THEN round({a} / ({b}), 4) ELSE 0.0 END"
+_RATES = f"""CASE WHEN gold > 0 OR predicted > 0 THEN {_DIV.format(a="tp", b="predicted")} END AS precision, CASE WHEN gold > 0 THEN {_DIV.format(a="tp", b="gold")} END AS recall,
+CASE WHEN gold > 0 OR predicted > 0 THEN {_DIV.format(a="2 * tp", b="gold + predicted")} END AS f1, CASE WHEN gold > 0 OR predicted > 0 THEN {_DIV.format(a="tp", b="gold + predicted - tp")} END AS accuracy"""
+query("agg_metrics_type", f"{_SCORES} SELECT entity_type, gold, predicted, tp, predicted - tp AS fp, gold - tp AS fn, {_RATES} FROM n")(lambda spark, sf: audit.metrics_by_type(*_gold(spark, sf)))
+query("agg_metrics_micro", f"{_SCORES} SELECT gold, predicted, tp, predicted - tp AS fp, gold - tp AS fn, {_RATES} FROM (SELECT sum(gold)::BIGINT AS gold, sum(predicted)::BIGINT AS predicted, sum(tp)::BIGINT AS tp FROM n)")(lambda spark, sf: audit.metrics_micro(audit.metrics_by_type(*_gold(spark, sf))))
+query("agg_metrics_macro", f"{_SCORES} SELECT round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(f1), 4) AS f1 FROM (SELECT {_RATES} FROM n) WHERE precision IS NOT NULL AND recall IS NOT NULL")(lambda spark, sf: audit.metrics_macro(audit.metrics_by_type(*_gold(spark, sf))))
 query("agg_negative", f"WITH c AS ({CARRIER.format(customer='customer')}) SELECT count(*) AS total, count(*) AS preserved, 0::BIGINT AS violated, 1.0::DOUBLE AS pass_rate FROM c WHERE seg_ord % 9 = 8")(lambda spark, sf: audit.negatives_summary(audit.negatives(carrier(spark, sf).where("seg_ord % 9 = 8").select("text"), _flat(_found(spark, sf)))))
-query("residual_scan")(lambda spark, sf: audit.residual(_flat(engine.detected(engine.redact(carrier(spark, sf)).select("doc_id", "segment_id", "seg_ord", F.col("redacted").alias("text")))).select("seg_ord", "entity_type", "text"), replace.replacement_map(_flat(_found(spark, sf)))))
+query("negatives_violated", f"{_sql_mixed()} SELECT count(*) AS total, count(*) FILTER (WHERE entity_type IS NULL) AS preserved, count(entity_type) AS violated, count(*) FILTER (WHERE entity_type IS NULL) / count(*) AS pass_rate FROM (SELECT DISTINCT x.seg_ord, m.entity_type FROM (SELECT seg_ord, CASE WHEN seg_ord % 6 = 4 THEN regexp_extract(text, '987-65-[0-9]+') ELSE text END AS text FROM x) x LEFT JOIN m ON m.entity_type = 'SSN' AND lower(m.value) = lower(x.text))")(lambda spark, sf: audit.negatives_summary(audit.negatives(mixed(spark, sf).select(F.expr("CASE WHEN seg_ord % 6 = 4 THEN regexp_extract(text, '987-65-[0-9]+', 0) ELSE text END").alias("text")), _flat(detect.scan(mixed(spark, sf), Config(categories=("SSN",)))))))
+
+_KNOWN = " UNION ALL ".join(f"SELECT seg_ord, entity_type, value, {v} AS r FROM (SELECT *, {_SEED} AS k FROM m WHERE entity_type = '{t}')" for t, v in _SYNTHETIC.items())
+
+
+def _residual(spark, sf):
+    m = _flat(_found(spark, sf, Config(categories=tuple(_SYNTHETIC))), "replacement")
+    forms = F.array(F.struct(F.lit(0).alias("form"), F.col("text").alias("t")), F.struct(F.lit(1).alias("form"), F.concat(F.lit("No "), "replacement").alias("t")), F.struct(F.lit(2).alias("form"), F.substring("replacement", 3, 6).alias("t")))
+    findings = m.select("seg_ord", F.lit("OTHER").alias("entity_type"), F.inline(forms)).withColumnRenamed("t", "text")
+    return audit.residual(findings, replace.replacement_map(m))
+
+
+query("residual_scan", f"{_sql_matches()}, k AS ({_KNOWN}), f AS (SELECT seg_ord, 'OTHER' AS entity_type, CAST(unnest([0, 1, 2]) AS INT) AS form, unnest([value, 'No ' || r, substr(r, 3, 6)]) AS text FROM k), v AS (SELECT DISTINCT lower(r) AS v FROM k) SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM v WHERE v = lower(text) OR length(v) > 4 AND (contains(v, lower(trim(text))) OR contains(lower(text), v)))")(_residual)
 query("hash_text", "SELECT c_custkey, substr(sha256(c_name), 1, 16) AS h FROM customer")(lambda spark, sf: _table(spark, sf, "customer").select("c_custkey", T.hash_text(F.col("c_name")).alias("h")))
 query("src_txt_lines", f"SELECT doc_id, 'line_' || seg_ord AS segment_id, CAST(seg_ord AS INT) AS seg_ord, length(line) AS n FROM ({LINES})")(lambda spark, sf: _docs(spark, sf).select("doc_id", "segment_id", "seg_ord", F.length(F.regexp_replace("text", "\n", "")).cast("long").alias("n")))
 query("sink_txt", "SELECT doc_id, sha256(text) AS h FROM documents")(lambda spark, sf: writers.text_documents(_docs(spark, sf)).select("doc_id", F.sha2("text", 256).alias("h")))
 query("src_csv_cells", "SELECT 'csv_r' || r_regionkey || '_c0' AS segment_id, r_name AS text FROM region")(lambda spark, sf: readers.cell_segments(_table(spark, sf, "region").select(F.lit("region").alias("doc"), "r_regionkey", "r_name"), "doc", "r_regionkey").select("segment_id", "text"))
 query("src_stats", f"SELECT doc_id, count(*) AS segments FROM ({LINES}) GROUP BY doc_id")(lambda spark, sf: readers.document_stats(_docs(spark, sf)).select("doc_id", "segments"))
 query("src_registry", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'docx' WHEN 1 THEN 'csv' END AS adapter FROM nation")(lambda spark, sf: _table(spark, sf, "nation").select("n_nationkey", readers.adapter_column(F.element_at(F.array(F.lit("a.DOCX"), F.lit("b.x.tsv"), F.lit("c.bin")), (F.col("n_nationkey") % 3 + 1).cast("int"))).alias("adapter")))
-query("luhn")(lambda spark, sf: _table(spark, sf, "orders").select("o_orderkey", T.luhn(F.lpad(F.col("o_orderkey").cast("string"), 16, "4")).alias("ok")))
+query("luhn", f"SELECT o_orderkey, {_LUHN.format(d='t')} AS ok FROM (SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 16, '4') AS t FROM orders)")(lambda spark, sf: _table(spark, sf, "orders").select("o_orderkey", T.luhn(F.lpad(F.col("o_orderkey").cast("string"), 16, "4")).alias("ok")))
 query("blank_filter", f"SELECT count(*) AS n FROM ({LINES}) WHERE trim(line) <> ''")(lambda spark, sf: _docs(spark, sf).where(~T.blank(F.col("text"))).agg(F.count("*").alias("n")))
-query("spot_check")(lambda spark, sf: audit.spot_check(_flat(_found(spark, sf)).select(F.lit("carrier").alias("doc_id"), "text"), writers.text_documents(_labelled(spark, sf).select("doc_id", "seg_ord", F.col("redacted").alias("text")))))
-query("redact_documents")(lambda spark, sf: engine.redact(_docs(spark, sf)).where(F.size("matches") > 0).select("doc_id", "seg_ord", "redacted"))
+query("spot_check", f"{_sql_matches()} SELECT DISTINCT 'carrier' AS doc_id, value AS text FROM m WHERE entity_type <> 'SSN'")(lambda spark, sf: audit.spot_check(_flat(_found(spark, sf)).select(F.lit("carrier").alias("doc_id"), "text"), writers.text_documents(engine.redact(carrier(spark, sf), Config(categories=("SSN",), strategy="CATEGORY_LABEL")).select("doc_id", "seg_ord", F.col("redacted").alias("text")))))
+query("redact_documents")(lambda spark, sf: engine.redact(_docs(spark, sf)).select("doc_id", "seg_ord", "redacted"))
+
+
+def _file(make, schema: str = "path string, content binary"):
+    """A file for each row, made where the row is."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([make(**r) for r in pdf.to_dict("records")], columns=["path", "content"])
+
+    return lambda df: df.mapInPandas(run, schema)
+
+
+def _docx_of_nation(n_nationkey, n_name):
+    k = int(n_nationkey)
+    paragraphs = [[f"Nation {n_name}, contact ", f"clerk{k}", f"@nation{k}.org", " today"], *[["plain"]] * (k % 4)]
+    return f"n{k}.docx", sample.docx(paragraphs, tables=k % 3, sections=1 + k % 2, headers=k % 2)
+
+
+def _csv_of_nation(n_nationkey, n_name):
+    return f"n{int(n_nationkey)}.csv", f'id,"name, long"\r\n{int(n_nationkey)}, \r\n"{n_name}","clerk{int(n_nationkey)}@x.org"\r\n'.encode()
+
+
+def _xlsx_of_nation(n_nationkey, n_name):
+    return f"n{int(n_nationkey)}.xlsx", sample.xlsx([[n_name, "", f"clerk{int(n_nationkey)}@x.org"]])
+
+
+def _nation_files(spark, sf, make):
+    return _table(spark, sf, "nation").select("n_nationkey", "n_name").transform(_file(make))
+
+
+def _round_trip(spark, sf, make, where: str):
+    """Segments of redacted files, read back."""
+    contents = _nation_files(spark, sf, make)
+    rows = engine.replaced(engine.detected(readers.segments(contents)), Config(strategy="CATEGORY_LABEL"))
+    return readers.segments(writers.redacted_files(contents, rows)).where(where).select("doc_id", "segment_id", "text")
+
+
+query("src_docx_stats", "SELECT 'n' || n_nationkey || '.docx' AS doc_id, 1 + n_nationkey % 4 AS paragraphs, n_nationkey % 3 AS tables, 1 + n_nationkey % 2 AS sections, 3 AS unique_headers, 3 AS unique_footers FROM nation")(lambda spark, sf: readers.docx_stats(_nation_files(spark, sf, _docx_of_nation)))
+query("src_docx_runs", "SELECT 'n' || n_nationkey || '.docx' AS doc_id, CAST(i AS INT) AS run, [ 'Nation ' || n_name || ', contact ', 'clerk' || n_nationkey, '@nation' || n_nationkey || '.org', ' today'][i + 1] AS text FROM nation, generate_series(0, 3) AS g(i)")(lambda spark, sf: readers.docx_runs(_nation_files(spark, sf, _docx_of_nation)).where("segment_id = 'para_0'").select("doc_id", "run", "text"))
+query("sink_docx", "SELECT 'n' || n_nationkey || '.docx' AS doc_id, 'para_0' AS segment_id, 'Nation ' || n_name || ', contact [REDACTED EMAIL] today' AS text FROM nation")(lambda spark, sf: _round_trip(spark, sf, _docx_of_nation, "segment_id = 'para_0'"))
+query("sink_csv", "SELECT 'n' || n_nationkey || '.csv' AS doc_id, ['csv_r0_c0', 'csv_r0_c1', 'csv_r1_c0', 'csv_r2_c0', 'csv_r2_c1'][i] AS segment_id, ['id', 'name, long', CAST(n_nationkey AS VARCHAR), n_name, '[REDACTED EMAIL]'][i] AS text FROM nation, generate_series(1, 5) AS g(i)")(lambda spark, sf: _round_trip(spark, sf, _csv_of_nation, "true"))
+query("sink_xlsx", "SELECT 'n' || n_nationkey || '.xlsx' AS doc_id, ['sheet_0_r1_c1', 'sheet_0_r1_c3'][i] AS segment_id, [n_name, '[REDACTED EMAIL]'][i] AS text FROM nation, generate_series(1, 2) AS g(i)")(lambda spark, sf: _round_trip(spark, sf, _xlsx_of_nation, "true"))
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import csv
 import io
-import re
-import zipfile
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from redactory.sources import office
+
 SEGMENT = "doc_id string, segment_id string, seg_ord int, text string, meta map<string,string>"
 ADAPTERS = {"docx": "docx docm", "txt": "txt log text md", "xlsx": "xlsx xlsm xltx", "csv": "csv tsv", "pdf": "pdf"}
 EXTRACTORS: dict = {}
@@ -27,9 +26,9 @@ def register_adapter(kind: str, extensions: str, extract) -> None:
     EXTRACTORS[kind] = extract
 
 
-def adapter_of(name: str) -> str:
+def adapter_of(name: str, adapters: dict | None = None) -> str:
     ending = name.rpartition(".")[2].lower()
-    for kind, endings in ADAPTERS.items():
+    for kind, endings in (adapters or ADAPTERS).items():
         if "." in name and ending in endings.split():
             return kind
     raise ValueError(f"unsupported file type: {name}")
@@ -79,103 +78,81 @@ def _csv(name: str, content: bytes):
                 yield f"csv_r{r}_c{c}", cell, {"row": str(r), "col": str(c), "delimiter": mark}
 
 
-_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+def _xlsx(name: str, content: bytes):
+    yield from office.xlsx_segments(content)
+
+
+def _docx(name: str, content: bytes):
+    yield from office.docx_segments(content)
 
 
-def _column(ref: str) -> int:
-    n = 0
-    for c in re.match("[A-Z]+", ref)[0]:
-        n = n * 26 + ord(c) - 64
-    return n
+def page_blocks(pages):
+    """Segments of pages' texts: the blocks between blank lines, those that aren't blank."""
+    for k, text in enumerate(pages):
+        for i, block in enumerate((text or "").split("\n\n")):
+            if block.strip():
+                yield f"pdf_page_{k}_block_{i}", block, {"page": str(k + 1), "block": str(i)}
 
 
-def _parts(z: zipfile.ZipFile, owner: str) -> dict[str, str]:
-    folder, _, name = owner.rpartition("/")
+def _pdf(name: str, content: bytes):
     try:
-        rels = ElementTree.fromstring(z.read(f"{folder}/_rels/{name}.rels"))
-    except KeyError:
-        return {}
-    return {x.get("Id"): x.get("Target").lstrip("/") if x.get("Target").startswith("/") else f"{folder}/{x.get('Target')}" for x in rels if x.get("TargetMode") != "External"}
+        from pypdf import PdfReader
+    except ImportError as e:
+        raise NotImplementedError("no PDF library here: register an adapter that yields page_blocks(texts of the pages)") from e
+    yield from page_blocks(page.extract_text() for page in PdfReader(io.BytesIO(content)).pages)
 
 
-def _xlsx(name: str, content: bytes):
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in x.iter(f"{_S}t")) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        parts = _parts(z, "xl/workbook.xml")
-        for s, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")):
-            for cell in ElementTree.fromstring(z.read(parts[sheet.get(f"{_R}id")])).iter(f"{_S}c"):
-                formula, value = cell.find(f"{_S}f"), cell.find(f"{_S}v")
-                if formula is not None and formula.text:
-                    text = "=" + formula.text
-                elif cell.get("t") == "s":
-                    text = shared[int(value.text)]
-                elif cell.get("t") == "inlineStr":
-                    text = "".join(t.text or "" for t in cell.iter(f"{_S}t"))
-                else:
-                    text = value.text if value is not None else None
-                if text and text.strip():
-                    ref = cell.get("r")
-                    yield f"sheet_{s}_r{int(re.search('[0-9]+', ref)[0])}_c{_column(ref)}", text, {"sheet": sheet.get("name"), "coordinate": ref, "is_formula": str(formula is not None).lower()}
-
-
-def _paragraph(p) -> str:
-    return "".join(t.text or "" for r in p.iter(f"{_W}r") for t in r if t.tag == f"{_W}t")
+EXTRACTORS |= {"txt": _txt, "csv": _csv, "xlsx": _xlsx, "docx": _docx, "pdf": _pdf}
 
 
-def _docx(name: str, content: bytes):
-    """Body paragraphs, then table cells (a merged cell once), then headers and footers (a shared part once)."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-        for i, p in enumerate(body.findall(f"{_W}p")):
-            yield f"para_{i}", _paragraph(p), {"type": "paragraph", "index": str(i)}
-        for t, tbl in enumerate(body.findall(f"{_W}tbl")):
-            for r, row in enumerate(tbl.findall(f"{_W}tr")):
-                for c, cell in enumerate(row.findall(f"{_W}tc")):
-                    merge = cell.find(f"{_W}tcPr/{_W}vMerge")
-                    if merge is not None and merge.get(f"{_W}val") != "restart":
-                        continue
-                    for k, p in enumerate(cell.findall(f"{_W}p")):
-                        yield f"table_{t}_r_{r}_c_{c}_p_{k}", _paragraph(p), {"type": "table", "table": str(t)}
-        parts, seen = _parts(z, "word/document.xml"), set()
-        for s, sect in enumerate(body.iter(f"{_W}sectPr")):
-            for ref in sect:
-                kind = {"headerReference": "header", "footerReference": "footer"}.get(ref.tag.removeprefix(_W))
-                part = kind and parts.get(ref.get(f"{_R}id"))
-                if part and part not in seen:
-                    seen.add(part)
-                    for k, p in enumerate(ElementTree.fromstring(z.read(part)).findall(f"{_W}p")):
-                        yield f"sec_{s}_{kind}_p_{k}", _paragraph(p), {"type": kind, "section": str(s)}
+def segments_of(name: str, content: bytes, adapters: dict | None = None, extractors: dict | None = None) -> list[tuple]:
+    return list((extractors or EXTRACTORS)[adapter_of(name, adapters)](name, content))
 
 
-def _pdf(name: str, content: bytes):
-    raise NotImplementedError("no PDF library here: register an adapter that yields blocks of pages")
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the supported files under a path."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").where(adapter_column(F.col("path")).isNotNull())
 
 
-EXTRACTORS |= {"txt": _txt, "csv": _csv, "xlsx": _xlsx, "docx": _docx, "pdf": _pdf}
+def segments(contents: DataFrame) -> DataFrame:
+    """Segments of files (path, content), parsed where they are; with the adapters that are registered now."""
+    adapters, extractors = dict(ADAPTERS), dict(EXTRACTORS)
 
+    def run(batches):
+        for pdf in batches:
+            rows = [(p, s, i, t, m) for p, c in zip(pdf["path"], pdf["content"]) for i, (s, t, m) in enumerate(segments_of(p, c, adapters, extractors))]
+            yield pd.DataFrame(rows, columns=["doc_id", "segment_id", "seg_ord", "text", "meta"])
 
-def segments_of(name: str, content: bytes) -> list[tuple]:
-    return list(EXTRACTORS[adapter_of(name)](name, content))
+    return contents.select("path", "content").mapInPandas(run, SEGMENT)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Segments of all files under a path, by their endings; files are read by Spark and parsed where they are."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content").where(adapter_column(F.col("path")).isNotNull())
+    """Segments of all files under a path, by their endings."""
+    return segments(files(spark, path))
+
 
+def _of_docx(content_rows: DataFrame, make, columns: str, schema: str) -> DataFrame:
     def run(batches):
         for pdf in batches:
-            rows = [(p, s, i, t, m) for p, c in zip(pdf["path"], pdf["content"]) for i, (s, t, m) in enumerate(segments_of(p, c))]
-            yield pd.DataFrame(rows, columns=["doc_id", "segment_id", "seg_ord", "text", "meta"])
+            rows = [(p, *r) for p, c in zip(pdf["path"], pdf["content"]) if adapter_of(p) == "docx" for r in make(c)]
+            yield pd.DataFrame(rows, columns=["doc_id", *columns.split()])
+
+    return content_rows.select("path", "content").where(adapter_column(F.col("path")) == "docx").mapInPandas(run, schema)
+
+
+def docx_runs(content_rows: DataFrame) -> DataFrame:
+    """(doc_id, segment_id, run, start, end, text) of the runs of DOCX files (path, content), those in links as well."""
+    return _of_docx(content_rows, office.docx_runs, "segment_id run start end text", "doc_id string, segment_id string, run int, start int, end int, text string")
+
 
-    return files.mapInPandas(run, SEGMENT)
+def docx_stats(content_rows: DataFrame) -> DataFrame:
+    """(doc_id, paragraphs, tables, sections, unique_headers, unique_footers) of DOCX files (path, content)."""
+    names = "paragraphs tables sections unique_headers unique_footers"
+    return _of_docx(content_rows, lambda c: [tuple(office.docx_stats(c)[k] for k in names.split())], names, "doc_id string, " + ", ".join(f"{k} long" for k in names.split()))
 
 
 def document_stats(segments: DataFrame) -> DataFrame:
-    """Segments, characters and kinds of each document."""
+    """Segments, characters and blank segments of each document, of any kind of file."""
     return segments.groupBy("doc_id").agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("characters"), F.count_if(F.expr("length(trim(text)) = 0")).alias("blank_segments"))
 
 

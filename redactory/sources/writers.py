@@ -5,10 +5,12 @@ from __future__ import annotations
 import csv
 import io
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactory.functions.text import splice
+from redactory.sources import office, readers
 
 
 def text_documents(segments: DataFrame) -> DataFrame:
@@ -57,13 +59,59 @@ def patch_links(links: DataFrame, matches: DataFrame) -> DataFrame:
     return rows.join(emails, ["doc_id", "address"], "left").select("doc_id", F.when(F.col("replacement").isNotNull(), F.concat(F.lit("mailto:"), "replacement")).otherwise(F.col("target")).alias("target"))
 
 
+def _new_content(name: str, content: bytes, spans: dict, emails: dict, adapters: dict) -> bytes:
+    kind = readers.adapter_of(name, adapters)
+    if kind == "docx":
+        return office.redacted_docx(content, spans, emails)
+    if kind == "xlsx":
+        return office.redacted_xlsx(content, spans)
+    made = {s: (office.spliced_runs([t], spans[s])[0] if spans.get(s) else t) for s, t, _ in readers.segments_of(name, content, adapters)}
+    if kind == "csv":
+        return redacted_csv(content, made, "\t" if name.endswith(".tsv") else ",")
+    return ("\n\n" if kind == "pdf" else "").join(made.values()).encode()  # of a PDF the redacted text
+
+
+def redacted_files(contents: DataFrame, rows: DataFrame) -> DataFrame:
+    """(path, content) of files with the approved matches replaced, in their own format (of a PDF its text).
+
+    contents: path, content. rows: doc_id (the path), segment_id, matches with replacements. A file's matches meet in one task,
+    where its bytes are."""
+    adapters = dict(readers.ADAPTERS)
+    kept = F.filter("matches", lambda m: m["approved"])
+    spans = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.coalesce(m["replacement"], F.lit("")).alias("new"), (m["entity_type"] == "EMAIL").alias("email"), m["text"].alias("text")))
+    by_file = rows.select(F.col("doc_id").alias("path"), F.struct("segment_id", spans.alias("spans")).alias("s")).where(F.size("s.spans") > 0).groupBy("path").agg(F.collect_list("s").alias("segments"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for path, content, segments in zip(pdf["path"], pdf["content"], pdf["segments"]):
+                found = [] if segments is None else list(segments)
+                by = {s["segment_id"]: [(m["start"], m["end"], m["new"]) for m in s["spans"]] for s in found}
+                emails = {m["text"].strip(): m["new"] for s in found for m in s["spans"] if m["email"] and m["new"]}
+                out.append((path, _new_content(path, content, by, emails, adapters)))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    return contents.select("path", "content").join(by_file, "path", "left").mapInPandas(run, "path string, content binary")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def markdown_report(by_type: list[dict], micro: dict, negatives: dict, integrity: dict) -> str:
-    """A short report of rows that are bounded by the number of types."""
+def markdown_report(by_type: list[dict], micro: dict, negatives: dict, integrity: dict, stats: dict | None = None, macro: dict | None = None, residual: int | None = None) -> str:
+    """A report of rows that are bounded by the number of types: summary, document and integrity, types, overall, phrases to leave
+    alone, residual findings, invariants."""
     cell = lambda x: "N/A" if x is None else str(x)
-    rows = [f"| {r['entity_type']} | " + " | ".join(cell(r[k]) for k in ("gold", "predicted", "tp", "fp", "fn", "precision", "recall", "f1")) + " |" for r in by_type]
-    head = ["| type | gold | predicted | tp | fp | fn | precision | recall | f1 |", "| --- " * 9 + "|"]
-    return "\n".join(["# Evaluation", "", "## By type", "", *head, *rows, "", "## Overall", "", *(f"- {k}: {cell(v)}" for k, v in micro.items()), "", "## Phrases to leave alone", "", *(f"- {k}: {cell(v)}" for k, v in negatives.items()), "", "## Integrity", "", *(f"- {k}: {cell(v)}" for k, v in integrity.items()), ""])
+    items = lambda d: [f"- {k}: {cell(v)}" for k, v in (d or {}).items()]
+    names = ("gold", "predicted", "tp", "fp", "fn", "precision", "recall", "f1", "accuracy")
+    rows = [f"| {r['entity_type']} | " + " | ".join(cell(r[k]) for k in names) + " |" for r in by_type]
+    sections = {
+        "Summary": [f"- integrity: {cell(integrity.get('status'))}", f"- F1, micro: {cell(micro.get('f1'))}"],
+        "Document and integrity": items(stats) + items(integrity),
+        "By type": ["| type | " + " | ".join(names) + " |", "| --- " * (len(names) + 1) + "|", *rows],
+        "Overall": items(micro) + items({f"macro {k}": v for k, v in (macro or {}).items()}),
+        "Phrases to leave alone": items(negatives),
+        "Residual findings": [f"- findings that are no known replacement: {cell(residual)}"],
+        "Invariants": ["- text outside approved spans is unchanged", "- a failed integrity check holds back the document"],
+    }
+    return "\n".join(["# Evaluation", ""] + [x for title, body in sections.items() for x in (f"## {title}", "", *body, "")])
