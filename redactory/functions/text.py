@@ -28,10 +28,10 @@ def span(start: Column, end: Column, text: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), text.alias("text"))
 
 
-def spans_of(text: Column, pattern: str, fold_case: bool = True, needs: str | None = None) -> Column:
+def spans_of(text: Column, pattern: str, fold_case: bool = True, needs: str | Column | None = None) -> Column:
     """All matches of a pattern that matches no empty text, left to right; an empty array if there is none or no text.
 
-    needs: a cheap pattern that every text with a match has, looked for first."""
+    needs: a cheap pattern that every text with a match has, or a condition that it meets, looked at first."""
     p = F.lit(("(?iU)" if fold_case else "(?U)") + pattern)
     found = F.regexp_extract_all(text, p, F.lit(0))
     gaps = F.split(text, p, -1)
@@ -44,8 +44,8 @@ def spans_of(text: Column, pattern: str, fold_case: bool = True, needs: str | No
         return F.struct(b.alias("at"), F.concat(acc["out"], F.array(span(a, b, x["m"]))).alias("out"))
 
     some = text.rlike(("(?iU)" if fold_case else "(?U)") + pattern)
-    if needs:
-        some = F.when(text.rlike(needs), some)
+    if needs is not None:
+        some = F.when(text.rlike(needs) if isinstance(needs, str) else needs, some)
     return F.when(some, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none())
 
 

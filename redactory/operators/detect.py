@@ -17,7 +17,9 @@ from redactory.functions.text import MATCHES, SPANS, anchored, before, blank, co
 
 #: What every text with such a match has.
 DIGIT = r"\p{Nd}"
-FIRM = r"(?iU)\b(?:limited|(?:pvt\.?\s*)?ltd|llp|inc|corp|corporation|llc|gmbh|s\.?a|a\.?g|holdings?)\b"
+FIRM = r"(?iu)(?U:\s)(?:limited|(?:pvt\.?(?U:\s*))?ltd|llp|inc|corp|corporation|llc|gmbh|s\.?a|a\.?g|holdings?)(?U:\b)"
+NAMES = r"[A-Z][a-z]+(?U:[^\S\r\n]+)[A-Z][a-z]"
+FORMS = "Limited Ltd LLP Inc Corp LLC Bank Securities Solutions Services"
 
 ORDER = ["EMAIL", "PHONE", "CREDIT_CARD", "SSN", "IP_ADDRESS", "PAN", "UPI_ID", "IBAN", "PERSON", "COMPANY", "ADDRESS", "DOB"]
 
@@ -118,7 +120,7 @@ def uncovered(first: Column, more: Column, seen_all: bool = True) -> Column:
 
 
 def person_salutation(text, held, pat) -> Column:
-    named = F.transform(spans_of(text, V.SALUTATION), lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), anchored(text, s["end"], V.NAME, False).alias("name")))
+    named = F.transform(spans_of(text, V.SALUTATION, needs=NAMES), lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), anchored(text, s["end"], V.NAME, False).alias("name")))
     good = F.filter(named, lambda x: (x["name"] != "") & valid_name(x["name"]) & ~is_protected(text, x["b"], x["b"] + F.length(x["name"]), held, pat))
     return F.array_distinct(F.transform(good, lambda x: span(x["a"], x["b"] + F.length(x["name"]), F.substring(text, x["a"] + 1, x["b"] - x["a"] + F.length(x["name"])))))
 
@@ -128,7 +130,7 @@ def person_role(text, held, pat) -> Column:
         inner = spans_of(F.substring(text, s["end"] + 1, F.lit(120)), V.NAME, False)
         return F.transform(inner, lambda n: span(s["end"] + n["start"], s["end"] + n["end"], n["text"]))
 
-    found = F.flatten(F.transform(spans_of(text, V.ROLE), names))
+    found = F.flatten(F.transform(spans_of(text, V.ROLE, needs=NAMES), names))
     return kept(F.filter(found, lambda n: valid_name(n["text"])), text, held, pat)
 
 
@@ -143,7 +145,7 @@ def company(text, held, pat):
         inner = F.slice(spans_of(F.substring(text, s["end"] + 1, F.lit(100)), V.LABELLED_COMPANY, False), 1, 1)
         return F.transform(inner, lambda n: span(s["end"] + n["start"], s["end"] + n["end"], n["text"]))
 
-    labelled = kept(F.flatten(F.transform(spans_of(text, V.BUSINESS_LABEL), first)), text, held, pat)
+    labelled = kept(F.flatten(F.transform(spans_of(text, V.BUSINESS_LABEL, needs=contains_any(text, FORMS.split())), first)), text, held, pat)
     lead = F.array(*map(F.lit, V.LEADING_WORDS.split()))
 
     def trimmed(s):
@@ -162,14 +164,14 @@ def company(text, held, pat):
 
 
 def address(text, held, pat):
-    block = F.transform(spans_of(text, V.ADDRESS_LABEL), lambda s: F.struct(s["end"].alias("a"), anchored(text, s["end"], V.ADDRESS_BLOCK.replace("|$)", "|(?-m:(?![\\s\\S])))")).alias("t")))
+    block = F.transform(spans_of(text, V.ADDRESS_LABEL, needs=contains_any(text, [":", "-"])), lambda s: F.struct(s["end"].alias("a"), anchored(text, s["end"], V.ADDRESS_BLOCK.replace("|$)", "|(?-m:(?![\\s\\S])))")).alias("t")))
     good = F.transform(F.filter(block, lambda x: F.length(strip(x["t"])) >= 12), lambda x: span(x["a"], x["a"] + F.length(x["t"]), strip(x["t"])))
     plain = spans_of(text, V.ADDRESS, needs=DIGIT)
     return uncovered(scored(kept(good, text, held, pat), text, "ADDRESS", 0.94, "address_label_block"), scored(kept(plain, text, held, pat), text, "ADDRESS", 0.91, "structural_address"))
 
 
 def dob(text, held, pat):
-    dates = F.transform(spans_of(text, V.BIRTH_LABEL), lambda s: F.struct(s["end"].alias("a"), anchored(text, s["end"], V.DATE).alias("t")))
+    dates = F.transform(spans_of(text, V.BIRTH_LABEL, needs=DIGIT), lambda s: F.struct(s["end"].alias("a"), anchored(text, s["end"], V.DATE).alias("t")))
     good = F.transform(F.filter(dates, lambda x: x["t"] != ""), lambda x: span(x["a"], x["a"] + F.length(x["t"]), x["t"]))
     return scored(kept(good, text, held, pat), text, "DOB", 0.98, "context_gated_dob")
 
