@@ -102,16 +102,43 @@ class Stream:
     continuity_errors: int
 
 
-def _section_of(packet: np.ndarray) -> bytes:
-    at = 4 + (1 + int(packet[4]) if packet[3] & 0x20 else 0)
-    at += 1 + int(packet[at])
-    data = packet[at:].tobytes()
+def _begins(q: np.ndarray) -> np.ndarray:
+    """Where each packet's payload begins: behind the adaptation field; at the end if it has none."""
+    begin = np.where((q[:, 3] & 0x20) != 0, 5 + q[:, 4].astype(np.int16), 4)
+    begin[(q[:, 3] & 0x10) == 0] = PACKET
+    return begin
+
+
+def _section_of(q: np.ndarray) -> bytes:
+    """The first section in the packets of one PID, of which the first starts one; it may go on in those that follow."""
+    begin = _begins(q)
+    first = q[0, begin[0] :].tobytes()
+    data = first[1 + first[0] :]
+    k = 1
+    while len(data) < 3 or len(data) < 3 + (int.from_bytes(data[1:3], "big") & 0xFFF):
+        if k == len(q):
+            raise ValueError("a program table ends early")
+        data += q[k, begin[k] :].tobytes()
+        k += 1
     data = data[: 3 + (int.from_bytes(data[1:3], "big") & 0xFFF)]
     if crc32_mpeg(data):
         raise ValueError("a program table's checksum is wrong")
     return data
 
 
+def _sequence(q: np.ndarray) -> tuple[np.ndarray, int]:
+    """Of the packets of one PID those that repeat the one before, as the format permits, and how many others are out of turn.
+
+    Counters rise with payloads only; a packet that says that it is discontinuous may have any."""
+    again = np.zeros(len(q), bool)
+    filled = np.flatnonzero((q[:, 3] & 0x10) != 0)
+    again[filled[1:]] = (q[filled[1:]] == q[filled[:-1]]).all(axis=1)
+    kept = filled[~again[filled]]
+    cc = (q[kept, 3] & 0x0F).astype(np.int16)
+    told = ((q[kept, 3] & 0x20) != 0) & (q[kept, 4] > 0) & ((q[kept, 5] & 0x80) != 0)
+    return again, int(((np.diff(cc) % 16 != 1) & ~told[1:]).sum())
+
+
 def demux(data: bytes) -> Stream:
     """The elementary stream of the first program's first component."""
     if not data or len(data) % PACKET:
@@ -120,25 +147,28 @@ def demux(data: bytes) -> Stream:
     if (p[:, 0] != SYNC).any():
         raise ValueError("a sync byte is missing")
     pid = ((p[:, 1] & 0x1F).astype(np.int32) << 8) | p[:, 2]
-    starts, fields = (p[:, 1] & 0x40) != 0, p[:, 3] & 0x30
+    starts = (p[:, 1] & 0x40) != 0
     pat = np.flatnonzero((pid == PAT_PID) & starts)
     if not len(pat):
         raise ValueError("no program association table")
-    table = _section_of(p[pat[0]])
+    table = _section_of(p[pat[0] :][pid[pat[0] :] == PAT_PID])
     programs = [(int.from_bytes(table[i : i + 2], "big"), int.from_bytes(table[i + 2 : i + 4], "big") & 0x1FFF) for i in range(8, len(table) - 4, 4)]
-    pmt = np.flatnonzero((pid == next(x for n, x in programs if n)) & starts)
-    table = _section_of(p[pmt[0]])
+    own = next(x for n, x in programs if n)
+    pmt = np.flatnonzero((pid == own) & starts)
+    if not len(pmt):
+        raise ValueError("no program map table")
+    table = _section_of(p[pmt[0] :][pid[pmt[0] :] == own])
     at = 12 + (int.from_bytes(table[10:12], "big") & 0xFFF)
     own = int.from_bytes(table[at + 1 : at + 3], "big") & 0x1FFF
-    errors = 0
+    errors, again = 0, np.zeros(len(p), bool)
     for one in np.unique(pid).tolist():
-        cc = p[(pid == one) & ((fields & 0x10) != 0), 3] & 0x0F  # counters rise with payloads only
-        errors += int((np.diff(cc.astype(np.int16)) % 16 != 1).sum())
-    own = np.flatnonzero(pid == own)
-    q, starts, fields = p[own], starts[own], fields[own]
-    field = (fields & 0x20) != 0
-    begin = np.where(field, 5 + q[:, 4].astype(np.int16), 4)
-    begin[(fields & 0x10) == 0] = PACKET
+        if one != 0x1FFF:  # null packets have no order
+            where = np.flatnonzero(pid == one)
+            again[where], wrong = _sequence(p[where])
+            errors += wrong
+    own = np.flatnonzero((pid == own) & ~again)
+    q, starts = p[own], starts[own]
+    begin = _begins(q)
     size = PACKET - begin
     body = q[np.arange(PACKET) >= begin[:, None]]
     at = (np.cumsum(size) - size)[starts]
@@ -146,12 +176,12 @@ def demux(data: bytes) -> Stream:
         raise ValueError("an elementary packet does not start with its code")
     head = 9 + body[at + 8].astype(np.int64)
     x = [body[at + 9 + k].astype(np.int64) for k in range(5)]
-    pts = ((x[0] & 0x0E) << 29) | (x[1] << 22) | ((x[2] & 0xFE) << 14) | (x[3] << 7) | (x[4] >> 1)
+    pts = (((x[0] & 0x0E) << 29) | (x[1] << 22) | ((x[2] & 0xFE) << 14) | (x[3] << 7) | (x[4] >> 1))[(body[at + 7] & 0x80) != 0]
     edge = np.zeros(len(body) + 1, np.int32)
     edge[at] += 1
     np.subtract.at(edge, at + head, 1)
     payload = body[np.cumsum(edge[:-1]) == 0].tobytes()
-    entry = field & (q[:, 4] > 0) & ((q[:, 5] & 0x40) != 0)
+    entry = ((q[:, 3] & 0x20) != 0) & (q[:, 4] > 0) & ((q[:, 5] & 0x40) != 0)
     return Stream(payload, pts.tolist(), own[entry].tolist(), len(p), errors)
 
 
