@@ -3,6 +3,10 @@ contains benchmark items goes, and the rest is packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of
 documents. `run` writes each stage's rows and reads them again. ORACLE_SQL is None: a learned model can't be expressed in SQL.
+
+Null and empty texts are kept by every filtering stage and become sequences of the end id alone. Rows without an id are kept
+by the filtering stages and left out of the packing. Of repeated rows with one id all go or all stay. Extra columns go along
+until packing. An empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
