@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass, field
 from re import _parser as parser
 
@@ -177,10 +178,12 @@ def dob(text, held, pat):
 
 
 def runs_in_java(pattern: str) -> bool:
-    """Whether Java reads the pattern and it matches no empty text, so that it can run as an expression."""
+    """Whether Java reads the pattern as Python does and it matches no empty text, so that it can run as an expression."""
     try:
-        if parser.parse(pattern).getwidth()[0] == 0:
-            return False
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")  # of sets that others read as nested
+            if parser.parse(pattern).getwidth()[0] == 0:
+                return False
         SparkContext._jvm.java.util.regex.Pattern.compile("(?U)" + pattern)
         return True
     except Exception:  # either may refuse what Python's own matcher takes
