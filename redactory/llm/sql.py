@@ -1,5 +1,7 @@
 """SQL of the queries whose results are plain functions of their tables."""
 
+import string
+
 _LATEST = "max(page_id) OVER (PARTITION BY html)"
 
 WARC = f"""
@@ -23,4 +25,16 @@ kept AS (SELECT x.doc_id, count(g.i) AS n_removed, coalesce(string_agg(word, ' '
 SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM t LEFT JOIN kept k ON t.doc_id = k.doc_id"""
 
-ORACLES = {"op2_warc_revisits": WARC, "op3_substring_dedup": SUBSTRINGS}
+_UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
+JACCARD = f"""
+WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.format(text=f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS x FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s AS a JOIN s AS b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b WHERE 100 * shared >= 75 * (p.n + q.n - shared)),
+either AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (SELECT a, b FROM either UNION SELECT r.a, e.b FROM reached AS r JOIN either AS e ON e.a = r.b)
+SELECT t.doc_id, coalesce(n, 0) AS n_shingles, least(t.doc_id, coalesce(m, t.doc_id)) AS component_id
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN (SELECT a, min(b) AS m FROM reached GROUP BY a) AS c ON c.a = t.doc_id"""
+
+ORACLES = {"op2_warc_revisits": WARC, "op3_substring_dedup": SUBSTRINGS, "op10_ngram_jaccard_join": JACCARD}
