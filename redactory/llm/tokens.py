@@ -17,9 +17,9 @@ import pyarrow as pa
 from redactory.llm._common import _WHITE, U64, lower_ascii, text_buffer, word_hashes
 
 #: A worker forgets its words beyond so many.
-CACHED_WORDS = 3_000_000
+CACHED_WORDS = 1_500_000
 #: Texts are taken in parts of about so many bytes, which bounds the memory in use; a longer text is a part of its own.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -45,7 +45,7 @@ class WordEncoder:
     def forget(self) -> None:
         self.keys = np.zeros(0, U64)
         self.starts = np.zeros(0, np.int64)
-        self.lens = np.zeros(0, np.int64)
+        self.lens = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
@@ -65,12 +65,12 @@ class WordEncoder:
             part = rest[at : at + 4096]
             for i, got in zip(part, self.library.encode_batch([words[i] for i in part], add_special_tokens=False)):
                 ids[i] = got.ids
-        lens = np.array([len(x) for x in ids], np.int64)
-        starts = np.cumsum(lens) - lens + len(self.ids)
+        lens = np.array([len(x) for x in ids], np.int32)
+        starts = np.cumsum(lens, dtype=np.int64) - lens + len(self.ids)
         self.ids = np.concatenate((self.ids, np.fromiter((y for x in ids for y in x), np.uint32, int(lens.sum()))))
-        keys = np.concatenate((self.keys, keys))
         order = np.argsort(keys)
-        self.keys, self.starts, self.lens = keys[order], np.concatenate((self.starts, starts))[order], np.concatenate((self.lens, lens))[order]
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.starts, self.lens = (np.insert(old, at, new[order]) for old, new in ((self.keys, keys), (self.starts, starts), (self.lens, lens)))
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts in a row, and each text's offset in them."""

@@ -21,7 +21,7 @@ from redactory.llm._common import U64, lean, lower_ascii, mix, spans, text_buffe
 
 _GAPS = np.ones(256, bool)
 _GAPS[48:58] = _GAPS[65:91] = _GAPS[97:123] = _GAPS[128:] = False
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 
 
 def features(col: pa.Array, bits: int):
@@ -78,7 +78,7 @@ def _fit(bits: int, epochs: int, alpha: float, beta: float, l1: float, l2: float
                 order = np.argsort(doc, kind="stable")
                 at = np.searchsorted(doc[order], np.arange(b - a + 1))
                 for i in range(b - a):
-                    rows.append((ids[a + i], labels[a + i], np.unique(found[order[at[i] : at[i + 1]]])))
+                    rows.append((ids[a + i], labels[a + i], np.unique(found[order[at[i] : at[i + 1]]]).astype(np.int32)))
         rows.sort(key=lambda r: (mix(np.array([r[0]], np.int64).view(U64))[0], r[0]))
         model = Ftrl(1 << bits, alpha, beta, l1, l2)
         for _ in range(epochs):
