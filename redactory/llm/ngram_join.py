@@ -13,10 +13,11 @@ long lists are only probed, by binary search, for the candidates. Spark's part:
    counts are told to all tasks. Each set is ordered by these counts, what no other has first: its prefix in this order
    has no shared shingle unless three quarters of the set are shared.
 4. Nodes that share a shingle of their prefixes form blocks (connected by stars, never by pairs).
-5. Blocks are searched in memory. A block above `block_shingles` is split: its chunks alone, then the representatives of
-   the chunks' components (unless these are too many themselves, then nothing is skipped below), then what is not in the
-   largest component against every chunk. Pairs that are connected already are not compared, so groups of near copies
-   cost about one comparison a document.
+5. Blocks are searched in memory. A block above `chunk_shingles` is split, so that a large group of copies is no single
+   task: its chunks alone, then the representatives of the chunks' components (unless these are above `block_shingles`, then
+   nothing is skipped below), then what is not in the largest component against every chunk. Chunks are larger, up to
+   `block_shingles`, where much is left to compare. Pairs that are connected already are not compared, so groups of near
+   copies cost about one comparison a document.
 
 Texts are taken in parts of a few megabytes, and the numbers of buckets and groups follow the bytes that meet in them.
 Shingles are told apart by 64 bits: a collision changes an overlap by one, in fewer than one of 10**12 comparisons.
@@ -389,23 +390,25 @@ def _run(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.groupBy("grp").applyInArrow(lean(_join_groups(num, den)), "a long, b long")
 
 
-def block_links(sets: DataFrame, num: int, den: int, block_shingles: int) -> DataFrame:
-    """Edges (a, b) between documents with the same components as all links within blocks; sets: node, rep, n, shingles, block."""
+def block_links(sets: DataFrame, blocks: DataFrame, num: int, den: int, block_shingles: int, chunk_shingles: int) -> DataFrame:
+    """Edges (a, b) between documents with the same components as all links within blocks.
+
+    sets: node, rep, n, shingles; blocks: node, block; both stored."""
     spark = sets.sparkSession
-    sizes = stored(sets.groupBy("block").agg(F.sum("n").alias("total")), "ngram-sizes")
+    chunk_shingles = min(chunk_shingles, block_shingles)
+    sizes = stored(sets.select("node", "n").join(sized(blocks), "node").groupBy("block").agg(F.sum("n").alias("total")), "ngram-sizes")
     facts = sizes.agg(F.sum("total"), F.max("total")).first()
-    sets = sets.join(sized(sizes), "block")
     plain = dict(label=F.col("node"), query=F.lit(True))
     n_groups = max(buckets(spark), -(-8 * (facts[0] or 0) // GROUP_BYTES))
     row = ["node", "rep", "shingles", "label", "query"]
-    small = sets.where(F.col("total") <= block_shingles).withColumns(plain).select(F.pmod(F.xxhash64("block"), F.lit(n_groups)).cast("string").alias("grp"), F.col("block").alias("part"), *row)
-    links = _run(small, num, den)
-    if (facts[1] or 0) <= block_shingles:
+    small = sets.join(sized(blocks), "node").join(sized(sizes), "block").where(F.col("total") <= chunk_shingles)
+    links = _run(small.withColumns(plain).select(F.pmod(F.xxhash64("block"), F.lit(n_groups)).cast("string").alias("grp"), F.col("block").alias("part"), *row), num, den)
+    if (facts[1] or 0) <= chunk_shingles:
         return links
-    cut = lambda c: F.pmod(F.xxhash64("node"), F.ceil(F.col(c) / block_shingles))
     whole = F.lit(0).cast("long").alias("part")
-    large = sets.where(F.col("total") > block_shingles).withColumn("chunk", cut("total"))
-    alone = large.withColumns(plain).select(F.concat_ws(":", "block", "chunk").alias("grp"), whole, *row)
+    where = stored(blocks.join(sized(sizes.where(F.col("total") > chunk_shingles)), "block"), "ngram-where")
+    large = stored(sets.join(sized(where), "node"), "ngram-large")
+    alone = large.withColumns(plain).select(F.concat_ws(":", "block", F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / chunk_shingles))).alias("grp"), whole, *row)
     inner = stored(_run(alone, num, den), "ngram-inner")
     # an edge leads from a document to its component's first; the others stand for their components
     heads = large.join(sized(stored(inner.select(F.col("a").alias("rep")).distinct(), "ngram-inner")), "rep", "left_anti")
@@ -413,19 +416,24 @@ def block_links(sets: DataFrame, num: int, den: int, block_shingles: int) -> Dat
     top = heads.join(sized(count), "block").withColumns(plain).select(F.concat_ws(":", "block", F.lit("h")).alias("grp"), whole, *row)
     inner = stored(inner.union(_run(top, num, den)), "ngram-inner")
     label = stored(components(inner, "ngram-label").toDF("rep", "label"), "ngram-label")
-    large = large.select("block", "chunk", "total", "node", "rep", "n", "shingles").join(sized(label), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    large = large.join(sized(label), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     by = stored(large.groupBy("block", "label").agg(F.sum("n").alias("w")), "ngram-by")
-    best = stored(by.groupBy("block").agg(F.max_by("label", F.struct("w", "label")).alias("most"), F.sum("w").alias("all"), F.max("w").alias("w")).where("all > w"), "ngram-best")
+    best = by.groupBy("block").agg(F.max_by("label", F.struct("w", "label")).alias("most"), F.sum("w").alias("all"), (F.sum("w") - F.max("w")).alias("left")).where("left > 0")
+    # as many chunks as leave the rest, which goes to each of them, no larger in all than the block
+    chunks = F.greatest(F.ceil(F.col("all") / block_shingles), F.least(F.ceil(F.col("all") / chunk_shingles), F.floor(F.col("all") / F.col("left"))))
+    best = stored(best.select("block", "most", chunks.alias("chunks"), F.ceil(F.col("left") / block_shingles).alias("asked")), "ngram-best")
     large = large.join(sized(best), "block")
-    asked = F.ceil((F.col("all") - F.col("w")) / block_shingles)
-    held = large.select("block", "chunk", "node", "rep", "shingles", "label", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), asked - 1)).alias("ask"))
-    rest = large.where("label != most").withColumn("ask", F.pmod(F.xxhash64("node", F.lit(1)), asked)).select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("total") / block_shingles) - 1)).alias("chunk"), "node", "rep", "shingles", "label", F.lit(True).alias("query"), "ask")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    held = large.select("block", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"), "node", "rep", "shingles", "label", F.lit(False).alias("query"), upto("asked").alias("ask"))
+    rest = large.where("label != most").select("block", upto("chunks").alias("chunk"), "node", "rep", "shingles", "label", F.lit(True).alias("query"), F.pmod(F.xxhash64("node", F.lit(1)), "asked").alias("ask"))
     cross = held.unionByName(rest).select(F.concat_ws(":", "block", "chunk", "ask", F.lit("x")).alias("grp"), whole, *row)
     return links.union(inner).union(_run(cross, num, den))
 
 
-def ngram_join(documents: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 2_000_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id): see the module's text. percent: the least Jaccard similarity, in hundredths."""
+def ngram_join(documents: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 2_000_000, chunk_shingles: int = 1 << 16) -> DataFrame:
+    """(doc_id, n_shingles, component_id): see the module's text. percent: the least Jaccard similarity, in hundredths.
+
+    block_shingles: what a task may search at once. chunk_shingles: larger blocks are searched in chunks of so many first."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     num, den = percent, 100
     known, may = screened(docs, size, num, den)
@@ -438,7 +446,7 @@ def ngram_join(documents: DataFrame, size: int = 5, percent: int = 75, id_col: s
     forget(reps)
     stars = prefixes(sets, num, den).groupBy("bucket").applyInArrow(lean(_stars(num, den)), "a long, b long")
     blocks = stored(components(stars, "ngram-blocks").toDF("node", "block"), "ngram-blocks")
-    links = block_links(sets.join(sized(blocks), "node"), num, den, block_shingles)
+    links = block_links(sets, blocks, num, den, block_shingles, chunk_shingles)
     found = components(links.union(twins), "ngram-found").toDF("doc_id", "component")
     forget(sets, nodes, blocks, twins)
     known = known.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))

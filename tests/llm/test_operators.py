@@ -54,8 +54,10 @@ def test_ngram_join(docs, empty):
                 up[y] = x
     expected = {i: (len(s), find(i)) for i, s in sets.items()}
     assert {r[0]: (r[1], r[2]) for r in ngram_join.ngram_join(docs).collect()} == expected
-    # with blocks far below their usual size, so that they are split
+    # with blocks far below their usual size, so that they are split; with chunks whose rest fits one task and several
     assert {r[0]: (r[1], r[2]) for r in ngram_join.ngram_join(docs, block_shingles=40).collect()} == expected
+    assert {r[0]: (r[1], r[2]) for r in ngram_join.ngram_join(docs, chunk_shingles=20).collect()} == expected
+    assert {r[0]: (r[1], r[2]) for r in ngram_join.ngram_join(docs, block_shingles=60, chunk_shingles=15).collect()} == expected
     assert ngram_join.ngram_join(empty).count() == 0
 
 
