@@ -70,6 +70,12 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.runs import periodic_runs, replayed
+
+    return periodic_runs(table(spark, sf_dir, "documents"), reread=replayed).drop("runs")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    made = [op1_line_dedup, op2_warc_revisits, op3_substring_dedup, op4_token_files, op5_toxicity, op6_benchmark_decontamination, op7_media_columns, op8_lm_scoring, op9_best_fit_packing, op10_ngram_jaccard_join, pipeline]
+    made = [op1_line_dedup, op2_warc_revisits, op3_substring_dedup, op4_token_files, op5_toxicity, op6_benchmark_decontamination, op7_media_columns, op8_lm_scoring, op9_best_fit_packing, op10_ngram_jaccard_join, op13_periodic_runs, pipeline]
     return {f.__name__: f for f in made}
 
 

@@ -37,4 +37,23 @@ reached AS (SELECT a, b FROM either UNION SELECT r.a, e.b FROM reached AS r JOIN
 SELECT t.doc_id, coalesce(n, 0) AS n_shingles, least(t.doc_id, coalesce(m, t.doc_id)) AS component_id
 FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN (SELECT a, min(b) AS m FROM reached GROUP BY a) AS c ON c.a = t.doc_id"""
 
-ORACLES = {"op2_warc_revisits": WARC, "op3_substring_dedup": SUBSTRINGS, "op10_ngram_jaccard_join": JACCARD}
+# crc32 by shifts and xors, over the decimal digits of the id
+_CRC = "xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda i: 0::UBIGINT)), lambda x, z: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)::BIGINT"
+
+RUNS = f"""
+WITH t AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w, {_CRC} AS h FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS again, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS times FROM t),
+p AS (SELECT *, 1 + (n - a) // times AS p FROM g),
+words AS (SELECT doc_id, n, i, w[1 + CASE WHEN again AND i >= a THEN a + (i - a) % p ELSE i END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+pairs AS (SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM words AS x JOIN words AS y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs) GROUP BY doc_id, q, k),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+best AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told,
+  arg_min({{'start': start, 'length': length, 'period': period}}, [-length, start, period]) AS b FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) FILTER (WHERE g.i IS NULL) AS kept FROM words AS x LEFT JOIN gone AS g ON g.doc_id = x.doc_id AND g.i = x.i GROUP BY x.doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(b.start AS BIGINT) AS start, CAST(b.length AS BIGINT) AS length, CAST(b.period AS BIGINT) AS period,
+  CAST(1000 * b.length // b.period AS BIGINT) AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN best ON best.doc_id = t.doc_id LEFT JOIN kept ON kept.doc_id = t.doc_id"""
+
+ORACLES = {"op13_periodic_runs": RUNS, "op2_warc_revisits": WARC, "op3_substring_dedup": SUBSTRINGS, "op10_ngram_jaccard_join": JACCARD}
