@@ -2,11 +2,12 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import pytest
 
-from redactory.llm import runs
+from redactory.llm import licences, runs
 
 SCHEMA = "doc_id long, text string, n long, start long, score double, runs string"
 
@@ -68,3 +69,70 @@ def test_periodic_runs(spark, empty):
     three = {row.doc_id: [tuple(x) for x in row.runs] for row in runs.periodic_runs(table(spark, texts[:8]), 3, 3).collect()}
     assert three == {i: _runs(t.split(), 3, 3) for i, t in texts[:8]}
     assert runs.periodic_runs(empty).count() == 0
+
+
+def _matches(w, t, least):
+    """Brute force: all stretches of equal words that neither side extends."""
+    out = []
+    for x in range(len(w)):
+        for y in range(len(t)):
+            if w[x] == t[y] and not (x and y and w[x - 1] == t[y - 1]):
+                n = 0
+                while x + n < len(w) and y + n < len(t) and w[x + n] == t[y + n]:
+                    n += 1
+                if n >= least:
+                    out.append((x, y, n))
+    return sorted(out)
+
+
+def _scanned(text, templates, phrases, match, gap, share):
+    split = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), s or ""))
+    w = split(text)
+    found = [(label, i) for label, p in phrases for i in range(len(w)) if w[i : i + len(split(p))] == split(p)]
+    chains, most = [], 0.0
+    for label, t in templates:
+        t = split(t)
+        own, best = _matches(w, t, match), {}
+        for m in own:
+            x, y, n = m
+            ways = [(n, -x)]
+            for u, v, k in own:
+                shared = max(0, u + k - x, v + k - y)
+                if u < x and v < y and x - u - k <= gap and y - v - k <= gap and shared < n:
+                    ways.append((best[(u, v, k)][0] + n - shared, best[(u, v, k)][1]))
+            best[m] = max(ways)
+            most = max(most, best[m][0] / len(t))
+            if best[m][0] >= share * len(t):
+                chains.append((-best[m][0], -best[m][0] / len(t), -best[m][1], x + n, label))
+    spans = []
+    for _, part, a, b, label in sorted(chains):
+        if all(b <= c or d <= a for _, c, d, _ in spans):
+            spans.append((label, a, b, -part))
+    base = sorted({x for x, _ in found})
+    places = [i for _, i in found]
+    return len(w), len(found), min(places, default=None), max(places, default=None), ",".join(base), ",".join(sorted({*base, *(x[0] for x in spans)})), 1.0 if found else most, sorted(spans, key=lambda x: x[1])
+
+
+def test_licence_scan(spark, empty):
+    r = random.Random(8)
+    whole = dict(licences.TEMPLATES)
+    noise = lambda n: " ".join(r.choice(["the", "license", "and", "by", "software", "w1", "w2", "public"]) for _ in range(n))
+    holed = lambda t, k: " ".join(x for i, x in enumerate(t.split()) if i % k)
+    texts = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "ALL RIGHTS\nRESERVED, all rights reserved all rights", "cc-by cc_by CC by\u00e9", "general public licenses", None, "", " \n", "a"]
+    texts += [f"{noise(9)} {whole[k]} {noise(5)}" for k in ("mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "gpl-2.0", "isc")]
+    texts += [holed(whole["mit"], 11), holed(whole["bsd-3-clause"], 7), whole["mit"][:200] + noise(20) + whole["mit"][200:], (whole["zlib"] + "\n") * 3, *(noise(60) for _ in range(6))]
+    texts = [*enumerate(texts), (0, texts[0]), (None, "all rights reserved")]
+    few = [("x", "a b a b c"), ("y", "b a b"), ("y", "c c c c"), ("z", "a b a b")]
+    small = [(i, " ".join(r.choice("abc") for _ in range(r.randint(0, 30)))) for i in range(60)]
+    for rows, args in ((texts, (licences.TEMPLATES, licences.PHRASES, 3, 8, 0.75)), (small, (few, [("p", "c"), ("q", "a b")], 2, 1, 0.6)), (small, (few, [], 1, 3, 1.0))):
+        got = licences.licence_scan(table(spark, rows), *args).collect()
+        assert len(got) == sum(i is not None for i, _ in rows)
+        for row in got:
+            *told, spans = tuple(row)[1:]
+            assert (*told, [tuple(x) for x in spans]) == _scanned(dict(rows)[row.doc_id], *args), row.doc_id
+    by = {row.doc_id: row.labels for row in licences.licence_scan(table(spark, texts)).collect()}
+    assert [by[i] for i in range(6)] == ["mit", "cc-by,cc-by-nc-4.0", "gpl,gpl-3.0", "reserved", "cc-by", ""]
+    assert [by[i] for i in range(10, 16)] == ["mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "gpl,gpl-2.0", "isc"]
+    assert licences.licence_scan(empty).count() == 0
+    with pytest.raises(ValueError):
+        licences.licence_scan(empty, [("x", "...")])
