@@ -70,6 +70,12 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from redactory.llm.ranked import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from redactory.llm.licences import licence_scan
 
@@ -89,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    made = [op1_line_dedup, op2_warc_revisits, op3_substring_dedup, op4_token_files, op5_toxicity, op6_benchmark_decontamination, op7_media_columns, op8_lm_scoring, op9_best_fit_packing, op10_ngram_jaccard_join, op12_licence_scan, op13_periodic_runs, pipeline]
+    made = [op1_line_dedup, op2_warc_revisits, op3_substring_dedup, op4_token_files, op5_toxicity, op6_benchmark_decontamination, op7_media_columns, op8_lm_scoring, op9_best_fit_packing, op10_ngram_jaccard_join, op11_ranked_search, op12_licence_scan, op13_periodic_runs, pipeline]
     return {f.__name__: f for f in made}
 
 

@@ -56,4 +56,16 @@ SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(b.start AS BIGINT) AS start
   CAST(1000 * b.length // b.period AS BIGINT) AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM t LEFT JOIN best ON best.doc_id = t.doc_id LEFT JOIN kept ON kept.doc_id = t.doc_id"""
 
-ORACLES = {"op13_periodic_runs": RUNS, "op2_warc_revisits": WARC, "op3_substring_dedup": SUBSTRINGS, "op10_ngram_jaccard_join": JACCARD}
+_TERMS = "regexp_extract_all(translate(text, '" + _UPPER + "', '" + _LOWER + "'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+RANKED = f"""
+WITH d AS (SELECT *, len(w) AS n, row_number() OVER () AS r FROM (SELECT doc_id, {_TERMS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)) GROUP BY ALL),
+p AS (SELECT r, doc_id, term, count(*) AS tf, 75 + (25 * n * docs) // terms AS m FROM (SELECT r, doc_id, n, unnest(w) AS term FROM d), s WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, docs),
+scores AS (SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM p JOIN w USING (term) JOIN q USING (term) GROUP BY item_id, r, doc_id),
+ranks AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 20"""
+
+ORACLES = {"op11_ranked_search": RANKED, "op13_periodic_runs": RUNS, "op2_warc_revisits": WARC, "op3_substring_dedup": SUBSTRINGS, "op10_ngram_jaccard_join": JACCARD}

@@ -1,13 +1,14 @@
 """Periodic runs, licence scans and ranked search against brute force, with nulls, empty texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import pytest
 
-from redactory.llm import licences, runs
+from redactory.llm import licences, ranked, runs
 
 SCHEMA = "doc_id long, text string, n long, start long, score double, runs string"
 
@@ -136,3 +137,52 @@ def test_licence_scan(spark, empty):
     assert licences.licence_scan(empty).count() == 0
     with pytest.raises(ValueError):
         licences.licence_scan(empty, [("x", "...")])
+
+
+def _ranked(docs, items, k):
+    split = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), s or ""))
+    texts = [(i, w) for i, t in docs if i is not None and (w := split(t))]
+    n, total = len(texts), sum(len(w) for _, w in texts)
+    df = {}
+    for _, w in texts:
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+    out = []
+    for item in sorted({i for i, _ in items if i is not None}):
+        terms = [t for _, text in sorted({(i, x or "") for i, x in items if i == item}) for t in split(text)]
+        scores = []
+        for i, w in texts:
+            m = 75 + 25 * len(w) * n // total
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1000000000 * w.count(t) // (1000 * w.count(t) + 12 * m)) for t in terms if t in w)
+            if score:
+                scores.append((-score, i))
+        out += [(item, rank, i, -x) for rank, (x, i) in enumerate(sorted(scores)[:k], 1)]
+    return out
+
+
+def test_ranked_search(spark, empty, monkeypatch):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(90)] + ["The", "the", "THE", "\u00e9t\u00e9", "x9"]
+    prose = lambda n: " ".join(r.choice(words[: r.choice([9, 95])]) + r.choice(["", ",", "-"]) for _ in range(n))
+    docs = [(i, prose(r.choice([1, 5, 40, 300]))) for i in range(150)]
+    docs += [(i + 1000, docs[i][1]) for i in range(0, 60, 2)] + [(5, docs[5][1]), (7, "another w3 w4"), (None, "w1 w2"), (2000, None), (2001, ""), (2002, "..."), (2003, "the " * 4000)]
+    items = [(i, prose(r.choice([1, 6, 30]))) for i in range(30)] + [(3, "w1 w1 w80"), (4, None), (40, "absent"), (41, ""), (42, None), (None, "w1"), (0, docs[0][1]), (0, docs[0][1])]
+    queries = spark.createDataFrame([(i, t, 1, 2, "k") for i, t in items], "item_id long, text string, doc_id long, rank long, block string")
+    for args in ((20, 64, 4), (3, 2, 1)):
+        assert sorted(map(tuple, ranked.ranked_search(table(spark, docs), queries, *args).collect())) == _ranked(docs, items, args[0])
+    monkeypatch.setattr(ranked, "GROUP_TERMS", 100)
+    assert sorted(map(tuple, ranked.ranked_search(table(spark, docs), queries).collect())) == _ranked(docs, items, 20)
+    assert ranked.ranked_search(empty, queries).count() == 0
+    assert ranked.ranked_search(table(spark, docs), queries.limit(0)).count() == 0
+
+
+def test_ranked_search_leaves_blocks_unread(spark, monkeypatch):
+    """A query whose terms stand in a few documents scores the blocks of these alone."""
+    docs = [(i, f"common words here {i}" + (" rare" * 3 if i % 500 == 0 else "")) for i in range(3000)]
+    index = ranked.build(table(spark, docs), stats := ranked.totals(table(spark, docs)), 16)
+    q = ranked.Queries(*map(ranked.np.asarray, zip(*((0, int(t)) for t in ranked._terms(ranked.pa.array(["common rare"]))[0]))))
+    q.weigh(ranked._frequencies(index, q), stats[0])
+    bounds = [q.bounds(ranked.np.frombuffer(x.terms, "<i8"), ranked.np.frombuffer(x.tops, "<i4"))[0] for x in index.collect()]
+    found = ranked.search(index, stats, spark.createDataFrame([(0, "common rare")], "item_id long, text string"), 6).collect()
+    assert {x.doc_id for x in found} == {0, 500, 1000, 1500, 2000, 2500}
+    assert sum(b >= found[-1].score for b in bounds) == 6 < len(bounds) / 20
