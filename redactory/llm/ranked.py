@@ -1,7 +1,8 @@
 """Ranked lexical search by block-max pruning.
 
 1. `totals`: the number of documents with terms and of all terms, from the texts.
-2. `build`: documents are put into blocks of neighbours (`block_docs` documents, or fewer if they hold many terms). A block is
+2. `build`: each part of the texts is put in an order in which documents alike are neighbours, and cut into blocks of ranges of
+   it (`block_docs` documents, or fewer if they hold many terms). A block is
    a row of the forward index: its documents, and for each of its terms the documents that hold it with their counts, and
    the largest impact of the term in the block. The index is written to the cluster's shared folder.
 3. `search`: of the queries' terms alone, the document frequencies are summed over the blocks. A block's bound for a query is
@@ -81,11 +82,30 @@ _BLOCK = "block long, docs binary, terms binary, holders binary, tops binary, at
 _NAMES = [x.split()[0] for x in _BLOCK.split(", ")]
 
 
+def _alike(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """An order of documents in which those with the same most frequent term are neighbours, by their lengths: blocks of such have lower bounds."""
+    n = np.diff(rows)
+    doc = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((hashes, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
+    at = np.flatnonzero(new)
+    term, own, tf = hashes[order[at]], doc[order[at]], np.diff(np.append(at, len(order)))
+    best = np.lexsort((term, tf, own))
+    top = np.zeros(len(n), np.int64)
+    top[own[best]] = term[best]  # the last of a document is the most frequent one
+    return np.lexsort((n, top))
+
+
 def _blocks(batch: pa.RecordBatch, docs: int, terms: int, block_docs: int, block_terms: int) -> Iterator[tuple]:
     """The blocks of some documents: ids; terms, how many documents hold each and its largest impact; those documents and the counts; lengths as m."""
     ids = np.asarray(batch.column(0), np.int64)
     hashes, rows = _terms(batch.column(1))
     n = np.diff(rows)
+    alike = _alike(hashes, rows)
+    ids, n = ids[alike], n[alike]
+    hashes = hashes[np.repeat(rows[alike] - (np.cumsum(n) - n), n) + np.arange(len(hashes))]
+    rows = np.append(0, np.cumsum(n))
     a = 0
     while a < len(ids):
         b = min(a + block_docs, max(a + 1, int(np.searchsorted(rows, rows[a] + block_terms, side="right")) - 1), len(ids))
@@ -105,7 +125,7 @@ def _blocks(batch: pa.RecordBatch, docs: int, terms: int, block_docs: int, block
         a = b
 
 
-def build(documents: DataFrame, stats: tuple[int, int], block_docs: int = 64, block_terms: int = 1 << 18, part: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def build(documents: DataFrame, stats: tuple[int, int], block_docs: int = 8, block_terms: int = 1 << 18, part: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The forward index, written to the shared folder. Documents without terms are left out."""
     if not 0 < block_docs < 1 << 16:
         raise ValueError("a block has at most 65,535 documents")
@@ -140,9 +160,9 @@ class Queries:
 
     def places(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those of our terms that a block has, and their places there."""
-        at = np.minimum(np.searchsorted(own, self.terms), len(own) - 1)
-        mine = np.flatnonzero(own[at] == self.terms)
-        return mine, at[mine]
+        mine = np.minimum(np.searchsorted(self.terms, own), len(self.terms) - 1)
+        at = np.flatnonzero(self.terms[mine] == own)
+        return mine[at], at
 
     def bounds(self, own: np.ndarray, tops: np.ndarray) -> np.ndarray:
         """No document of the block scores higher."""
@@ -171,10 +191,10 @@ class _Postings:
         term, worth = q.terms[q.term[entry]], q.worth[entry]
         at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
         ok = self.terms[at] == term
+        first, n = self.cut[at[ok]], self.cut[at[ok] + 1] - self.cut[at[ok]]
+        own = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
         out = np.zeros(len(self.docs), np.int64)
-        for t, w in zip(at[ok].tolist(), worth[ok].tolist()):
-            own = slice(self.cut[t], self.cut[t + 1])
-            out[self.at[own]] += w * self.worth[own]
+        np.add.at(out, self.at[own], np.repeat(worth[ok], n) * self.worth[own])
         return out
 
 
@@ -285,7 +305,7 @@ def _scored(index: DataFrame, q: Queries, k: int, least: np.ndarray, only: dict[
     return index.mapInArrow(lean(run), "item_id long, doc_id long, score long")
 
 
-def search(index: DataFrame, stats: tuple[int, int], queries: DataFrame, k: int = 20, first: int = 4, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def search(index: DataFrame, stats: tuple[int, int], queries: DataFrame, k: int = 20, first: int = 32, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, rank, doc_id, score): of each query the k documents with the highest scores above 0, equal ones by ascending doc_id."""
     entries = _query_terms(queries, id_col, text_col)
     n = entries.count()
@@ -308,7 +328,7 @@ def search(index: DataFrame, stats: tuple[int, int], queries: DataFrame, k: int
     return found if found is not None else index.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
 
 
-def ranked_search(documents: DataFrame, queries: DataFrame, k: int = 20, block_docs: int = 64, first: int = 4) -> DataFrame:
+def ranked_search(documents: DataFrame, queries: DataFrame, k: int = 20, block_docs: int = 8, first: int = 32) -> DataFrame:
     """Index all documents and search them for all queries."""
     stats = totals(documents)
     index = build(documents, stats, block_docs)

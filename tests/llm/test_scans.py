@@ -185,4 +185,4 @@ def test_ranked_search_leaves_blocks_unread(spark, monkeypatch):
     bounds = [q.bounds(ranked.np.frombuffer(x.terms, "<i8"), ranked.np.frombuffer(x.tops, "<i4"))[0] for x in index.collect()]
     found = ranked.search(index, stats, spark.createDataFrame([(0, "common rare")], "item_id long, text string"), 6).collect()
     assert {x.doc_id for x in found} == {0, 500, 1000, 1500, 2000, 2500}
-    assert sum(b >= found[-1].score for b in bounds) == 6 < len(bounds) / 20
+    assert 0 < sum(b >= found[-1].score for b in bounds) <= 6 < len(bounds) / 20
