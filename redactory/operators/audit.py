@@ -11,6 +11,8 @@ from pyspark.sql.types import LongType
 
 from redactory.functions.text import hash_text, match_rows, splice, strip
 from redactory.operators.replace import synthetic
+from redactory.operators.substrings import holding
+from redactory.sources.shared import kept
 
 SCORED_TYPES = "PERSON EMAIL PHONE COMPANY ADDRESS SSN CREDIT_CARD DOB IP_ADDRESS".split()
 
@@ -128,22 +130,19 @@ def negatives_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.count_if(F.expr("preserved")).alias("preserved"), F.count_if(F.expr("not preserved")).alias("violated"), F.coalesce(F.count_if(F.expr("preserved")) / F.nullif(F.count("*"), F.lit(0)), F.lit(1.0)).alias("pass_rate"))
 
 
-def residual(findings: DataFrame, known: DataFrame, size: int = 5) -> DataFrame:
+def residual(findings: DataFrame, known: DataFrame) -> DataFrame:
     """Findings but those that equal a known synthetic value, of whatever type, or, where it is longer than four characters, contain it
-    or lie in it.
+    or lie in it; in any case, without blanks around.
 
-    Distinct texts meet by pieces of `size` characters: a text holds a value only if it holds the value's first piece, and
-    lies in one only if its own first piece (all of a shorter text) does. Hashed joins on pieces, then the exact test."""
+    Distinct texts meet by equality first; what is left by the rarest pieces (see `substrings.holding`), in both directions."""
     text = lambda c: F.lower(strip(F.col(c)))
-    pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n))))
-    f = findings.select(text("text").alias("f")).distinct()
-    v = known.select(text("replacement").alias("v")).distinct()
-    long = v.where(F.length("v") > size - 1)
-    held = f.select("f", F.explode(pieces("f", size)).alias("g")).join(long.withColumn("g", F.substring("v", 1, size)), "g").where(F.col("f").contains(F.col("v")))
-    of_all = F.flatten(F.array(*[pieces("v", n) for n in range(1, size + 1)]))
-    lies = f.where("f <> ''").withColumn("g", F.substring("f", 1, size)).join(long.select("v", F.explode(F.array_distinct(of_all)).alias("g")), "g").where(F.col("v").contains(F.col("f")))
-    out = v.select(F.col("v").alias("f")).union(held.select("f")).union(lies.select("f")).distinct()
-    return findings.withColumn("f", text("text")).join(out, "f", "left_anti").drop("f")
+    v = kept(known.select(text("replacement").alias("value")).where("value is not null").distinct(), "known-values")
+    f = kept(findings.select(text("text").alias("text")).distinct().join(v.withColumnRenamed("value", "text"), "text", "left_anti"), "findings")
+    long = v.where(F.length("value") > 4)
+    holds = holding(f, long).withColumnRenamed("text", "value")
+    lies = holding(long.withColumnRenamed("value", "text"), f.withColumnRenamed("text", "value"), "value")
+    gone = v.union(holds).union(lies).distinct().withColumnRenamed("value", "_residual_text")
+    return findings.withColumn("_residual_text", text("text")).join(gone, "_residual_text", "left_anti").drop("_residual_text")
 
 
 def spot_check(originals: DataFrame, output: DataFrame) -> DataFrame:

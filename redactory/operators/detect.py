@@ -34,7 +34,9 @@ class Custom:
 
 @dataclass(frozen=True)
 class Config:
-    """What to look for; read when the plan is built. person_ner: a function from a text to the (start, end) of names."""
+    """What to look for; read when the plan is built. person_ner: a function from a text to the (start, end) of names.
+
+    first_seen: synthetic values are those of each value's first occurrence; tokens_across: tokens are numbered across documents."""
 
     categories: tuple[str, ...] = tuple(ORDER)
     packs: tuple[str, ...] = ("generic", "legal", "finance")
@@ -44,6 +46,8 @@ class Config:
     custom: tuple[Custom, ...] = ()
     protected_terms: tuple[str, ...] = ()
     person_ner: object = field(default=None, compare=False)
+    first_seen: bool = False
+    tokens_across: bool = False
 
 
 def digits(x: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactory.functions import vocabulary as V
-from redactory.functions.text import reused, strip
+from redactory.functions.text import match_rows, reused, strip
+from redactory.sources.shared import kept
 
 STRATEGIES = ("SYNTHETIC", "MASK", "TOKEN", "CATEGORY_LABEL")
 
@@ -77,10 +78,41 @@ def replacement(kind: Column, text: Column, strategy: str = "SYNTHETIC", seed: i
     return mask(kind, text) if strategy == "MASK" else label(kind) if strategy == "CATEGORY_LABEL" else synthetic(kind, text, seed)
 
 
-def numbered(matches: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """matches (doc, seg_ord, entity_type, start, ...) with TOKEN replacements: every occurrence counts up, by document and type."""
-    w = Window.partitionBy(doc, "entity_type").orderBy("seg_ord", "start")
-    return matches.withColumn("replacement", token(F.col("entity_type"), F.row_number().over(w)))
+def _bounds(rows: DataFrame, at: Column, ranges: int) -> list:
+    """Values of `at` that cut the rows into about equal ranges: from those 20 a range with the least hashes, a bounded sample that is the same in every run."""
+    some = sorted(r[0] for r in rows.select(at.alias("at")).distinct().orderBy(F.xxhash64("at"), "at").limit(20 * ranges).collect())
+    return [some[i * len(some) // ranges] for i in range(1, ranges)] if some else []
+
+
+def _range(at: Column, bounds: list, names: list[str], kinds: list[str]) -> Column:
+    """How many bounds are not above `at`, by bisection."""
+    told = F.array(*[F.struct(*[F.lit(x).cast(k).alias(n) for x, n, k in zip(b, names, kinds)]) for b in bounds])
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda lo, step: F.when(F.coalesce(F.try_element_at(told, lo + step) <= at, F.lit(False)), lo + step).otherwise(lo))
+
+
+def numbered(matches: DataFrame, doc: str | None = "doc_id", rows_a_range: int = 100_000, most_ranges: int = 1000) -> DataFrame:
+    """matches (doc_id, seg_ord, entity_type, start, end, ...) with TOKEN replacements: every occurrence counts up, by type within each document, or
+    with doc=None by type across all documents.
+
+    In two passes: the matches are cut into ranges of their order (document, segment, start, end), counted by range, and the
+    sums of the ranges before are added to the ranks within each range; so no document and no type is one task's work.
+    The matches are written to the shared folder first."""
+    order = [c for c in ("doc_id", "seg_ord", "start", "end") if c in matches.columns]
+    matches = kept(matches, "matches")
+    by = ([doc] if doc else []) + ["entity_type"]
+    local = Window.partitionBy(*by, "_range").orderBy(*order)
+    ranges = min(most_ranges, matches.count() // rows_a_range + 1)
+    at = F.struct(*order)
+    kinds = dict(matches.dtypes)
+    bounds = _bounds(matches, at, ranges)
+    cut = matches.withColumn("_range", _range(at, bounds, order, [kinds[c] for c in order]) if bounds else F.lit(0))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*by, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    ranked = cut.withColumn("_rank", F.row_number().over(local))
+    same = [ranked[c].eqNullSafe(sums[c]) for c in [*by, "_range"]]
+    out = ranked.join(sums, same[0] if len(same) == 1 else same, "left").select(*[ranked[c] for c in ranked.columns], "_before")
+    return out.withColumn("replacement", token(F.col("entity_type"), F.col("_before") + F.col("_rank"))).drop("_range", "_rank", "_before")
 
 
 @reused
@@ -94,5 +126,25 @@ def with_replacements(rows: DataFrame, strategy: str = "SYNTHETIC", seed: int =
 
 
 def replacement_map(matches: DataFrame, seed: int = 42) -> DataFrame:
-    """(entity_type, norm_text, replacement), once each: also the set of known synthetic values."""
-    return matches.select("entity_type", F.lower(strip(F.col("text"))).alias("norm_text")).distinct().withColumn("replacement", synthetic(F.col("entity_type"), F.col("norm_text"), seed))
+    """(entity_type, norm_text, replacement), once each: also the set of known synthetic values.
+
+    Texts that differ in case or in the blanks around them are one value; its replacement is that of the first of them, by document, segment
+    and start (as far as the matches have these; else by text)."""
+    order = [c for c in ("doc_id", "seg_ord", "start") if c in matches.columns]
+    first = matches.groupBy("entity_type", F.lower(strip(F.col("text"))).alias("norm_text")).agg(F.min_by("text", F.struct(*order, "text")).alias("first"))
+    return first.select("entity_type", "norm_text", synthetic(F.col("entity_type"), F.col("first"), seed).alias("replacement"))
+
+
+def first_seen(rows: DataFrame, seed: int = 42) -> DataFrame:
+    """rows (doc_id, segment_id, seg_ord, text, matches) whose synthetic replacements are those of each value's first occurrence in all rows.
+
+    Only values of which two occurrences would get different replacements (another case or form) are looked up; the others keep
+    what their own text gives, so frequent values that are always written alike don't move."""
+    flat = kept(match_rows(rows, "doc_id", "segment_id", "seg_ord").select("doc_id", "segment_id", "seg_ord", "entity_type", "start", "end", "text", "replacement"), "replacements")
+    norm = F.lower(strip(F.col("text"))).alias("norm_text")
+    varied = flat.groupBy("entity_type", norm).agg(F.min_by("text", F.struct("doc_id", "seg_ord", "start", "text")).alias("first"), F.min("replacement").alias("a"), F.max("replacement").alias("b")).where("a <> b")
+    new = varied.select("entity_type", "norm_text", synthetic(F.col("entity_type"), F.col("first"), seed).alias("new"))
+    changed = flat.withColumn("norm_text", norm).join(new, ["entity_type", "norm_text"]).where("new <> replacement")
+    by = changed.groupBy("doc_id", "segment_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "start", "end", "entity_type"), "new"))).alias("_new"))
+    put = F.transform("matches", lambda m: m.withField("replacement", F.coalesce(F.try_element_at("_new", F.concat_ws("|", m["start"], m["end"], m["entity_type"])), m["replacement"])))
+    return rows.join(by, ["doc_id", "segment_id"], "left").withColumn("matches", F.when(F.col("_new").isNull(), F.col("matches")).otherwise(put)).drop("_new")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from redactory.functions.text import match_rows, splice, valid_spans
 from redactory.operators import resolve
 from redactory.operators.detect import Config, scan
-from redactory.operators.replace import numbered, with_replacements
+from redactory.operators.replace import first_seen, numbered, with_replacements
 
 
 def detected(segments: DataFrame, config: Config = Config(), profile: str = "engine") -> DataFrame:
@@ -21,10 +21,11 @@ def detected(segments: DataFrame, config: Config = Config(), profile: str = "eng
 
 
 def replaced(rows: DataFrame, config: Config = Config()) -> DataFrame:
-    """Matches with replacements; TOKEN numbers them by document, which is the one strategy that shuffles."""
+    """Matches with replacements; only TOKEN, which numbers them, and first_seen shuffle."""
     if config.strategy != "TOKEN":
-        return with_replacements(rows, config.strategy, config.seed)
-    flat = numbered(match_rows(rows, "doc_id", "segment_id", "seg_ord"))
+        out = with_replacements(rows, config.strategy, config.seed)
+        return first_seen(out, config.seed) if config.first_seen and config.strategy not in ("MASK", "CATEGORY_LABEL") else out
+    flat = numbered(match_rows(rows, "doc_id", "segment_id", "seg_ord"), None if config.tokens_across else "doc_id")
     names = [c for c in flat.columns if c not in ("doc_id", "segment_id", "seg_ord")]
     back = flat.groupBy("doc_id", "segment_id").agg(F.array_sort(F.collect_list(F.struct("start", F.struct(*names).alias("m")))).alias("x"))
     kind = "array<" + back.select(F.transform("x", lambda x: x["m"]).alias("m")).schema["m"].dataType.elementType.simpleString() + ">"

@@ -336,8 +336,12 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(Q)
+    from redactory.plans import corpus
+
+    return Q | corpus.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from redactory.plans import corpus
+
+    return SQL | corpus.SQL
