@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from redactory.functions.text import match_rows
 from redactory.operators import audit, replace
 from redactory.operators.detect import ORDER, Config, scan
 from redactory.plans.queries import _MORE, _SEED, _SYNTHETIC, _any, _sql_spans
-from redactory.sources import readers
+from redactory.sources import ranges, readers, shared
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -80,3 +82,33 @@ def _spans(spark, sf, kind):
 _EMAILS = _sql_spans(V.EMAIL, f"NOT {_any('lower(t)', V.FILE_ENDINGS.split())}")
 query("repl_token_across", f"SELECT doc_id, seg_ord, \"start\", printf('<EMAIL_%03d>', row_number() OVER (ORDER BY doc_id, seg_ord, \"start\")) AS replacement FROM ({_EMAILS})")(lambda spark, sf: replace.numbered(_spans(spark, sf, "EMAIL"), None, 100).select("doc_id", "seg_ord", "start", "replacement"))
 query("repl_token_by_document", f"SELECT doc_id, seg_ord, \"start\", printf('<EMAIL_%03d>', row_number() OVER (PARTITION BY doc_id ORDER BY seg_ord, \"start\")) AS replacement FROM ({_EMAILS})")(lambda spark, sf: replace.numbered(_spans(spark, sf, "EMAIL"), "doc_id", 100).select("doc_id", "seg_ord", "start", "replacement"))
+
+
+# ---------------------------------------------------------------- files written from documents
+
+
+def _written(df: DataFrame, write) -> str:
+    """A folder with the rows as files, in the shared folder."""
+    path = f"{shared.folder(df.sparkSession)}/files-{uuid.uuid4().hex}"
+    write(df.write, path)
+    return path
+
+
+@query("src_csv_ranges", "SELECT doc_id, sha256(text) AS h FROM documents WHERE regexp_matches(text, '\\S')")
+def src_csv_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as CSV files, whose cells go over many lines, and read in ranges: the second cell of each row with the id in its first."""
+    path = _written(table(spark, sf, "documents").select("doc_id", "text"), lambda w, p: w.options(quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(p))
+    cells = ranges.read_cells(spark, path).select("doc_id", F.col("meta")["row"].alias("row"), F.col("meta")["col"].alias("col"), "text")
+    rows = cells.groupBy(F.col("doc_id").alias("path"), "row").agg(F.max(F.when(F.col("col") == "0", F.col("text"))).cast("long").alias("doc_id"), F.max(F.when(F.col("col") == "1", F.col("text"))).alias("text"))
+    return rows.where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
+
+
+@query("src_txt_ranges", "WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) SELECT sha256(line) AS h, count(*) AS n FROM l GROUP BY ALL")
+def src_txt_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as text files and read in ranges: how often each line occurs; lines are numbered without gaps, or this raises."""
+    path = _written(table(spark, sf, "documents").where("text is not null").select("text"), lambda w, p: w.text(p))
+    lines = ranges.read_lines(spark, path)
+    numbered = lines.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("seg_ord").alias("d"), F.max("seg_ord").alias("m"))
+    if numbered.where("n <> d or n <> m + 1").count():
+        raise AssertionError("lines are not numbered one after the other")
+    return lines.groupBy(F.sha2(F.regexp_replace("text", "\n$", ""), 256).alias("h")).agg(F.count("*").alias("n"))

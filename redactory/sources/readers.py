@@ -14,6 +14,8 @@ from redactory.sources import office
 SEGMENT = "doc_id string, segment_id string, seg_ord int, text string, meta map<string,string>"
 ADAPTERS = {"docx": "docx docm", "txt": "txt log text md", "xlsx": "xlsx xlsm xltx", "csv": "csv tsv", "pdf": "pdf"}
 EXTRACTORS: dict = {}
+#: Where a line of Python's splitlines ends.
+LINE_END = r"(?<=[\n\x0B\x0C\x1C-\x1E\x85  ])|(?<=\r)(?!\n)"
 
 
 def supported_extensions() -> list[str]:
@@ -45,8 +47,7 @@ def adapter_column(path):
 
 def line_segments(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines with their ends, as Python's splitlines cuts them; blank lines are kept, a null text has none."""
-    cut = r"(?<=[\n\x0B\x0C\x1C-\x1E\x85  ])|(?<=\r)(?!\n)"
-    parts = F.filter(F.split(F.col(text), cut, -1), lambda x: x != "")
+    parts = F.filter(F.split(F.col(text), LINE_END, -1), lambda x: x != "")
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.posexplode(parts).alias("seg_ord", "text"))
     return rows.select("doc_id", F.concat(F.lit("line_"), F.col("seg_ord").cast("string")).alias("segment_id"), "seg_ord", "text", F.create_map(F.lit("line_number"), (F.col("seg_ord") + 1).cast("string")).alias("meta"))
 
@@ -127,8 +128,19 @@ def segments(contents: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Segments of all files under a path, by their endings."""
-    return segments(files(spark, path))
+    """Segments of all files under a path, by their endings; large text and CSV files are read in ranges (see `ranges`)."""
+    from redactory.sources import ranges
+
+    large = F.col("length") > ranges.LARGE
+    listed = spark.read.format("binaryFile").load(path).select("path", "length", adapter_column(F.col("path")).alias("kind"))
+    kinds = {r[0] for r in listed.where(large & F.col("kind").isin("txt", "csv")).select("kind").distinct().collect()}
+    split = F.col("length").isNotNull() & large & adapter_column(F.col("path")).isin(list(kinds)) if kinds else F.lit(False)
+    small = spark.read.format("binaryFile").load(path).where(adapter_column(F.col("path")).isNotNull() & ~split).select("path", "content")
+    out = segments(small)
+    for kind, read in (("txt", ranges.read_lines), ("csv", ranges.read_cells)):
+        if kind in kinds and EXTRACTORS.get(kind) in (_txt, _csv):
+            out = out.unionByName(read(spark, path, ranges.LARGE))
+    return out
 
 
 def _of_docx(content_rows: DataFrame, make, columns: str, schema: str) -> DataFrame:
