@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import difflib
+import os
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StringType
 
 from redactory.functions.text import hash_text, match_rows, splice, strip
 from redactory.operators.replace import synthetic
@@ -51,16 +52,64 @@ def integrity_rows(original: DataFrame, redacted: DataFrame) -> DataFrame:
     """original: doc_id, segment_id, text, matches (approved ones, with replacements); redacted: doc_id, segment_id, text.
 
     Segments on one side only fail as well."""
-    left = original.select("doc_id", "segment_id", F.col("text").alias("original"), splice(F.col("text"), F.col("matches")).alias("expected"), F.size("matches").alias("n_spans"))
+    order = ["seg_ord"] if "seg_ord" in original.columns else []
+    left = original.select("doc_id", "segment_id", *order, F.col("text").alias("original"), splice(F.col("text"), F.col("matches")).alias("expected"), F.size("matches").alias("n_spans"))
     both = left.join(redacted.select("doc_id", "segment_id", F.col("text").alias("actual")), ["doc_id", "segment_id"], "full")
     return both.withColumn("ok", F.col("expected").eqNullSafe(F.col("actual")))
 
 
+#: Texts up to the first length are compared whole. Of longer ones what they begin and end with alike is left out, which may mark another one of
+#: equal neighbours; of middles beyond the second length all counts as changed: a diff takes more than linear time.
+PLAIN_DIFF, LONGEST_DIFF = 1000, 5000
+
+
+def _middles(a: str, b: str) -> tuple[str, str, str, str]:
+    """What two texts begin with alike, the middle of each, and what both end with; of short texts all is middle."""
+    if max(len(a), len(b)) <= PLAIN_DIFF:
+        return "", a, b, ""
+    first = len(os.path.commonprefix([a, b]))
+    a_, b_ = a[first:], b[first:]
+    last = len(os.path.commonprefix([a_[::-1], b_[::-1]]))
+    return a[:first], a_[: len(a_) - last], b_[: len(b_) - last], a_[len(a_) - last :]
+
+
+def diff_of(expected: str, actual: str, most: int | None = None) -> list[str]:
+    """A line diff of single characters; most: so many entries are enough."""
+    same, a, b, end = _middles(expected or "", actual or "")
+    out = [f"  {x}" for x in same[:most]]
+    if most is None or len(out) < most:
+        short = len(a) <= LONGEST_DIFF and len(b) <= LONGEST_DIFF
+        out += difflib.ndiff(a, b) if short else [f"- {x}" for x in a[:most]] + [f"+ {x}" for x in b[:most]]
+        out += [f"  {x}" for x in end[:most]]
+    return out[:most]
+
+
 @F.pandas_udf(LongType())
 def changed_characters(expected: pd.Series, actual: pd.Series) -> pd.Series:
     """Characters that a line diff of single characters adds or takes away; for failing rows only."""
-    diff = lambda a, b: sum(1 for x in difflib.ndiff(a or "", b or "") if x[0] in "+-")
-    return pd.Series([diff(a, b) for a, b in zip(expected, actual)])
+
+    def changed(x, y):
+        _, a, b, _ = _middles(x or "", y or "")
+        return len(a) + len(b) if max(len(a), len(b)) > LONGEST_DIFF or not (a and b) else sum(d[0] in "+-" for d in difflib.ndiff(a, b))
+
+    return pd.Series([changed(a, b) for a, b in zip(expected, actual)])
+
+
+@F.pandas_udf(StringType())
+def diff_sample(expected: pd.Series, actual: pd.Series) -> pd.Series:
+    """The first 100 entries of the diff."""
+    return pd.Series([None if b is None else "".join(diff_of(a, b, 100)) for a, b in zip(expected, actual)])
+
+
+def failed_samples(rows: DataFrame, k: int = 10) -> DataFrame:
+    """The first k failed segments of each document, in their order, with their texts and a sample of the diff; a segment that is missing has an error instead.
+
+    rows: integrity_rows of originals with seg_ord; segments without one, which no original has, come last. Each task passes on no more than k
+    of a document."""
+    first = Window.partitionBy("doc_id").orderBy(F.col("seg_ord").asc_nulls_last(), "segment_id")
+    bad = rows.where("not ok").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+    error = F.when(F.col("actual").isNull(), "Segment missing from redacted document")
+    return bad.select("doc_id", "segment_id", "seg_ord", "rank", error.alias("error"), "original", "expected", "actual", diff_sample("expected", "actual").alias("diff_sample"))
 
 
 def integrity_report(rows: DataFrame) -> DataFrame:
@@ -74,9 +123,9 @@ def integrity_report(rows: DataFrame) -> DataFrame:
 
 
 def semantic_diff(rows: DataFrame, matches: DataFrame) -> DataFrame:
-    """Approved replacements, and what else changed."""
+    """Approved replacements, and what else changed: whole texts before and after."""
     a = matches.where("approved").select("doc_id", "segment_id", F.lit("APPROVED_REDACTION").alias("kind"), F.col("text").alias("before"), F.col("replacement").alias("after"))
-    b = rows.where("not ok").select("doc_id", "segment_id", F.lit("UNEXPECTED_CHANGE").alias("kind"), F.substring("expected", 1, 100).alias("before"), F.substring("actual", 1, 100).alias("after"))
+    b = rows.where("not ok and actual is not null").select("doc_id", "segment_id", F.lit("UNEXPECTED_CHANGE").alias("kind"), F.col("expected").alias("before"), F.col("actual").alias("after"))
     return a.unionByName(b)
 
 

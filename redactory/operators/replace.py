@@ -80,7 +80,7 @@ def replacement(kind: Column, text: Column, strategy: str = "SYNTHETIC", seed: i
 
 def _bounds(rows: DataFrame, at: Column, ranges: int) -> list:
     """Values of `at` that cut the rows into about equal ranges: from those 20 a range with the least hashes, a bounded sample that is the same in every run."""
-    some = sorted(r[0] for r in rows.select(at.alias("at")).distinct().orderBy(F.xxhash64("at"), "at").limit(20 * ranges).collect())
+    some = [r[0] for r in rows.select(at.alias("at")).distinct().orderBy(F.xxhash64("at"), "at").limit(20 * ranges).orderBy("at").collect()]
     return [some[i * len(some) // ranges] for i in range(1, ranges)] if some else []
 
 

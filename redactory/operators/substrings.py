@@ -28,7 +28,8 @@ def _in_buckets(pieces: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def holding(texts: DataFrame, values: DataFrame, want: str = "text", size: int = 5, hot: int = 1000) -> DataFrame:
-    """texts(text), values(value), both distinct and cheap to read: the texts that hold a value, or with want="value" the values that lie in a text.
+    """texts(text), values(value), both distinct and cheap to read: the texts that hold a value, with want="value" the values that lie in a text, or with
+    want="pairs" (text, value) of all that do.
 
     A text holds a value only if it holds the value's rarest piece of `size` characters. Pieces are counted in `BUCKETS`
     counters (no count is too low), a value one of whose pieces is nowhere leaves at once, and texts and values meet by
@@ -46,10 +47,13 @@ def holding(texts: DataFrame, values: DataFrame, want: str = "text", size: int =
     whole = rarest.where(F.col("n") > hot).select("value").union(rarest.where(F.col("n") <= hot).join(busy, "piece", "left_semi").select("value")).union(values.where(F.length("value") < size))
     whole = kept(whole.withColumn("bucket", _bucket(F.col("value"))), "whole-pieces")
     pairs = _in_buckets(_pieces(texts, "text", [size]), cold).join(cold.select("piece", "value"), "piece").where(F.col("text").contains(F.col("value")))
-    found = pairs.select(want)
+    columns = ["text", "value"] if want == "pairs" else [want]
+    found = pairs.select(*columns)
     if sizes := sorted(r[0] for r in whole.select(F.length("value")).distinct().collect()):  # as many as there are lengths
         held = _in_buckets(_pieces(texts, "text", sizes), whole)
-        if want == "text":
+        if want == "pairs":
+            found = found.union(held.join(whole.select(F.col("value").alias("piece")), "piece").select("text", F.col("piece").alias("value")))
+        elif want == "text":
             found = found.union(held.join(whole.select(F.col("value").alias("piece")), "piece", "left_semi").select("text"))
         else:
             found = found.union(whole.join(held.select(F.col("piece").alias("value")).distinct(), "value", "left_semi").select("value"))

@@ -11,8 +11,8 @@ from redactory.functions import vocabulary as V
 from redactory.functions.text import match_rows
 from redactory.operators import audit, replace
 from redactory.operators.detect import ORDER, Config, scan
-from redactory.plans.queries import _MORE, _SEED, _SYNTHETIC, _any, _sql_spans
-from redactory.sources import ranges, readers, shared
+from redactory.plans.queries import LINES, _MORE, _SEED, _SYNTHETIC, _any, _sql_spans
+from redactory.sources import ranges, readers, shared, writers
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -112,3 +112,37 @@ def src_txt_ranges(spark: SparkSession, sf: str) -> DataFrame:
     if numbered.where("n <> d or n <> m + 1").count():
         raise AssertionError("lines are not numbered one after the other")
     return lines.groupBy(F.sha2(F.regexp_replace("text", "\n$", ""), 256).alias("h")).agg(F.count("*").alias("n"))
+
+
+@query("sink_txt_parts", "WITH l AS (SELECT doc_id, seg_ord // 16 AS part, string_agg(line, chr(10) ORDER BY seg_ord) AS text, max(seg_ord) AS m FROM (" + LINES + ") GROUP BY ALL), p AS (SELECT doc_id, part, text || CASE WHEN m = max(m) OVER (PARTITION BY doc_id) THEN '' ELSE chr(10) END AS text FROM l) "
+       "SELECT doc_id, part, CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY doc_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset, sha256(text) AS h FROM p")
+def sink_txt_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as parts of 16 lines."""
+    return writers.text_parts(readers.line_segments(table(spark, sf, "documents")), 16).select("doc_id", "part", "offset", F.sha2("text", 256).alias("h"))
+
+
+_CUT = "SELECT *, line || CASE WHEN seg_ord = max(seg_ord) OVER (PARTITION BY doc_id) THEN '' ELSE chr(10) END AS expected FROM (" + LINES + ")"
+
+
+@query("limit_sample", f"SELECT doc_id, seg_ord, rank, sha256(expected || '!') AS h, array_to_string(list_transform(range(least(length(expected), 100)), lambda i: '  ' || substr(expected, i + 1, 1)), '') || CASE WHEN length(expected) < 100 THEN '+ !' ELSE '' END AS diff_sample "
+       f"FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seg_ord) AS INT) AS rank FROM ({_CUT}) WHERE seg_ord % 3 = 0) WHERE rank <= 10")
+def limit_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """The first ten failed segments of each document, where every third line was changed."""
+    rows = readers.line_segments(table(spark, sf, "documents"))
+    out = rows.select("doc_id", "segment_id", F.when(F.col("seg_ord") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    none = F.array().cast("array<struct<start:int,end:int,replacement:string>>")
+    return audit.failed_samples(audit.integrity_rows(rows.withColumn("matches", none), out)).select("doc_id", F.col("seg_ord").cast("long").alias("seg_ord"), "rank", F.sha2("actual", 256).alias("h"), "diff_sample")
+
+
+_TARGETS = ["concat('MAILTO:', upper(text), '?subject=A')", "concat('https://X.org/?to=', text, '&cc=', text)", "'mailto:nobody@x.org'", "concat('x', text)"]
+
+
+@query("join_hyperlink", f"WITH e AS ({_EMAILS}), k AS (SELECT doc_id, lower(text) AS value, min(seg_ord * 1000000 + \"start\") AS place FROM e GROUP BY ALL), r AS (SELECT doc_id, value, place, {_PLAIN['EMAIL']} AS r FROM (SELECT *, {_SEED} AS k FROM k)), "
+       f"l AS (SELECT doc_id, seg_ord, \"start\", CAST(unnest(range({len(_TARGETS)})) AS INT) AS form, unnest([{', '.join(_TARGETS)}]) AS target FROM e), "
+       "b AS (SELECT doc_id, seg_ord, \"start\", form, arg_max({'v': value, 'r': r}, place) AS b FROM l JOIN r USING (doc_id) WHERE contains(lower(target), value) GROUP BY ALL) "
+       "SELECT doc_id, seg_ord, \"start\", form, CASE WHEN b IS NULL THEN target ELSE replace(lower(target), b.v, b.r) END AS target FROM l LEFT JOIN b USING (doc_id, seg_ord, \"start\", form)")
+def join_hyperlink(spark: SparkSession, sf: str) -> DataFrame:
+    """Link targets that hold addresses found in their documents, in several forms."""
+    m = shared.kept(_spans(spark, sf, "EMAIL").withColumn("replacement", replace.synthetic(F.col("entity_type"), F.col("text"))), "emails")
+    links = m.select("doc_id", "seg_ord", "start", F.posexplode(F.array(*map(F.expr, _TARGETS))).alias("form", "target"))
+    return writers.patch_any_links(links, m)

@@ -6,11 +6,13 @@ import csv
 import io
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.functions.text import splice
+from redactory.functions.text import splice, strip
+from redactory.operators.substrings import holding
 from redactory.sources import office, readers
+from redactory.sources.shared import kept
 
 
 def text_documents(segments: DataFrame) -> DataFrame:
@@ -19,6 +21,20 @@ def text_documents(segments: DataFrame) -> DataFrame:
     return segments.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda x: x["text"]), "").alias("text"))
 
 
+def text_parts(segments: DataFrame, segments_a_part: int = 4096) -> DataFrame:
+    """(doc_id, part, offset, n_bytes, text): documents in parts of consecutive segments, with the byte at which each starts; joined in order they are the text.
+
+    For documents of any length: a part is a row, and a row for each part is what the offsets are summed up from. The parts
+    are written to the shared folder, ranges of documents and parts to a file."""
+    rows = F.array_sort(F.collect_list(F.struct("seg_ord", "text")))
+    part = (F.col("seg_ord").cast("long") / segments_a_part).cast("long")
+    parts = segments.groupBy("doc_id", part.alias("part")).agg(F.array_join(F.transform(rows, lambda x: x["text"]), "").alias("text"))
+    parts = kept(parts.withColumn("n_bytes", F.octet_length("text").cast("long")).repartitionByRange("doc_id", "part").sortWithinPartitions("doc_id", "part"), "text-parts")
+    before = Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.select("doc_id", "part", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)).alias("offset"))
+    return parts.join(sums, ["doc_id", "part"]).select("doc_id", "part", "offset", "n_bytes", "text")
+
+
 def redacted_csv(content: bytes, changes: dict[str, str], delimiter: str = ",") -> bytes:
     """The table with cells csv_r{row}_c{col} changed; quoted where needed, lines ended by CRLF."""
     out = io.StringIO(newline="")
@@ -59,6 +75,23 @@ def patch_links(links: DataFrame, matches: DataFrame) -> DataFrame:
     return rows.join(emails, ["doc_id", "address"], "left").select("doc_id", F.when(F.col("replacement").isNotNull(), F.concat(F.lit("mailto:"), "replacement")).otherwise(F.col("target")).alias("target"))
 
 
+def patch_any_links(links: DataFrame, matches: DataFrame) -> DataFrame:
+    """links (doc_id, target, ...) whose targets hold an address that was found in their document, anywhere and in any case, with it replaced.
+
+    Such targets come out in lower case. Of several addresses that a target holds the one counts that is first seen last; of
+    several replacements of an address the last. Targets and addresses meet by `substrings.holding`. matches: doc_id, seg_ord,
+    start, entity_type, text, replacement."""
+    order = F.struct("seg_ord", "start")
+    found = matches.where("entity_type = 'EMAIL' and replacement <> ''").select("doc_id", F.lower(strip(F.col("text"))).alias("value"), "replacement", order.alias("at"))
+    emails = kept(found.groupBy("doc_id", "value").agg(F.min("at").alias("at"), F.max_by("replacement", "at").alias("replacement")), "addresses")
+    targets = kept(links.where("target is not null").select("doc_id", F.lower("target").alias("text")).distinct(), "targets")
+    pairs = holding(targets.select("text").distinct(), emails.select("value").distinct(), "pairs")
+    new = targets.join(pairs, "text").join(emails, ["doc_id", "value"]).groupBy("doc_id", "text").agg(F.max_by(F.struct("value", "replacement"), "at").alias("_new")).withColumnRenamed("text", "_text")
+    rows = links.withColumn("_text", F.lower("target")).join(new, ["doc_id", "_text"], "left")
+    target = F.when(F.col("_new").isNull(), F.col("target")).otherwise(F.replace(F.col("_text"), F.col("_new.value"), F.col("_new.replacement")))
+    return rows.select(*[target.alias("target") if c == "target" else F.col(c) for c in links.columns])
+
+
 def _new_content(name: str, content: bytes, spans: dict, emails: dict, adapters: dict) -> bytes:
     kind = readers.adapter_of(name, adapters)
     if kind == "docx":

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from redactory.operators import audit, replace, substrings
 from redactory.operators.detect import Config
 from redactory.plans import engine
+from redactory.sources import writers
 from redactory.sources.shared import kept
 
 SEGMENT = "doc_id string, segment_id string, seg_ord int, text string"
@@ -29,6 +30,7 @@ def test_holding(spark, hot):
     t, v = spark.createDataFrame([(x,) for x in [*texts, None]], "text string"), spark.createDataFrame([(x,) for x in [*values, None]], "value string")
     pairs = [(x, y) for x in texts for y in values if y and y in x]
     assert sorted(x[0] for x in substrings.holding(t, v, "text", 5, hot).collect()) == sorted({x for x, _ in pairs})
+    assert sorted(map(tuple, substrings.holding(t, v, "pairs", 5, hot).collect())) == sorted(pairs)
     assert sorted(x[0] for x in substrings.holding(t, v, "value", 5, hot).collect()) == sorted({y for _, y in pairs})
 
 
@@ -89,3 +91,45 @@ def test_numbers_in_two_passes(spark, doc):
     for size in (100_000, 50):
         assert {x.k: x.replacement for x in replace.numbered(m, doc, rows_a_range=size).collect()} == expected
     assert replace.numbered(m.limit(0), doc).count() == 0
+
+
+def test_samples_and_diffs(spark):
+    import difflib
+
+    r = random.Random(6)
+    rows = [(f"d{k % 2}", f"s{k}", k, "".join(r.choice("abc ") for _ in range(r.choice([3, 40, 300])))) for k in range(30)]
+    change = lambda t, k: None if k % 7 == 0 else t if k % 3 == 0 else t[: len(t) // 2] + "XY" + t[len(t) // 2 + k % 2 :]
+    orig = spark.createDataFrame(rows, SEGMENT).withColumn("matches", F.array().cast("array<struct<start:int,end:int,replacement:string>>"))
+    out = spark.createDataFrame([(d, s, c) for d, s, k, t in rows if (c := change(t, k)) is not None], "doc_id string, segment_id string, text string")
+    checked = kept(audit.integrity_rows(orig, out), "rows")
+    got = audit.failed_samples(checked, 5).orderBy("doc_id", "rank").collect()
+    bad = [(d, s, k, t, change(t, k)) for d, s, k, t in rows if change(t, k) != t]
+    expected = [x for d in ("d0", "d1") for x in [y for y in bad if y[0] == d][:5]]
+    assert [(x.doc_id, x.segment_id, x.seg_ord, x.expected, x.actual) for x in got] == expected and [x.rank for x in got] == [1, 2, 3, 4, 5] * 2
+    for x in got:
+        assert (x.error is not None) == (x.actual is None) == (x.diff_sample is None)
+        if x.actual is not None:
+            assert x.diff_sample == "".join(list(difflib.ndiff(x.expected, x.actual))[:100])
+    n = {x.doc_id: x.unauthorized_changed_characters for x in audit.integrity_report(checked).collect()}
+    assert n == {d: sum(sum(y[0] in "+-" for y in difflib.ndiff(t, c or "")) for e, _, _, t, c in bad if e == d) for d in ("d0", "d1")}
+    assert len(audit.diff_of("a" * 9000, "b" * 9000)) == 18000
+    kinds = Counter(x.kind for x in audit.semantic_diff(checked, spark.createDataFrame([("d0", "s1", True, "t", "r")], "doc_id string, segment_id string, approved boolean, text string, replacement string")).collect())
+    assert kinds == {"APPROVED_REDACTION": 1, "UNEXPECTED_CHANGE": sum(c is not None for *_, c in bad)}
+
+
+def test_links(spark):
+    m = spark.createDataFrame([("a", 0, 0, "EMAIL", "Bob@x.org", "n1@e.com"), ("a", 1, 0, "EMAIL", "ob@x.org", "n2@e.com"), ("a", 2, 0, "EMAIL", "bob@x.org", "n3@e.com"), ("b", 0, 0, "EMAIL", "al@x.org", "n4@e.com"), ("b", 0, 5, "PHONE", "mailto", "no")], "doc_id string, seg_ord int, start int, entity_type string, text string, replacement string")
+    links = spark.createDataFrame([("a", "MAILTO:Bob@x.org?q=A", 1), ("a", "mailto:al@x.org", 2), ("b", "https://h/?to=AL@x.org&al@X.org", 3), ("b", "Mailto:bob@x.org", 4), ("b", None, 5)], "doc_id string, target string, value int")
+    got = {x.value: x.target for x in writers.patch_any_links(links, m).collect()}
+    assert got == {1: "mailto:bn2@e.com?q=a", 2: "mailto:al@x.org", 3: "https://h/?to=n4@e.com&n4@e.com", 4: "Mailto:bob@x.org", 5: None}
+    exact = spark.createDataFrame([("a", "mailto:BOB@x.org?s=1"), ("b", "mailto:bob@x.org")], "doc_id string, target string")
+    assert sorted(x.target for x in writers.patch_links(exact, m.where("seg_ord = 0")).collect()) == ["mailto:bob@x.org", "mailto:n1@e.com"]
+
+
+def test_text_in_parts(spark):
+    rows = [("a", i, f"line {i} é\n") for i in range(10)] + [("b", 0, ""), ("c", 3, "end")]
+    parts = writers.text_parts(spark.createDataFrame(rows, "doc_id string, seg_ord int, text string").repartition(3), 4).orderBy("doc_id", "part").collect()
+    for d in "abc":
+        own, whole = [x for x in parts if x.doc_id == d], "".join(t for k, _, t in rows if k == d)
+        assert "".join(x.text for x in own) == whole and len(own) == (3 if d == "a" else 1)
+        assert all(whole.encode()[x.offset : x.offset + x.n_bytes] == x.text.encode() for x in own)
