@@ -13,6 +13,7 @@ from redactory.operators import audit
 from redactory.operators.detect import Config
 from redactory.operators.replace import STRATEGIES
 from redactory.plans import library
+from redactory.sources.shared import kept
 
 
 def main(args: list[str] | None = None) -> int:
@@ -26,7 +27,7 @@ def main(args: list[str] | None = None) -> int:
     a = p.parse_args(args)
     logging.basicConfig(level=a.log_level)
     spark = SparkSession.builder.getOrCreate()
-    rows = library.scan_files(spark, a.input, Config(strategy=a.strategy), a.profile)
+    rows = kept(library.scan_files(spark, a.input, Config(strategy=a.strategy), a.profile), "scanned")  # read for the files, their check and the log
     done = library.redact_files(spark, a.input, rows)
     reports = library.verify(rows, done).collect()  # one row a file
     failed = [r["doc_id"] for r in reports if r["status"] != "PASS"]

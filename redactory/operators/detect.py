@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import warnings
 from dataclasses import dataclass, field
-from re import _parser as parser
 
 import pandas as pd
 import regex
@@ -186,7 +185,7 @@ def runs_in_java(pattern: str) -> bool:
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("error")  # of sets that others read as nested
-            if parser.parse(pattern).getwidth()[0] == 0:
+            if not hasattr(re, "_parser") or re._parser.parse(pattern).getwidth()[0] == 0:  # not public: without it in Python, which is right as well
                 return False
         SparkContext._jvm.java.util.regex.Pattern.compile("(?U)" + pattern)
         return True

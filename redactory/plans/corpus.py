@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +12,9 @@ from redactory.functions import vocabulary as V
 from redactory.functions.text import match_rows
 from redactory.operators import audit, replace
 from redactory.operators.detect import ORDER, Config, scan
-from redactory.plans.queries import LINES, _MORE, _SEED, _SYNTHETIC, _any, _sql_spans
-from redactory.sources import ranges, readers, shared, writers
+from redactory.plans import engine
+from redactory.plans.queries import _MORE, _SEED, _SYNTHETIC, LINES, _any, _sql_spans
+from redactory.sources import pdf, ranges, readers, shared, writers
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -146,3 +148,33 @@ def join_hyperlink(spark: SparkSession, sf: str) -> DataFrame:
     m = shared.kept(_spans(spark, sf, "EMAIL").withColumn("replacement", replace.synthetic(F.col("entity_type"), F.col("text"))), "emails")
     links = m.select("doc_id", "seg_ord", "start", F.posexplode(F.array(*map(F.expr, _TARGETS))).alias("form", "target"))
     return writers.patch_any_links(links, m)
+
+
+def _pdf_files(spark: SparkSession, sf: str) -> DataFrame:
+    """(path, content): each document as a PDF file, 20 lines a page with blank ones between."""
+
+    def run(batches):
+        for rows in batches:
+            files = []
+            for key, text in zip(rows["doc_id"], rows["text"]):
+                lines = text.split("\n")
+                files.append((f"d{key}.pdf", pdf.made(["\n\n".join(lines[k : k + 20]) for k in range(0, len(lines), 20)])))
+            yield pd.DataFrame(files, columns=["path", "content"])
+
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
+    return shared.kept(docs.mapInPandas(run, "path string, content binary"), "pdf-files")
+
+
+@query("src_pdf_blocks", f"SELECT 'd' || doc_id || '.pdf' AS path, 'pdf_page_' || seg_ord // 20 || '_block_' || seg_ord % 20 AS segment_id, sha256(line) AS h FROM ({LINES}) WHERE regexp_matches(line, '\\S')")
+def src_pdf_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as PDF files and read back: blocks of their pages."""
+    return readers.segments(_pdf_files(spark, sf)).select(F.col("doc_id").alias("path"), "segment_id", F.sha2("text", 256).alias("h"))
+
+
+@query("sink_pdf", f"SELECT 'd' || doc_id || '.pdf' AS path, count(*) AS n FROM ({_EMAILS}) GROUP BY doc_id")
+def sink_pdf(spark: SparkSession, sf: str) -> DataFrame:
+    """How many labels of replaced addresses the redacted PDF files of documents hold."""
+    files, config = _pdf_files(spark, sf), Config(categories=("EMAIL",), strategy="CATEGORY_LABEL")
+    rows = engine.replaced(engine.detected(readers.segments(files), config), config)
+    out = readers.segments(writers.redacted_files(files, rows)).select(F.col("doc_id").alias("path"), F.regexp_count("text", F.lit(r"\[REDACTED EMAIL\]")).alias("n"))
+    return out.groupBy("path").agg(F.sum("n").alias("n")).where("n > 0")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.sources import office
+from redactory.sources import office, pdf
 
 SEGMENT = "doc_id string, segment_id string, seg_ord int, text string, meta map<string,string>"
 ADAPTERS = {"docx": "docx docm", "txt": "txt log text md", "xlsx": "xlsx xlsm xltx", "csv": "csv tsv", "pdf": "pdf"}
@@ -96,11 +96,7 @@ def page_blocks(pages):
 
 
 def _pdf(name: str, content: bytes):
-    try:
-        from pypdf import PdfReader
-    except ImportError as e:
-        raise NotImplementedError("no PDF library here: register an adapter that yields page_blocks(texts of the pages)") from e
-    yield from page_blocks(page.extract_text() for page in PdfReader(io.BytesIO(content)).pages)
+    yield from page_blocks(pdf.pages(content))
 
 
 EXTRACTORS |= {"txt": _txt, "csv": _csv, "xlsx": _xlsx, "docx": _docx, "pdf": _pdf}

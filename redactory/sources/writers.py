@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from redactory.functions.text import splice, strip
 from redactory.operators.substrings import holding
-from redactory.sources import office, readers
+from redactory.sources import office, pdf, readers
 from redactory.sources.shared import kept
 
 
@@ -46,6 +46,12 @@ def redacted_csv(content: bytes, changes: dict[str, str], delimiter: str = ",")
     return out.getvalue().encode()
 
 
+def redacted_pdf(content: bytes, changes: dict[str, str]) -> bytes:
+    """A plain file of the pages' texts with blocks pdf_page_{page}_block_{block} changed: nothing else of the old file is in it."""
+    pages = [[changes.get(f"pdf_page_{k}_block_{i}", block) for i, block in enumerate(text.split("\n\n"))] for k, text in enumerate(pdf.pages(content))]
+    return pdf.made(["\n\n".join(blocks) for blocks in pages])
+
+
 def run_offsets(runs: Column) -> Column:
     """Runs (text) with the character at which each starts."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<idx:int,start:int,end:int,text:string>>").alias("out"))
@@ -101,11 +107,13 @@ def _new_content(name: str, content: bytes, spans: dict, emails: dict, adapters:
     made = {s: (office.spliced_runs([t], spans[s])[0] if spans.get(s) else t) for s, t, _ in readers.segments_of(name, content, adapters)}
     if kind == "csv":
         return redacted_csv(content, made, "\t" if name.endswith(".tsv") else ",")
-    return ("\n\n" if kind == "pdf" else "").join(made.values()).encode()  # of a PDF the redacted text
+    if kind == "pdf":
+        return redacted_pdf(content, made)
+    return "".join(made.values()).encode()
 
 
 def redacted_files(contents: DataFrame, rows: DataFrame) -> DataFrame:
-    """(path, content) of files with the approved matches replaced, in their own format (of a PDF its text).
+    """(path, content) of files with the approved matches replaced, in their own format (of a PDF a plain one with its text).
 
     contents: path, content. rows: doc_id (the path), segment_id, matches with replacements. A file's matches meet in one task,
     where its bytes are."""
