@@ -98,8 +98,8 @@ def later_runs(documents: DataFrame, run: int = 3, id_col: str = "doc_id", text_
     return later
 
 
-def deduplicated(documents: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
-    """documents with the text that is left, and n_lines, n_removed."""
+def deduplicated(documents: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, counts: tuple[str, str] = ("_n_lines", "_n_removed")) -> DataFrame:
+    """documents with the text that is left, and in the columns `counts` the lines that aren't blank and those deleted."""
     later = later_runs(documents, run, id_col, text_col, words)
     later = sized(later, F.size("runs") * 32).toDF("_id", "_runs")
     names = documents.columns
@@ -109,7 +109,7 @@ def deduplicated(documents: DataFrame, run: int = 3, id_col: str = "doc_id", tex
     rows = rows.withColumn("_gone", F.expr(f"case when _runs is null then cast(array() as array<int>) else {gone} end"))
     kept = "transform(array(lines), x -> array_join(transform(array_except(sequence(0, size(x) - 1), _gone), i -> x[i]), '\n'))[0]"
     left = F.expr(f"case when size(_gone) = 0 then text else {kept} end")
-    return rows.select(*[left.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names], F.size("full").cast("long").alias("_n_lines"), F.size("_gone").cast("long").alias("_n_removed"))
+    return rows.select(*[left.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names], F.size("full").cast("long").alias(counts[0]), F.size("_gone").cast("long").alias(counts[1]))
 
 
 def line_dedup(documents: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:

@@ -292,3 +292,12 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
 def test_checksums_of_ids(spark):
     got = token_files.read_files(token_files.write_files(table(spark, [(3, None), (4, "")]))).collect()
     assert {r["ids_crc32"] for r in got} == {zlib.crc32(np.array([1], "<u4").tobytes())}
+
+
+def test_line_dedup_stage_with_columns_of_its_own_names(spark):
+    import corpus_pipeline
+
+    rows = [(0, "a b\nc d\ne f\ng", 7, 1, "x"), (1, "h\na b\nc d\ne f", 8, 2, "y"), (2, "a b\nc d\ne f", 9, 3, None), (3, None, None, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, _n_removed long, __N_LINES string")
+    got = sorted(corpus_pipeline.drop_repeated_lines(spark, docs, "").collect())
+    assert [tuple(r) for r in got] == [rows[0], (1, "h", 1, 2, "y"), rows[3]]
