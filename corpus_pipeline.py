@@ -28,8 +28,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later repeats of three lines, or of fewer with over 50 words; a document of which no line is left goes."""
-    out = line_dedup.deduplicated(docs, words=50).where((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_lines")))
-    return out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    lines, gone = "_n_lines", "_n_removed"
+    while {lines, gone} & {c.lower() for c in docs.columns}:
+        lines, gone = f"_{lines}", f"_{gone}"
+    out = line_dedup.deduplicated(docs, words=50, counts=(lines, gone)).where((F.col(gone) == 0) | (F.col(gone) < F.col(lines)))
+    return out.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
