@@ -14,7 +14,7 @@ from redactory.operators import audit, replace
 from redactory.operators.detect import ORDER, Config, scan
 from redactory.plans import engine
 from redactory.plans.queries import _MORE, _SEED, _SYNTHETIC, LINES, _any, _sql_spans
-from redactory.sources import pdf, ranges, readers, shared, writers
+from redactory.sources import pdf, ranges, readers, sample, shared, writers
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -178,3 +178,53 @@ def sink_pdf(spark: SparkSession, sf: str) -> DataFrame:
     rows = engine.replaced(engine.detected(readers.segments(files), config), config)
     out = readers.segments(writers.redacted_files(files, rows)).select(F.col("doc_id").alias("path"), F.regexp_count("text", F.lit(r"\[REDACTED EMAIL\]")).alias("n"))
     return out.groupBy("path").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+#: Characters of text that a workbook of the queries takes, at least.
+WORKBOOK = 1 << 21
+
+
+def _workbooks(spark: SparkSession, sf: str) -> DataFrame:
+    """(path, content): documents as workbooks of some million characters, with a row (place, line) for each line."""
+
+    def run(batches):
+        for rows in batches:
+            cells, size, files = [], 0, []
+            for key, seg, text in zip(rows["doc_id"], rows["seg_ord"], rows["text"]):
+                cells.append([f"{key}/{seg}", text])
+                size += len(text)
+                if size > WORKBOOK:
+                    files.append((f"{uuid.uuid4().hex}.xlsx", sample.xlsx(cells)))
+                    cells, size = [], 0
+            if cells:
+                files.append((f"{uuid.uuid4().hex}.xlsx", sample.xlsx(cells)))
+            yield pd.DataFrame(files, columns=["path", "content"])
+
+    lines = readers.line_segments(table(spark, sf, "documents")).select("doc_id", "seg_ord", F.regexp_replace("text", "\n$", "").alias("text"))
+    return shared.kept(lines.mapInPandas(run, "path string, content binary"), "workbooks")
+
+
+_SHEET_LINES = f"SELECT doc_id, seg_ord, line FROM ({LINES}) WHERE regexp_matches(line, '\\S')"
+
+
+def _places(cells: DataFrame) -> DataFrame:
+    """(doc_id, seg_ord, text) of the rows of workbooks whose second cell has text."""
+    column = lambda k: F.max(F.when(F.col("segment_id").endswith(f"_c{k}"), F.col("text")))
+    rows = cells.groupBy("doc_id", F.regexp_extract("segment_id", "_r([0-9]+)_", 1).alias("row")).agg(column(1).alias("place"), column(2).alias("text"))
+    place = F.split("place", "/")
+    return rows.where("text is not null").select(place[0].cast("long").alias("doc_id"), place[1].cast("long").alias("seg_ord"), "text")
+
+
+@query("src_xlsx_cells", f"SELECT doc_id, CAST(seg_ord AS BIGINT) AS seg_ord, sha256(line) AS h FROM ({_SHEET_LINES})")
+def src_xlsx_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents' lines written as cells of workbooks and read back: each line at its place."""
+    return _places(readers.segments(_workbooks(spark, sf))).select("doc_id", "seg_ord", F.sha2("text", 256).alias("h"))
+
+
+@query("sink_xlsx_cells", f"SELECT doc_id, CAST(seg_ord AS BIGINT) AS seg_ord, count(*) AS n FROM ({_EMAILS}) GROUP BY ALL")
+def sink_xlsx_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """How many labels of replaced addresses each line of documents holds in the redacted workbooks."""
+    files, config = _workbooks(spark, sf), Config(categories=("EMAIL",), strategy="CATEGORY_LABEL")
+    rows = engine.replaced(engine.detected(readers.segments(files), config), config)
+    out = _places(readers.segments(writers.redacted_files(files, rows)))
+    return out.select("doc_id", "seg_ord", F.regexp_count("text", F.lit(r"\[REDACTED EMAIL\]")).cast("long").alias("n")).where("n > 0")

@@ -1,4 +1,4 @@
-"""DOCX and XLSX packages: paragraphs with their runs, cells, document statistics, and packages with redacted text.
+"""DOCX packages: paragraphs with their runs, document statistics, and packages with redacted text.
 
 Works on the bytes of one file at a time, on whatever worker holds them. Segment ids name places in the file, so a package is
 redacted by reading it once more and replacing spans at those places; all other parts are copied byte for byte."""
@@ -11,7 +11,6 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
-_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _SPACE = "{http://www.w3.org/XML/1998/namespace}space"
@@ -221,59 +220,3 @@ def redacted_docx(content: bytes, spans: dict[str, list[Span]], emails: dict[str
         if emails and rels in z.namelist():
             new[rels] = _links(z.read(rels), emails)
     return _repacked(content, new)
-
-
-# ---------------------------------------------------------------- xlsx
-
-
-def column_number(ref: str) -> int:
-    n = 0
-    for c in re.match("[A-Z]+", ref)[0]:
-        n = n * 26 + ord(c) - 64
-    return n
-
-
-def _cells(z: zipfile.ZipFile, parts: dict[str, Part]) -> Iterator[tuple[str, object, str, str, dict]]:
-    """(segment_id, cell, part, text, meta) of every cell with text."""
-    shared = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        shared = ["".join(t.text or "" for t in x.iter(f"{_S}t")) for x in ET.fromstring(z.read("xl/sharedStrings.xml"))]
-    targets = _targets(z, "xl/workbook.xml")
-    for s, sheet in enumerate(ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet")):
-        name = targets[sheet.get(f"{_R}id")]
-        parts[name] = Part(z.read(name))
-        for cell in parts[name].root.iter(f"{_S}c"):
-            formula, value = cell.find(f"{_S}f"), cell.find(f"{_S}v")
-            if formula is not None and formula.text:
-                text = "=" + formula.text
-            elif cell.get("t") == "s":
-                text = shared[int(value.text)]
-            elif cell.get("t") == "inlineStr":
-                text = "".join(t.text or "" for t in cell.iter(f"{_S}t"))
-            else:
-                text = value.text if value is not None else None
-            if text and text.strip():
-                ref = cell.get("r")
-                yield f"sheet_{s}_r{int(re.search('[0-9]+', ref)[0])}_c{column_number(ref)}", cell, name, text, {"sheet": sheet.get("name"), "coordinate": ref, "is_formula": str(formula is not None).lower()}
-
-
-def xlsx_segments(content: bytes) -> list[tuple[str, str, dict]]:
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        return [(s, text, m) for s, _, _, text, m in _cells(z, {})]
-
-
-def redacted_xlsx(content: bytes, spans: dict[str, list[Span]]) -> bytes:
-    """A changed cell becomes a text of its own; shared texts of other cells stay."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        parts: dict[str, Part] = {}
-        touched = set()
-        for s, cell, where, text, _ in _cells(z, parts):
-            if spans.get(s):
-                for x in list(cell):
-                    cell.remove(x)
-                cell.set("t", "inlineStr")
-                t = ET.SubElement(ET.SubElement(cell, f"{_S}is"), f"{_S}t")
-                t.text = spliced_runs([text], spans[s])[0]
-                t.set(_SPACE, "preserve")
-                touched.add(where)
-        return _repacked(content, {name: parts[name].bytes() for name in touched})

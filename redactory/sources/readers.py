@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import csv
 import io
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redactory.sources import office, pdf
+from redactory.sources import office, pdf, sheets
 
 SEGMENT = "doc_id string, segment_id string, seg_ord int, text string, meta map<string,string>"
 ADAPTERS = {"docx": "docx docm", "txt": "txt log text md", "xlsx": "xlsx xlsm xltx", "csv": "csv tsv", "pdf": "pdf"}
 EXTRACTORS: dict = {}
+SEGMENTS_AT_ONCE = 10_000
 #: Where a line of Python's splitlines ends.
 LINE_END = r"(?<=[\n\x0B\x0C\x1C-\x1E\x85  ])|(?<=\r)(?!\n)"
 
@@ -80,7 +82,7 @@ def _csv(name: str, content: bytes):
 
 
 def _xlsx(name: str, content: bytes):
-    yield from office.xlsx_segments(content)
+    yield from sheets.segments(content)
 
 
 def _docx(name: str, content: bytes):
@@ -102,8 +104,8 @@ def _pdf(name: str, content: bytes):
 EXTRACTORS |= {"txt": _txt, "csv": _csv, "xlsx": _xlsx, "docx": _docx, "pdf": _pdf}
 
 
-def segments_of(name: str, content: bytes, adapters: dict | None = None, extractors: dict | None = None) -> list[tuple]:
-    return list((extractors or EXTRACTORS)[adapter_of(name, adapters)](name, content))
+def segments_of(name: str, content: bytes, adapters: dict | None = None, extractors: dict | None = None):
+    return (extractors or EXTRACTORS)[adapter_of(name, adapters)](name, content)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -112,13 +114,15 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def segments(contents: DataFrame) -> DataFrame:
-    """Segments of files (path, content), parsed where they are; with the adapters that are registered now."""
+    """Segments of files (path, content), parsed where they are; with the adapters that are registered now. A file's segments leave
+    its task as they are found, some at a time."""
     adapters, extractors = dict(ADAPTERS), dict(EXTRACTORS)
 
     def run(batches):
         for pdf in batches:
-            rows = [(p, s, i, t, m) for p, c in zip(pdf["path"], pdf["content"]) for i, (s, t, m) in enumerate(segments_of(p, c, adapters, extractors))]
-            yield pd.DataFrame(rows, columns=["doc_id", "segment_id", "seg_ord", "text", "meta"])
+            rows = ((p, s, i, t, m) for p, c in zip(pdf["path"], pdf["content"]) for i, (s, t, m) in enumerate(segments_of(p, c, adapters, extractors)))
+            for some in batched(rows, SEGMENTS_AT_ONCE):
+                yield pd.DataFrame(some, columns=["doc_id", "segment_id", "seg_ord", "text", "meta"])
 
     return contents.select("path", "content").mapInPandas(run, SEGMENT)
 

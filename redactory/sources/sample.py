@@ -40,12 +40,12 @@ def docx(paragraphs: list[list[str]], tables: int = 0, sections: int = 1, header
 
 def xlsx(rows: list[list[str]]) -> bytes:
     """One sheet of shared texts; empty cells are left out."""
-    shared = sorted({x for r in rows for x in r if x})
-    cell = lambda r, c, x: f'<c r="{chr(65 + c)}{r + 1}" t="s"><v>{shared.index(x)}</v></c>'
+    shared = {x: k for k, x in enumerate(sorted({x for r in rows for x in r if x}))}
+    cell = lambda r, c, x: f'<c r="{chr(65 + c)}{r + 1}" t="s"><v>{shared[x]}</v></c>'
     sheet = "".join(f'<row r="{r + 1}">' + "".join(cell(r, c, x) for c, x in enumerate(row) if x) + "</row>" for r, row in enumerate(rows))
     return _zip({
         "xl/workbook.xml": f'<workbook xmlns="{_S}" xmlns:r="{_R}"><sheets><sheet name="one" sheetId="1" r:id="s1"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_P}"><Relationship Id="s1" Type="{_R}/worksheet" Target="worksheets/one.xml"/></Relationships>',
-        "xl/sharedStrings.xml": f'<sst xmlns="{_S}">' + "".join(f"<si><t>{escape(x)}</t></si>" for x in shared) + "</sst>",
+        "xl/sharedStrings.xml": f'<sst xmlns="{_S}">' + "".join(f"<si><t>{escape(x, {chr(13): '&#13;'})}</t></si>" for x in shared) + "</sst>",
         "xl/worksheets/one.xml": f'<worksheet xmlns="{_S}"><sheetData>{sheet}</sheetData></worksheet>',
     })

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from redactory.functions.text import splice, strip
 from redactory.operators.substrings import holding
-from redactory.sources import office, pdf, readers
+from redactory.sources import office, pdf, readers, sheets
 from redactory.sources.shared import kept
 
 
@@ -103,7 +103,7 @@ def _new_content(name: str, content: bytes, spans: dict, emails: dict, adapters:
     if kind == "docx":
         return office.redacted_docx(content, spans, emails)
     if kind == "xlsx":
-        return office.redacted_xlsx(content, spans)
+        return sheets.redacted(content, spans)
     made = {s: (office.spliced_runs([t], spans[s])[0] if spans.get(s) else t) for s, t, _ in readers.segments_of(name, content, adapters)}
     if kind == "csv":
         return redacted_csv(content, made, "\t" if name.endswith(".tsv") else ",")

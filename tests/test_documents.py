@@ -12,7 +12,7 @@ from redactory.functions import vocabulary as V
 from redactory.operators import audit, detect
 from redactory.operators.detect import Config, Custom
 from redactory.plans import engine, library
-from redactory.sources import office, readers, sample, writers
+from redactory.sources import office, readers, sample, sheets, writers
 from redactory.streaming import redaction
 
 SEGMENT = "doc_id string, segment_id string, seg_ord int, text string"
@@ -60,8 +60,8 @@ def test_prefixes_named_in_values_stay():
 
 def test_xlsx_and_csv_and_pdf_text():
     data = sample.xlsx([["one", "a@b.co and c"], ["one", ""]])
-    out = office.redacted_xlsx(data, {"sheet_0_r1_c2": [(0, 6, "X")]})
-    assert [(s, t) for s, t, _ in office.xlsx_segments(out)] == [("sheet_0_r1_c1", "one"), ("sheet_0_r1_c2", "X and c"), ("sheet_0_r2_c1", "one")]
+    out = sheets.redacted(data, {"sheet_0_r1_c2": [(0, 6, "X")]})
+    assert [(s, t) for s, t, _ in sheets.segments(out)] == [("sheet_0_r1_c1", "one"), ("sheet_0_r1_c2", "X and c"), ("sheet_0_r2_c1", "one")]
     assert writers.redacted_csv(b"a\tb\n", {"csv_r0_c1": "x\ty"}, "\t") == b'a\t"x\ty"\r\n'
     assert list(readers.page_blocks(["a\n\n \n\nb", None])) == [("pdf_page_0_block_0", "a", {"page": "1", "block": "0"}), ("pdf_page_0_block_2", "b", {"page": "1", "block": "2"})]
 
