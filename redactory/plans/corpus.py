@@ -226,5 +226,6 @@ def sink_xlsx_cells(spark: SparkSession, sf: str) -> DataFrame:
     """How many labels of replaced addresses each line of documents holds in the redacted workbooks."""
     files, config = _workbooks(spark, sf), Config(categories=("EMAIL",), strategy="CATEGORY_LABEL")
     rows = engine.replaced(engine.detected(readers.segments(files), config), config)
-    out = _places(readers.segments(writers.redacted_files(files, rows)))
+    written = shared.kept(writers.redacted_files(files, rows), "redacted-workbooks")
+    out = _places(readers.segments(written))
     return out.select("doc_id", "seg_ord", F.regexp_count("text", F.lit(r"\[REDACTED EMAIL\]")).cast("long").alias("n")).where("n > 0")

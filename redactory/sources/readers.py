@@ -15,7 +15,7 @@ from redactory.sources import office, pdf, sheets
 SEGMENT = "doc_id string, segment_id string, seg_ord int, text string, meta map<string,string>"
 ADAPTERS = {"docx": "docx docm", "txt": "txt log text md", "xlsx": "xlsx xlsm xltx", "csv": "csv tsv", "pdf": "pdf"}
 EXTRACTORS: dict = {}
-SEGMENTS_AT_ONCE = 10_000
+SEGMENTS_AT_ONCE = 2_000
 #: Where a line of Python's splitlines ends.
 LINE_END = r"(?<=[\n\x0B\x0C\x1C-\x1E\x85  ])|(?<=\r)(?!\n)"
 

@@ -14,6 +14,10 @@ from redactory.operators.substrings import holding
 from redactory.sources import office, pdf, readers, sheets
 from redactory.sources.shared import kept
 
+#: Redacted files leave their task when so many bytes or files are done.
+BYTES_AT_ONCE = 1 << 22
+FILES_AT_ONCE = 1_000
+
 
 def text_documents(segments: DataFrame) -> DataFrame:
     """(doc_id, text): the segments joined in order."""
@@ -123,14 +127,18 @@ def redacted_files(contents: DataFrame, rows: DataFrame) -> DataFrame:
     by_file = rows.select(F.col("doc_id").alias("path"), F.struct("segment_id", spans.alias("spans")).alias("s")).where(F.size("s.spans") > 0).groupBy("path").agg(F.collect_list("s").alias("segments"))
 
     def run(batches):
+        out, size = [], 0
         for pdf in batches:
-            out = []
             for path, content, segments in zip(pdf["path"], pdf["content"], pdf["segments"]):
                 found = [] if segments is None else list(segments)
                 by = {s["segment_id"]: [(m["start"], m["end"], m["new"]) for m in s["spans"]] for s in found}
                 emails = {m["text"].strip(): m["new"] for s in found for m in s["spans"] if m["email"] and m["new"]}
                 out.append((path, _new_content(path, content, by, emails, adapters)))
-            yield pd.DataFrame(out, columns=["path", "content"])
+                size += len(out[-1][1])
+                if size > BYTES_AT_ONCE or len(out) == FILES_AT_ONCE:
+                    yield pd.DataFrame(out, columns=["path", "content"])
+                    out, size = [], 0
+        yield pd.DataFrame(out, columns=["path", "content"])
 
     return contents.select("path", "content").join(by_file, "path", "left").mapInPandas(run, "path string, content binary")
 
