@@ -207,18 +207,18 @@ def _workbooks(spark: SparkSession, sf: str) -> DataFrame:
 _SHEET_LINES = f"SELECT doc_id, seg_ord, line FROM ({LINES}) WHERE regexp_matches(line, '\\S')"
 
 
-def _places(cells: DataFrame) -> DataFrame:
-    """(doc_id, seg_ord, text) of the rows of workbooks whose second cell has text."""
-    column = lambda k: F.max(F.when(F.col("segment_id").endswith(f"_c{k}"), F.col("text")))
-    rows = cells.groupBy("doc_id", F.regexp_extract("segment_id", "_r([0-9]+)_", 1).alias("row")).agg(column(1).alias("place"), column(2).alias("text"))
+def _places(cells: DataFrame, name: str, value) -> DataFrame:
+    """(doc_id, seg_ord, name) of the rows of workbooks whose second cell has text; value is made of it before rows meet."""
+    cells = cells.select("doc_id", F.regexp_extract("segment_id", "_r([0-9]+)_", 1).cast("int").alias("row"), F.when(F.col("segment_id").endswith("_c1"), F.col("text")).alias("place"), F.when(F.col("segment_id").endswith("_c2"), value).alias(name))
+    rows = cells.groupBy("doc_id", "row").agg(F.max("place").alias("place"), F.max(name).alias(name))
     place = F.split("place", "/")
-    return rows.where("text is not null").select(place[0].cast("long").alias("doc_id"), place[1].cast("long").alias("seg_ord"), "text")
+    return rows.where(F.col(name).isNotNull()).select(place[0].cast("long").alias("doc_id"), place[1].cast("long").alias("seg_ord"), name)
 
 
 @query("src_xlsx_cells", f"SELECT doc_id, CAST(seg_ord AS BIGINT) AS seg_ord, sha256(line) AS h FROM ({_SHEET_LINES})")
 def src_xlsx_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Documents' lines written as cells of workbooks and read back: each line at its place."""
-    return _places(readers.segments(_workbooks(spark, sf))).select("doc_id", "seg_ord", F.sha2("text", 256).alias("h"))
+    return _places(readers.segments(_workbooks(spark, sf)), "h", F.sha2("text", 256))
 
 
 @query("sink_xlsx_cells", f"SELECT doc_id, CAST(seg_ord AS BIGINT) AS seg_ord, count(*) AS n FROM ({_EMAILS}) GROUP BY ALL")
@@ -227,5 +227,4 @@ def sink_xlsx_cells(spark: SparkSession, sf: str) -> DataFrame:
     files, config = _workbooks(spark, sf), Config(categories=("EMAIL",), strategy="CATEGORY_LABEL")
     rows = engine.replaced(engine.detected(readers.segments(files), config), config)
     written = shared.kept(writers.redacted_files(files, rows), "redacted-workbooks")
-    out = _places(readers.segments(written))
-    return out.select("doc_id", "seg_ord", F.regexp_count("text", F.lit(r"\[REDACTED EMAIL\]")).cast("long").alias("n")).where("n > 0")
+    return _places(readers.segments(written), "n", F.regexp_count("text", F.lit(r"\[REDACTED EMAIL\]")).cast("long")).where("n > 0")

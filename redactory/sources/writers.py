@@ -17,6 +17,8 @@ from redactory.sources.shared import kept
 #: Redacted files leave their task when so many bytes or files are done.
 BYTES_AT_ONCE = 1 << 22
 FILES_AT_ONCE = 1_000
+#: Spans of at most so many bytes are sent to all tasks.
+FEW_SPANS_BYTES = 32 << 20
 
 
 def text_documents(segments: DataFrame) -> DataFrame:
@@ -120,11 +122,15 @@ def redacted_files(contents: DataFrame, rows: DataFrame) -> DataFrame:
     """(path, content) of files with the approved matches replaced, in their own format (of a PDF a plain one with its text).
 
     contents: path, content. rows: doc_id (the path), segment_id, matches with replacements. A file's matches meet in one task,
-    where its bytes are."""
+    where its bytes are: the spans, which are counted first, go to all tasks if they are few, else the files meet them in a shuffle."""
     adapters = dict(readers.ADAPTERS)
-    kept = F.filter("matches", lambda m: m["approved"])
-    spans = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.coalesce(m["replacement"], F.lit("")).alias("new"), (m["entity_type"] == "EMAIL").alias("email"), m["text"].alias("text")))
+    approved = F.filter("matches", lambda m: m["approved"])
+    spans = F.transform(approved, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.coalesce(m["replacement"], F.lit("")).alias("new"), (m["entity_type"] == "EMAIL").alias("email"), m["text"].alias("text")))
     by_file = rows.select(F.col("doc_id").alias("path"), F.struct("segment_id", spans.alias("spans")).alias("s")).where(F.size("s.spans") > 0).groupBy("path").agg(F.collect_list("s").alias("segments"))
+    by_file = kept(by_file, "spans-by-file")
+    size = F.aggregate("segments", F.lit(64).cast("long"), lambda a, s: F.aggregate(s["spans"], a + 64, lambda b, m: b + 64 + 4 * (F.length(m["new"]) + F.length(m["text"]))))
+    if (by_file.agg(F.sum(size)).first()[0] or 0) <= FEW_SPANS_BYTES:
+        by_file = F.broadcast(by_file)
 
     def run(batches):
         out, size = [], 0
