@@ -118,17 +118,22 @@ def line_dedup(documents: DataFrame, run: int = 3, id_col: str = "doc_id", text_
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-def oracle_sql(run: int = 3) -> str:
+def oracle_sql(run: int = 3, words: int | None = None) -> str:
     """The same over the view documents in DuckDB's SQL, by comparing whole runs."""
+    short = [] if words is None else range(1, run)
+    many = {k: " + ".join(f"lead(len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')), {j}) OVER w" for j in range(k)) for k in short}
+    sums = "".join(f", coalesce({many[k]}, 0) > {words} AS many{k}" for k in short)
+    laters = "".join(f", many{k} AND row_number() OVER (PARTITION BY {', '.join([f'many{k}', 'line', *(f'l{j}' for j in range(1, k))])} ORDER BY doc_id, p) > 1 AS later{k}" for k in short)
+    covers = "".join(f" OR coalesce(lag(later{k}, {j}) OVER w, false)" for k in short for j in range(k))
     names = ", ".join(f"lead(line, {k}) OVER w AS l{k}" for k in range(1, run))
     same = ", ".join(["line", *(f"l{k}" for k in range(1, run))])
     cover = " OR ".join(f"lag(later, {k}) OVER w" for k in range(1, run))
     return f"""
 WITH split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
 full_lines AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM split WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-runs AS (SELECT *, {names} FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
-numbered AS (SELECT *, l{run - 1} IS NOT NULL AND row_number() OVER (PARTITION BY {same} ORDER BY doc_id, p) > 1 AS later FROM runs),
-covered AS (SELECT doc_id, i, coalesce(later OR {cover}, later) AS gone FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+runs AS (SELECT *, {names}{sums} FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+numbered AS (SELECT *, l{run - 1} IS NOT NULL AND row_number() OVER (PARTITION BY {same} ORDER BY doc_id, p) > 1 AS later{laters} FROM runs),
+covered AS (SELECT doc_id, i, coalesce(later OR {cover}, later){covers} AS gone FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
 kept AS (SELECT s.doc_id, count(c.i) AS n_lines, count(*) FILTER (WHERE coalesce(gone, false)) AS n_removed, coalesce(string_agg(s.line, chr(10) ORDER BY s.i) FILTER (WHERE NOT coalesce(gone, false)), '') AS kept
   FROM split s LEFT JOIN covered c ON s.doc_id = c.doc_id AND s.i = c.i GROUP BY s.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
