@@ -4,7 +4,7 @@ import zipfile
 
 import pytest
 
-from redactory.sources import readers, sample, sheets
+from redactory.sources import readers, sample, sheets, writers
 
 S = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 
@@ -87,3 +87,18 @@ def test_segments_leave_their_task_in_parts(spark, monkeypatch):
     data = sample.xlsx([[f"a{r}", f"b{r}"] for r in range(10)])
     rows = readers.segments(spark.createDataFrame([("b.xlsx", data), ("a.txt", b"one\ntwo")], "path string, content binary")).orderBy("doc_id", "seg_ord").collect()
     assert [(r.doc_id, r.seg_ord, r.text) for r in rows] == [("a.txt", 0, "one\n"), ("a.txt", 1, "two")] + [("b.xlsx", 2 * r + c, f"{'ab'[c]}{r}") for r in range(10) for c in range(2)]
+
+
+def test_redacted_files_alike_if_spans_are_few_or_many(spark, monkeypatch):
+    from redactory.operators.detect import Config
+    from redactory.plans import engine
+
+    files = [(f"f{k}.xlsx", sample.xlsx([["plain", f"ask a{k}@x.org or b{k}@x.org"][: 1 + k % 2]])) for k in range(5)]
+    contents, config = spark.createDataFrame(files, "path string, content binary"), Config(categories=("EMAIL",), strategy="CATEGORY_LABEL")
+    rows = engine.replaced(engine.detected(readers.segments(contents), config), config)
+    for limit in (writers.FEW_SPANS_BYTES, -1):
+        monkeypatch.setattr(writers, "FEW_SPANS_BYTES", limit)
+        monkeypatch.setattr(writers, "FILES_AT_ONCE", 2)
+        out = {r.path: sorted(texts(bytes(r.content)).values()) for r in writers.redacted_files(contents, rows).collect()}
+        assert out == {f"f{k}.xlsx": ["ask [REDACTED EMAIL] or [REDACTED EMAIL]"] * (k % 2) + ["plain"] for k in range(5)}
+    assert writers.redacted_files(contents.limit(0), rows.limit(0)).count() == 0
