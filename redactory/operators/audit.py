@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StringType
 
 from redactory.functions.text import hash_text, match_rows, splice, strip
 from redactory.operators.replace import synthetic
-from redactory.operators.substrings import holding
+from redactory.operators.substrings import holding, lying, segment_windows, text_windows
 from redactory.sources.shared import kept
 
 SCORED_TYPES = "PERSON EMAIL PHONE COMPANY ADDRESS SSN CREDIT_CARD DOB IP_ADDRESS".split()
@@ -195,8 +195,16 @@ def residual(findings: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def spot_check(originals: DataFrame, output: DataFrame) -> DataFrame:
-    """Originals (doc_id, text) that still occur in their document's output, in any case."""
-    return originals.join(output.select("doc_id", F.lower("text").alias("o")), "doc_id").where(F.col("o").contains(F.lower("text"))).select("doc_id", "text").distinct()
+    """Originals (doc_id, text) that still occur in their document's output, in any case.
+
+    output: doc_id, text, a row for each text; with seg_ord the rows of a document are segments of one text, which is never put together
+    (a capital sigma at the end of 1,024 segments counts as the end of a word)."""
+    rows = kept(originals.select("doc_id", "text", F.lower("text").alias("value")).where("text is not null").distinct(), "originals")
+    values = rows.select("doc_id", "value").distinct()
+    longest = rows.agg(F.max(F.length("value"))).first()[0] or 0
+    windows = kept((segment_windows if "seg_ord" in output.columns else text_windows)(output, longest).withColumn("window", F.monotonically_increasing_id()), "windows")
+    blank = values.where("value = ''").join(windows.select("doc_id").distinct(), "doc_id", "left_semi")
+    return rows.join(lying(values, windows).unionByName(blank), ["doc_id", "value"], "left_semi").select("doc_id", "text").distinct()
 
 
 def audit_log(matches: DataFrame, raw_text: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactory.sources.shared import kept
@@ -58,3 +58,57 @@ def holding(texts: DataFrame, values: DataFrame, want: str = "text", size: int =
         else:
             found = found.union(whole.join(held.select(F.col("piece").alias("value")).distinct(), "value", "left_semi").select("value"))
     return found.distinct()
+
+
+#: Characters of a text that a window takes, at least; so many segments are put together before they are cut.
+WINDOW, SEGMENTS = 1024, 1024
+
+
+def text_windows(texts: DataFrame, longest: int) -> DataFrame:
+    """(doc_id, text): lower-case texts cut so that what is no longer than `longest` lies whole in a window."""
+    own = max(WINDOW, longest)
+    rows = texts.where("text is not null").select("doc_id", F.lower("text").alias("t"))
+    cuts = rows.select("doc_id", "t", F.explode(F.sequence(F.lit(0), F.greatest(F.length("t") - 1, F.lit(0)), F.lit(own))).alias("k"))
+    return cuts.select("doc_id", F.substring("t", F.col("k") + 1, F.lit(own + max(longest - 1, 0))).alias("text"))
+
+
+def segment_windows(segments: DataFrame, longest: int) -> DataFrame:
+    """text_windows of the texts that segments (doc_id, seg_ord, text) are, joined in order: a row for some segments is what is summed up in one task."""
+    own = max(WINDOW, longest)
+    joined = F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_ord", "text"))), lambda x: x["text"]), ""))
+    parts = kept(segments.where("text is not null").groupBy("doc_id", F.floor(F.col("seg_ord") / SEGMENTS).alias("part")).agg(joined.alias("t")), "joined-segments")
+    before = Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.select("doc_id", "part", F.coalesce(F.sum(F.length("t").cast("long")).over(before), F.lit(0)).alias("at"))
+    at, end = F.col("at"), F.col("at") + F.greatest(F.length("t") - 1, F.lit(0))
+    first = lambda x: F.floor(x / own)
+    # a part gives each window what it has of it, and what the window before needs of this one's beginning
+    cuts = parts.join(sums, ["doc_id", "part"]).select("doc_id", "at", "t", F.explode(F.sequence(F.greatest(first(at) - 1, F.lit(0)), first(end))).alias("k"))
+    low = F.greatest(F.col("k") * own - F.col("at"), F.lit(0)).cast("int")
+    high = ((F.col("k") + 1) * own + max(longest - 1, 0) - F.col("at")).cast("int")
+    pieces = cuts.select("doc_id", "k", "at", F.substring("t", low + 1, F.greatest(high - low, F.lit(0))).alias("t"))
+    texts = pieces.groupBy("doc_id", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]), "").alias("text"))
+    return texts.select("doc_id", "text")
+
+
+def lying(values: DataFrame, windows: DataFrame) -> DataFrame:
+    """values (doc_id, value), distinct, that lie in a window (window, doc_id, text) of their document; both cheap to read.
+
+    A value is looked up by a piece more than half as long as itself, a power of two: of its pieces that which the fewest values have. Only
+    hashes of pieces and their places are shuffled; the exact test follows where a window has the piece. Values that share all
+    their pieces with many others meet each other's places, so only such groups cost more than their rows."""
+    sized = values.where("value <> ''").withColumn("size", F.expr("shiftleft(1, length(bin(length(value))) - 1)"))
+    sizes = sorted(r[0] for r in sized.select("size").distinct().collect())  # as many as there are powers of two
+    key = lambda size, text, place: F.xxhash64("doc_id", F.substring(text, place, size))
+    cut = sized.select("doc_id", "value", "size", F.explode(F.sequence(F.lit(1), F.length("value") - F.col("size") + 1)).alias("place"))
+    cut = kept(cut.withColumn("key", key(F.col("size"), F.col("value"), F.col("place"))), "pieces-of-values")
+    shared = cut.groupBy("size", "key").agg(F.count("*").alias("n"))
+    chosen = cut.join(shared, ["size", "key"]).groupBy("doc_id", "value", "size").agg(F.min(F.struct("n", "key", "place")).alias("c")).select("value", "size", "c.key", "c.place")
+    found = None
+    for size in sizes:
+        held = F.transform(F.sequence(F.lit(1), F.length("text") - (size - 1)), lambda i: key(F.lit(size), F.col("text"), i))
+        there = windows.where(F.length("text") >= size).select("window", F.posexplode(held).alias("at", "key"))
+        hits = there.join(chosen.where(F.col("size") == size), "key").select("window", (F.col("at") + 2 - F.col("place")).alias("at"), "value").where("at >= 1")
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return values.limit(0)
+    return found.join(windows, "window").where(F.substring("text", F.col("at"), F.length("value")) == F.col("value")).select("doc_id", "value").distinct().join(values, ["doc_id", "value"], "left_semi")
