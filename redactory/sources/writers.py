@@ -52,9 +52,9 @@ def redacted_csv(content: bytes, changes: dict[str, str], delimiter: str = ",")
     return out.getvalue().encode()
 
 
-def redacted_pdf(content: bytes, changes: dict[str, str]) -> bytes:
+def redacted_pdf(content: bytes, changes: dict[str, str], texts: list[str] | None = None) -> bytes:
     """A plain file of the pages' texts with blocks pdf_page_{page}_block_{block} changed: nothing else of the old file is in it."""
-    pages = [[changes.get(f"pdf_page_{k}_block_{i}", block) for i, block in enumerate(text.split("\n\n"))] for k, text in enumerate(pdf.pages(content))]
+    pages = [[changes.get(f"pdf_page_{k}_block_{i}", block) for i, block in enumerate(text.split("\n\n"))] for k, text in enumerate(pdf.pages(content) if texts is None else texts)]
     return pdf.made(["\n\n".join(blocks) for blocks in pages])
 
 
@@ -110,6 +110,9 @@ def _new_content(name: str, content: bytes, spans: dict, emails: dict, adapters:
         return office.redacted_docx(content, spans, emails)
     if kind == "xlsx":
         return sheets.redacted(content, spans)
+    if kind == "pdf" and readers.EXTRACTORS["pdf"] is readers._pdf:  # parsed once, for its segments and its new pages
+        pages = pdf.pages(content)
+        return redacted_pdf(content, {s: office.spliced_runs([t], spans[s])[0] for s, t, _ in readers.page_blocks(pages) if spans.get(s)}, pages)
     made = {s: (office.spliced_runs([t], spans[s])[0] if spans.get(s) else t) for s, t, _ in readers.segments_of(name, content, adapters)}
     if kind == "csv":
         return redacted_csv(content, made, "\t" if name.endswith(".tsv") else ",")
