@@ -9,7 +9,8 @@ window itself: then its whole word sequence, by 128 bits, decides. Windows meet
 documents of a part hold, the smallest alone goes on, and the rest are settled on the spot, so a passage that every document
 has costs one entry a part.
 
-Texts are taken in parts of a few megabytes, which bounds a task's memory; a longer text is a part of its own. Groups that
+Texts are dealt by id once and stored in buckets, so no level and not the removal shuffles them again: what is found comes to them.
+They are taken in parts of a few megabytes, which bounds a task's memory; a longer text is a part of its own. Groups that
 meet are buckets of hashes; their number follows the shuffle partitions.
 
 Words are [^\\x20\\x09-\\x0D]+, unchanged. Null, empty and short texts lose nothing. Repeated rows of one id with one text are
@@ -266,6 +267,7 @@ def substring_dedup(documents: DataFrame, window: int = 50, id_col: str = "doc_i
     if window < 2:
         raise ValueError("window must be at least 2")
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    docs = stored(docs, "substring-texts", by="doc_id", compression="zstd")
     n = buckets(documents.sparkSession)
     lengths = levels(window)
     if len(lengths) == 1:
@@ -278,7 +280,7 @@ def substring_dedup(documents: DataFrame, window: int = 50, id_col: str = "doc_i
         found = found.union(dealt.where("bucket = -2").select("keys", "docs").mapInArrow(lean(_settled), _TOLD))
         old, live = live, stored(found.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "substring-live", compression="lz4")
         forget(*[x for x in (old, None if dealt is info else dealt) if x is not None])
-        some = docs.join(sized(live, F.size("keys") * 8), "doc_id").select("doc_id", "text", "keys")
+        some = docs.join(sized(live.hint("shuffle_hash"), F.size("keys") * 8), "doc_id").select("doc_id", "text", "keys")
         before = length
     last = stored(some.mapInArrow(lean(_last_level(window, before, n)), _DEAL), "substring-last", compression="lz4")
     runs = last.where("kind = 0").select("bucket", "keys", "more", "docs", "pos").groupBy("bucket").applyInArrow(lean(_later), "doc_id long, start long, length long")
@@ -287,7 +289,7 @@ def substring_dedup(documents: DataFrame, window: int = 50, id_col: str = "doc_i
     forget(last, live)
     rows = info.where("bucket = -1").select(F.explode(F.arrays_zip("ids", "n", "sha")).alias("x")).select(F.col("x.ids").alias("doc_id"), F.col("x.n").alias("n_words"), F.col("x.sha").alias("sha"))
     out = "doc_id long, sha string, n_removed long, kept_sha256 string" + ", kept string" * texts
-    some = docs.join(sized(runs, F.size("runs") * 16), "doc_id")
+    some = docs.join(sized(runs.hint("shuffle_hash"), F.size("runs") * 16), "doc_id")
     removed = some.select("doc_id", "text", "runs").mapInArrow(lean(_removed(window, texts)), out).dropDuplicates(["doc_id", "sha"])
     both = rows.dropDuplicates(["doc_id", "sha"]).join(removed, ["doc_id", "sha"], "left")
     return both.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), *["kept"] * texts)
