@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType, StringType
 from redactory.functions.text import hash_text, match_rows, splice, strip
 from redactory.operators.replace import synthetic
 from redactory.operators.substrings import holding, lying, segment_windows, text_windows
-from redactory.sources.shared import kept
+from redactory.sources.shared import apart, kept
 
 SCORED_TYPES = "PERSON EMAIL PHONE COMPANY ADDRESS SSN CREDIT_CARD DOB IP_ADDRESS".split()
 
@@ -186,12 +186,12 @@ def residual(findings: DataFrame, known: DataFrame) -> DataFrame:
     Distinct texts meet by equality first; what is left by the rarest pieces (see `substrings.holding`), in both directions."""
     text = lambda c: F.lower(strip(F.col(c)))
     v = kept(known.select(text("replacement").alias("value")).where("value is not null").distinct(), "known-values")
-    f = kept(findings.select(text("text").alias("text")).distinct().join(v.withColumnRenamed("value", "text"), "text", "left_anti"), "findings")
+    f = kept(findings.select(text("text").alias("text")).distinct().join(apart(v.withColumnRenamed("value", "text")), "text", "left_anti"), "findings")
     long = v.where(F.length("value") > 4)
     holds = holding(f, long).withColumnRenamed("text", "value")
     lies = holding(long.withColumnRenamed("value", "text"), f.withColumnRenamed("text", "value"), "value")
     gone = v.union(holds).union(lies).distinct().withColumnRenamed("value", "_residual_text")
-    return findings.withColumn("_residual_text", text("text")).join(gone, "_residual_text", "left_anti").drop("_residual_text")
+    return findings.withColumn("_residual_text", text("text")).join(apart(gone), "_residual_text", "left_anti").drop("_residual_text")
 
 
 def spot_check(originals: DataFrame, output: DataFrame) -> DataFrame:

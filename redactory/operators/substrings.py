@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactory.sources.shared import kept
+from redactory.sources.shared import apart, kept
 
 #: Counters of pieces: no table of them has more rows, so they may be broadcast.
 BUCKETS = 1 << 16
@@ -43,20 +43,20 @@ def holding(texts: DataFrame, values: DataFrame, want: str = "text", size: int =
     rarest = kept(rarest, "rarest-pieces")
     choices = rarest.groupBy("piece").agg(F.count("*").alias("m"))
     busy = choices.where(F.col("m") > hot).select("piece")
-    cold = rarest.where(F.col("n") <= hot).join(busy, "piece", "left_anti")
-    whole = rarest.where(F.col("n") > hot).select("value").union(rarest.where(F.col("n") <= hot).join(busy, "piece", "left_semi").select("value")).union(values.where(F.length("value") < size))
+    cold = rarest.where(F.col("n") <= hot).join(apart(busy), "piece", "left_anti")
+    whole = rarest.where(F.col("n") > hot).select("value").union(rarest.where(F.col("n") <= hot).join(apart(busy), "piece", "left_semi").select("value")).union(values.where(F.length("value") < size))
     whole = kept(whole.withColumn("bucket", _bucket(F.col("value"))), "whole-pieces")
-    pairs = _in_buckets(_pieces(texts, "text", [size]), cold).join(cold.select("piece", "value"), "piece").where(F.col("text").contains(F.col("value")))
+    pairs = _in_buckets(_pieces(texts, "text", [size]), cold).join(apart(cold.select("piece", "value")), "piece").where(F.col("text").contains(F.col("value")))
     columns = ["text", "value"] if want == "pairs" else [want]
     found = pairs.select(*columns)
     if sizes := sorted(r[0] for r in whole.select(F.length("value")).distinct().collect()):  # as many as there are lengths
         held = _in_buckets(_pieces(texts, "text", sizes), whole)
         if want == "pairs":
-            found = found.union(held.join(whole.select(F.col("value").alias("piece")), "piece").select("text", F.col("piece").alias("value")))
+            found = found.union(held.join(apart(whole.select(F.col("value").alias("piece"))), "piece").select("text", F.col("piece").alias("value")))
         elif want == "text":
-            found = found.union(held.join(whole.select(F.col("value").alias("piece")), "piece", "left_semi").select("text"))
+            found = found.union(held.join(apart(whole.select(F.col("value").alias("piece"))), "piece", "left_semi").select("text"))
         else:
-            found = found.union(whole.join(held.select(F.col("piece").alias("value")).distinct(), "value", "left_semi").select("value"))
+            found = found.union(whole.join(apart(held.select(F.col("piece").alias("value")).distinct()), "value", "left_semi").select("value"))
     return found.distinct()
 
 
