@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import difflib
 import os
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -73,13 +75,21 @@ def _middles(a: str, b: str) -> tuple[str, str, str, str]:
     return a[:first], a_[: len(a_) - last], b_[: len(b_) - last], a_[len(a_) - last :]
 
 
+def _ndiff(a: str, b: str) -> Iterator[str]:
+    """difflib.ndiff, whose matcher is slow; if one text begins with the other, the longest match is always all of the shorter one, from its start on."""
+    if not (a.startswith(b) or b.startswith(a)):
+        return difflib.ndiff(a, b)
+    n = min(len(a), len(b))
+    return chain((f"  {x}" for x in a[:n]), (f"- {x}" for x in a[n:]), (f"+ {x}" for x in b[n:]))
+
+
 def diff_of(expected: str, actual: str, most: int | None = None) -> list[str]:
     """A line diff of single characters; most: so many entries are enough."""
     same, a, b, end = _middles(expected or "", actual or "")
     out = [f"  {x}" for x in same[:most]]
     if most is None or len(out) < most:
         short = len(a) <= LONGEST_DIFF and len(b) <= LONGEST_DIFF
-        out += difflib.ndiff(a, b) if short else [f"- {x}" for x in a[:most]] + [f"+ {x}" for x in b[:most]]
+        out += islice(_ndiff(a, b), most) if short else [f"- {x}" for x in a[:most]] + [f"+ {x}" for x in b[:most]]
         out += [f"  {x}" for x in end[:most]]
     return out[:most]
 
@@ -90,7 +100,7 @@ def changed_characters(expected: pd.Series, actual: pd.Series) -> pd.Series:
 
     def changed(x, y):
         _, a, b, _ = _middles(x or "", y or "")
-        return len(a) + len(b) if max(len(a), len(b)) > LONGEST_DIFF or not (a and b) else sum(d[0] in "+-" for d in difflib.ndiff(a, b))
+        return len(a) + len(b) if max(len(a), len(b)) > LONGEST_DIFF or not (a and b) else sum(d[0] in "+-" for d in _ndiff(a, b))
 
     return pd.Series([changed(a, b) for a, b in zip(expected, actual)])
 
