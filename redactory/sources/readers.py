@@ -47,9 +47,11 @@ def adapter_column(path):
     return out
 
 
-def line_segments(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Lines with their ends, as Python's splitlines cuts them; blank lines are kept, a null text has none."""
-    parts = F.filter(F.split(F.col(text), LINE_END, -1), lambda x: x != "")
+def line_segments(docs: DataFrame, doc: str = "doc_id", text: str = "text", feeds: bool = False) -> DataFrame:
+    """Lines with their ends, as Python's splitlines cuts them; blank lines are kept, a null text has none.
+
+    feeds: as SQL's split at line feeds has them instead: nothing else ends a line, and what follows the last one is a line even if it is empty, so an empty text has one."""
+    parts = F.split(F.col(text), r"(?<=\n)", -1) if feeds else F.filter(F.split(F.col(text), LINE_END, -1), lambda x: x != "")
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.posexplode(parts).alias("seg_ord", "text"))
     return rows.select("doc_id", F.concat(F.lit("line_"), F.col("seg_ord").cast("string")).alias("segment_id"), "seg_ord", "text", F.create_map(F.lit("line_number"), (F.col("seg_ord") + 1).cast("string")).alias("meta"))
 
