@@ -213,8 +213,8 @@ def spot_check(originals: DataFrame, output: DataFrame) -> DataFrame:
     values = rows.select("doc_id", "value").distinct()
     longest = rows.agg(F.max(F.length("value"))).first()[0] or 0
     windows = kept((segment_windows if "seg_ord" in output.columns else text_windows)(output, longest).withColumn("window", F.monotonically_increasing_id()), "windows")
-    blank = values.where("value = ''").join(windows.select("doc_id").distinct(), "doc_id", "left_semi")
-    return rows.join(lying(values, windows).unionByName(blank), ["doc_id", "value"], "left_semi").select("doc_id", "text").distinct()
+    blank = values.where("value = ''").join(apart(windows.select("doc_id").distinct()), "doc_id", "left_semi")
+    return rows.join(apart(lying(values, windows).unionByName(blank)), ["doc_id", "value"], "left_semi").select("doc_id", "text").distinct()
 
 
 def audit_log(matches: DataFrame, raw_text: bool = False) -> DataFrame:
